@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import short_batches
 
@@ -163,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text") -
             )
 
     short_batches(docs.sparkSession)
-    kinds = docs.schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "binary")
+    kinds = StructType([*docs.schema, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decoded", BinaryType())])
     return docs.mapInArrow(run, kinds)
 
 

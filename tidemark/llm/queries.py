@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, lm, simhash
 from .common import LOWER, UPPER, documents
 
 
@@ -25,7 +25,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup)}
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup, op10_lattice_lm)}
 
 ORACLE = {
     "op6_exact_dedup": f"""
