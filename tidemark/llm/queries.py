@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm, simhash
+from . import bpe, decontaminate, exact_dedup, lm, simhash, toxicity
 from .common import LOWER, UPPER, documents
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
@@ -30,7 +40,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup, op10_lattice_lm)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_decontaminate, op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup, op10_lattice_lm)}
 
 ORACLE = {
     "op6_exact_dedup": f"""
