@@ -6,10 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, lines, lm, pii, quality, secrets, simhash, toxicity
 from .common import LOWER, UPPER, documents
 
 
+#: Pseudonyms of the registered query; a real run takes its own key.
+KEY = b"tidemark registered query"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    digest = F.sha2("value", 256).alias("value_sha256")
+    return found.select(F.col("id").alias("doc_id"), "position", F.length("value").alias("length"), digest, "score", "predicted")
+
+
+def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.withColumnRenamed("id", "doc_id")
@@ -30,6 +44,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(documents(spark, sf_dir), KEY).withColumnRenamed("id", "doc_id")
+
+
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "line_no", F.col("group").alias("group_key"), "kept")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,7 +62,21 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_decontaminate, op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup, op10_lattice_lm)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_weak_label_quality,
+        op3_toxicity,
+        op4_decontaminate,
+        op5_byte_bpe,
+        op6_exact_dedup,
+        op7_feistel_pii,
+        op8_fuzzy_lines,
+        op9_simhash_near_dedup,
+        op10_lattice_lm,
+    )
+}
 
 ORACLE = {
     "op6_exact_dedup": f"""
