@@ -277,25 +277,25 @@ def _windows(spark, sf_dir, **columns):
 
 
 def _window_query(name: str, columns: dict[str, tuple]) -> None:
-    """columns: name -> (Column, SQL)."""
+    """columns: name -> (function that makes the column, SQL)."""
     sql = ", ".join(f"{s} AS {k}" for k, (_, s) in columns.items())
-    query(name, f"SELECT symbol, ts, {sql} FROM {LOGS}", " ".join(columns), "ts")(lambda spark, sf_dir: _windows(spark, sf_dir, **{k: v for k, (v, _) in columns.items()}))
+    query(name, f"SELECT symbol, ts, {sql} FROM {LOGS}", " ".join(columns), "ts")(lambda spark, sf_dir: _windows(spark, sf_dir, **{k: v() for k, (v, _) in columns.items()}))
 
 
-_x, _r, _lr = F.col("close"), F.col("r"), F.col("lr")
+_x, _r, _lr = (lambda: F.col("close")), (lambda: F.col("r")), (lambda: F.col("lr"))
 _std = lambda x, n: _full(n, x, f"stddev_samp({x})")
-_window_query("lag_n", {"lag3": (c.lag(_x, 3), f"lag(close, 3) OVER ({W})")})
-_window_query("pct_change_n", {"p5": (c.pct_change(_x, 5), f"close / lag(close, 5) OVER ({W}) - 1")})
-_window_query("log_return_n", {"l5": (c.log_return(_x, 5), f"ln(close) - lag(ln(close), 5) OVER ({W})")})
-_window_query("rolling_mean_std", {"m": (c.rolling_mean(_r, 21), _full(21, "r", "avg(r)")), "s": (c.rolling_std(_r, 21), _std("r", 21))})
-_window_query("rolling_sum_min_max", {"su": (c.rolling_sum(_x, 10), _full(10, "close", "sum(close)")), "mi": (c.rolling_min(_x, 10), _full(10, "close", "min(close)")), "ma": (c.rolling_max(_x, 10), _full(10, "close", "max(close)"))})
-_window_query("rolling_skew_kurt", {"sk": (c.rolling_skew(_lr, 63), _full(63, "lr", "skewness(lr)")), "ku": (c.rolling_kurtosis(_lr, 63), _full(63, "lr", "kurtosis(lr)"))})
-_window_query("rolling_zscore", {"z": (c.rolling_zscore(_lr, 21), f"(lr - ({_full(21, 'lr', 'avg(lr)')})) / nullif({_std('lr', 21)}, 0)")})
-_window_query("realised_vol", {"v": (c.realised_volatility(_lr, 21), f"({_std('lr', 21)}) * sqrt(252)")})
-_window_query("trailing_vol_exclusive", {"v": (F.when(F.count("lr").over(c.SYMBOL.rowsBetween(-21, -1)) >= 5, F.stddev_samp("lr").over(c.SYMBOL.rowsBetween(-21, -1))), f"CASE WHEN count(lr) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) >= 5 THEN stddev_samp(lr) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) END")})
-_window_query("drawdown", {"dd": (c.drawdown(_x), f"close / max(close) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1"), "dd252": (c.drawdown(_x, 252), f"close / ({_full(252, 'close', 'max(close)')}) - 1")})
-_window_query("rolling_var_hist", {"var": (risk.rolling_var(_r, 63), _full(63, "r", "quantile_cont(r, 0.05)"))})
-_window_query("price_to_ma", {f"ma{n}": (F.try_divide(_x, c.rolling_mean(_x, n)) - 1, f"close / ({_full(n, 'close', 'avg(close)')}) - 1") for n in (20, 50, 200)})
+_window_query("lag_n", {"lag3": (lambda: c.lag(_x(), 3), f"lag(close, 3) OVER ({W})")})
+_window_query("pct_change_n", {"p5": (lambda: c.pct_change(_x(), 5), f"close / lag(close, 5) OVER ({W}) - 1")})
+_window_query("log_return_n", {"l5": (lambda: c.log_return(_x(), 5), f"ln(close) - lag(ln(close), 5) OVER ({W})")})
+_window_query("rolling_mean_std", {"m": (lambda: c.rolling_mean(_r(), 21), _full(21, "r", "avg(r)")), "s": (lambda: c.rolling_std(_r(), 21), _std("r", 21))})
+_window_query("rolling_sum_min_max", {"su": (lambda: c.rolling_sum(_x(), 10), _full(10, "close", "sum(close)")), "mi": (lambda: c.rolling_min(_x(), 10), _full(10, "close", "min(close)")), "ma": (lambda: c.rolling_max(_x(), 10), _full(10, "close", "max(close)"))})
+_window_query("rolling_skew_kurt", {"sk": (lambda: c.rolling_skew(_lr(), 63), _full(63, "lr", "skewness(lr)")), "ku": (lambda: c.rolling_kurtosis(_lr(), 63), _full(63, "lr", "kurtosis(lr)"))})
+_window_query("rolling_zscore", {"z": (lambda: c.rolling_zscore(_lr(), 21), f"(lr - ({_full(21, 'lr', 'avg(lr)')})) / nullif({_std('lr', 21)}, 0)")})
+_window_query("realised_vol", {"v": (lambda: c.realised_volatility(_lr(), 21), f"({_std('lr', 21)}) * sqrt(252)")})
+_window_query("trailing_vol_exclusive", {"v": (lambda: F.when(F.count("lr").over(c.by_symbol().rowsBetween(-21, -1)) >= 5, F.stddev_samp("lr").over(c.by_symbol().rowsBetween(-21, -1))), f"CASE WHEN count(lr) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) >= 5 THEN stddev_samp(lr) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) END")})
+_window_query("drawdown", {"dd": (lambda: c.drawdown(_x()), f"close / max(close) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1"), "dd252": (lambda: c.drawdown(_x(), 252), f"close / ({_full(252, 'close', 'max(close)')}) - 1")})
+_window_query("rolling_var_hist", {"var": (lambda: risk.rolling_var(_r(), 63), _full(63, "r", "quantile_cont(r, 0.05)"))})
+_window_query("price_to_ma", {f"ma{n}": (lambda n=n: F.try_divide(_x(), c.rolling_mean(_x(), n)) - 1, f"close / ({_full(n, 'close', 'avg(close)')}) - 1") for n in (20, 50, 200)})
 
 
 @query("downside_vol", f"SELECT symbol, ts, ({_full(21, 'd', 'stddev_samp(d)')}) * sqrt(252) AS v FROM (SELECT *, CASE WHEN lr < 0 THEN lr ELSE 0.0 END AS d FROM {LOGS})", "v", "ts")

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SYMBOL = W.partitionBy("symbol").orderBy("ts")
 PERIODS = 252
 
 
+def by_symbol():
+    return W.partitionBy("symbol").orderBy("ts")
+
+
 class LookAheadError(ValueError):
     """A causal function was asked for a future value."""
 
@@ -27,7 +30,7 @@ def _past(n: int) -> int:
 
 
 def trailing(n: int):
-    return SYMBOL.rowsBetween(1 - _past(n), 0)
+    return by_symbol().rowsBetween(1 - _past(n), 0)
 
 
 def full(x: Column, n: int, value: Column) -> Column:
@@ -36,7 +39,7 @@ def full(x: Column, n: int, value: Column) -> Column:
 
 
 def lag(x: Column, n: int) -> Column:
-    return F.lag(x, _past(n)).over(SYMBOL)
+    return F.lag(x, _past(n)).over(by_symbol())
 
 
 def pct_change(x: Column, n: int = 1) -> Column:
@@ -94,13 +97,13 @@ def downside_volatility(r: Column, n: int, periods: int = PERIODS) -> Column:
 def drawdown(x: Column, n: int | None = None) -> Column:
     """Distance below the highest value so far, or of the last n rows."""
     if n is None:
-        return F.try_divide(x, F.max(x).over(SYMBOL.rowsBetween(W.unboundedPreceding, 0))) - 1
+        return F.try_divide(x, F.max(x).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))) - 1
     return F.try_divide(x, rolling_max(x, n)) - 1
 
 
 def forward_return(x: Column, horizon: int) -> Column:
     """A label, not a feature: the return from this row to the one `horizon` rows later."""
-    return F.try_divide(F.lead(x, _past(horizon)).over(SYMBOL), x) - 1
+    return F.try_divide(F.lead(x, _past(horizon)).over(by_symbol()), x) - 1
 
 
 def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]]) -> DataFrame:

@@ -13,7 +13,7 @@ def forward_labels(bars: DataFrame, horizon: int = 5, price: str = "adj_close",
     """symbol, ts, available_at, label_available_at, label: the return (or its sign as 0/1) over the next bars."""
     y = c.forward_return(F.col(price), horizon)
     label = F.when(y > 0, 1.0).when(y.isNotNull(), 0.0) if classification else y
-    made = bars.select("symbol", "ts", "available_at", F.lead("available_at", horizon).over(c.SYMBOL).alias("label_available_at"), label.alias("label"))
+    made = bars.select("symbol", "ts", "available_at", F.lead("available_at", horizon).over(c.by_symbol()).alias("label_available_at"), label.alias("label"))
     return made.where(F.col("label").isNotNull())
 
 
@@ -21,7 +21,7 @@ def stored_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), pric
     """Trailing and forward simple returns in long form; a forward return is known when its far end is."""
     p = F.col(price)
     rows = [F.struct(F.lit(h).alias("horizon"), F.lit("trailing").alias("direction"), c.pct_change(p, h).alias("value"), F.col("available_at").alias("known")) for h in horizons]
-    rows += [F.struct(F.lit(h).alias("horizon"), F.lit("forward").alias("direction"), c.forward_return(p, h).alias("value"), F.lead("available_at", h).over(c.SYMBOL).alias("known")) for h in horizons]
+    rows += [F.struct(F.lit(h).alias("horizon"), F.lit("forward").alias("direction"), c.forward_return(p, h).alias("value"), F.lead("available_at", h).over(c.by_symbol()).alias("known")) for h in horizons]
     long = bars.select("symbol", "ts", F.array(*rows).alias("xs")).select("symbol", "ts", F.explode("xs").alias("x"))
     return long.select("symbol", "ts", "x.horizon", "x.direction", "x.value", F.col("x.known").alias("available_at")).where("value is not null")
 

@@ -29,7 +29,7 @@ def price_report(bars: DataFrame, key: tuple[str, str] = ("symbol", "ts"), most_
     """Nine checks per symbol. FAIL: too few rows, repeated keys, order, availability, high/low, signs; WARN: the rest."""
     prices = ["open", "high", "low", "close", "adj_close"]
     move = F.abs(c.pct_change(F.col("close")))
-    rows = bars.withColumn("__move", move).withColumn("__gap", F.datediff("ts", F.lag("ts").over(c.SYMBOL))).withColumn("__same", (F.lag("ts").over(c.SYMBOL) == F.col("ts")).cast("int"))
+    rows = bars.withColumn("__move", move).withColumn("__gap", F.datediff("ts", F.lag("ts").over(c.by_symbol()))).withColumn("__same", (F.lag("ts").over(c.by_symbol()) == F.col("ts")).cast("int"))
     odd = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low"))
     n = F.count(F.lit(1))
     got = rows.groupBy("symbol").agg(
