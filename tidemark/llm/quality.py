@@ -34,7 +34,7 @@ GOOD, NONE, BAD = 2, 1, 0
 #: Frequent function words of the four languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as with on be at by this are was or from der die und in den von zu das mit sich des auf für ist im dem nicht ein eine le la les et des en un une du dans que est pour qui sur pas au el los las y del que en un una por con para se".split())
 _NOISY = re.compile(r"[^\w\s]{2,}(?=\s|$)")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 
 LABELLERS = ("symbols", "capitals", "tables", "one_word", "stutter", "function_words", "length", "lines", "sentences")
 
@@ -51,8 +51,7 @@ def votes(text: str | None) -> list[int]:
     if not n:
         return [NONE] * 6 + [BAD] + [NONE] * 2
     noisy = len(_NOISY.findall(text)) / n
-    letters = sum(map(len, _LETTERS.findall(text))) or 1
-    upper = sum(map(str.isupper, text)) / letters
+    upper = sum(map(len, _UPPER.findall(text))) / sum(map(len, words))
     bars = text.count("|") / n
     lower = text.lower().split()
     counts = Counter(lower)
@@ -102,13 +101,26 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 100) -> tuple[np.ndarr
     return table, float(share[1]), {int(c): float(p) for c, p in zip(codes, posterior, strict=True)}
 
 
+class _Kinds(dict):
+    """Letters by case and digits, each as one sign; all else stays."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"([aA9])\1+")
+
+
 class _Slots(dict):
     """Hashed slots of a word: the word itself and its shape."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > WORDS_CACHED:
             self.clear()
-        shape = re.sub(r"\d+", "9", re.sub(r"[a-zß-öø-ÿ]+", "a", re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", word)))
+        shape = _RUNS.sub(r"\1", word.translate(_KINDS))
         pair = self[word] = tuple(zlib.crc32(x.encode()) & ((1 << HASH_BITS) - 1) for x in (word.lower(), "shape " + shape))
         return pair
 
@@ -171,10 +183,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             def __missing__(self, word: str) -> float:
                 if len(self) > WORDS_CACHED:
                     self.clear()
-                own = self[word] = float(sum(weights[s] for s in slots[word]))
+                own = self[word] = sum(map(weights.__getitem__, slots.__missing__(word)))
                 return own
 
         slots = _Slots()
+        weights = weights.tolist()
         of = Weights().__getitem__
         for batch in batches:
             scores, labels = [], []
