@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import causal as c
-from .operators import backtest, evaluation, features, labels, quality, relational, risk
+from .operators import backtest, evaluation, features, inference, labels, models, portfolio, quality, relational, risk
 from .sources import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +597,63 @@ def _(spark, sf_dir):
     from .streaming.bars import tick_bars
 
     return tick_bars(events, "1 hour")
+
+
+NUMBERED = "(SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, avg(r) OVER (PARTITION BY symbol) AS mean, r - avg(r) OVER (PARTITION BY symbol) AS d FROM rets WHERE r IS NOT NULL)"
+
+
+def _long_run_sql(lags: str) -> str:
+    """Long-run variances per symbol up to the lags that a subquery (symbol, lags) gives."""
+    return f"(SELECT a.symbol, a.n, a.mean, l.lags, sum(a.d * b.d * CASE WHEN a.i = b.i THEN 1.0 ELSE 2.0 * (1 - (a.i - b.i) / (l.lags + 1.0)) END) / a.n AS lrv FROM {NUMBERED} a JOIN {lags} l ON a.symbol = l.symbol JOIN {NUMBERED} b ON a.symbol = b.symbol AND b.i BETWEEN a.i - l.lags AND a.i GROUP BY a.symbol, a.n, a.mean, l.lags)"
+
+
+_NW_LAGS = f"(SELECT symbol, CAST(greatest(1, floor(4 * pow(any_value(n) / 100.0, 2.0 / 9))) AS INTEGER) AS lags FROM {NUMBERED} GROUP BY symbol)"
+
+
+@query("hac_mean_test", f"SELECT symbol, n, mean, lags, mean / sqrt(lrv / n) AS t FROM {_long_run_sql(_NW_LAGS)}", "mean t")
+def _(spark, sf_dir):
+    return inference.hac_mean_test(_returns(spark, sf_dir))
+
+
+_KPSS_SHAPE = f"(SELECT a.symbol, any_value(a.n) AS n, sum(a.d * b.d * CASE WHEN a.i = b.i THEN 1.0 ELSE 2.0 END) AS s0, sum(2.0 * (a.i - b.i) * a.d * b.d) AS s1 FROM {NUMBERED} a JOIN {NUMBERED} b ON a.symbol = b.symbol AND b.i BETWEEN a.i - CAST(floor(pow(a.n, 2.0 / 9)) AS INTEGER) AND a.i GROUP BY a.symbol)"
+_KPSS_LAGS = f"(SELECT symbol, least(CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS INTEGER), CAST(n - 1 AS INTEGER)) AS lags FROM {_KPSS_SHAPE})"
+
+
+@query("kpss_statistic", f"SELECT l.symbol, l.n, l.lags, e.eta / (l.n * l.n * l.lrv) AS statistic FROM {_long_run_sql(_KPSS_LAGS)} l JOIN (SELECT symbol, sum(s * s) AS eta FROM (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM {NUMBERED}) GROUP BY symbol) e ON l.symbol = e.symbol", "statistic")
+def _(spark, sf_dir):
+    return inference.kpss_test(_returns(spark, sf_dir)).drop("p")
+
+
+@query("sharpe_inference")
+def _(spark, sf_dir):
+    return inference.sharpe_inference(_returns(spark, sf_dir))
+
+
+CUT = "1998-01-01"
+_RIDGE = f"""WITH f AS (SELECT symbol, ts, r AS x1, close / lag(close, 5) OVER w - 1 AS x2, lead(close, 1) OVER w / close - 1 AS y FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  known AS (SELECT * FROM f WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
+  t AS (SELECT symbol, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12 FROM known WHERE ts < TIMESTAMP '{CUT}' GROUP BY symbol HAVING count(*) >= {models.LEAST_ROWS}),
+  g AS (SELECT *, n + 1.0 AS a, n * c12 / (s1 * s2) AS o, n * c1 / s1 AS b1, n * c2 / s2 AS b2 FROM t),
+  k AS (SELECT symbol, my, m1, m2, (b1 * a - b2 * o) / (a * a - o * o) / s1 AS k1, (b2 * a - b1 * o) / (a * a - o * o) / s2 AS k2 FROM g)
+  SELECT known.symbol, known.ts, my + k1 * (x1 - m1) + k2 * (x2 - m2) AS y_pred, y AS y_true FROM known JOIN k ON known.symbol = k.symbol WHERE ts >= TIMESTAMP '{CUT}'"""
+
+
+@query("ridge_forecast", _RIDGE, "y_pred y_true", "ts")
+def _(spark, sf_dir):
+    p = F.col("close")
+    rows = derived.bars(spark, sf_dir).select("symbol", "ts", c.pct_change(p).alias("x1"), c.pct_change(p, 5).alias("x2"), (F.lead(p).over(c.W.partitionBy("symbol").orderBy("ts")) / p - 1).alias("y_true")).dropna()
+    fitted = models.fit(rows.where(F.col("ts") < CUT), ["x1", "x2"], "y_true", "symbol", models.ridge, alpha=1.0)
+    return models.predict(rows.where(F.col("ts") >= CUT), fitted, ["x1", "x2"], "symbol").select("symbol", "ts", "y_pred", "y_true")
+
+
+@query("walk_forward_models")
+def _(spark, sf_dir):
+    b = derived.bars(spark, sf_dir)
+    x = b.select("symbol", "ts", c.pct_change(F.col("close")).alias("ret_1d"), c.pct_change(F.col("close"), 21).alias("ret_21d"))
+    return models.walk_forward(labels.folds(labels.forward_labels(b, 1).join(x, ["symbol", "ts"]).dropna()), ["ret_1d", "ret_21d"])
+
+
+@query("portfolio_weights")
+def _(spark, sf_dir):
+    monthly = derived.bars(spark, sf_dir).groupBy("symbol", F.date_trunc("month", "ts").alias("ts")).agg(F.max_by("close", "ts").alias("close"))
+    return portfolio.weights(monthly.select("symbol", "ts", c.pct_change(F.col("close")).alias("r")).where("r is not null"), SYMBOLS)
