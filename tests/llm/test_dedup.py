@@ -119,3 +119,44 @@ def test_fuzzy_lines(spark):
     left = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs)).collect()}
     assert left == {1: f"{line}\nshort one", 2: "short one", 3: "", 4: "quite another line with many words\n", 5: None, 6: ""}
     assert lines.line_groups(frame(spark, [])).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_lines_find_what_brute_force_finds(spark):
+    """Lines with words replaced up to the edits that 0.8 allows, at exactly 0.8 too, are all linked, and nothing else is."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 10)))
+    texts = []
+    for n in [6, 9, 14, 20, 30] * 12:
+        line = [word() for _ in range(n)]
+        near, budget = list(line), int(len(" ".join(line)) * 0.2)
+        for k in rng.sample(range(n), n):
+            new = word()
+            if max(len(new), len(near[k])) <= budget:
+                budget -= max(len(new), len(near[k]))
+                near[k] = new
+        texts += [" ".join(line), " ".join(near)]
+    texts += ["abcd efgh ijkl mnop qrst uvwx yzab cdef ghij klmn op", "abcd efgh ijkl mnop qrst uvwx yzab cdef 1234 5678 90"]
+    got = lines.line_groups(frame(spark, list(enumerate(texts)))).collect()
+    group = {r.id: r.group for r in got}
+    parent = {i: i for i in range(len(texts))}
+    links = 0
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b = texts[j]
+            if 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * edits(a, b) <= max(len(a), len(b)):
+                links += 1
+                x, y = root(parent, i), root(parent, j)
+                parent[max(x, y)] = min(x, y)
+    assert links >= 60
+    assert len(set(group.values())) == len({root(parent, i) for i in parent})
+    assert all((group[i] == group[j]) == (root(parent, i) == root(parent, j)) for i in parent for j in range(i))
