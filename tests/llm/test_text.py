@@ -111,6 +111,26 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs_of(spark, []), bench).count() == 0
 
 
+def test_overlaps_equal_brute_force():
+    """An item that has a stretch of 13 equal tokens and a share of 0.8 on the diagonal is found, and no other."""
+    rng = random.Random(6)
+    rows = [[1] * 9 + [0] * 3 + [1] * 9, [1] * 12 + [0] * 4 + [1] * 12, [1] * 12 + [0] * 3 + [1] * 12, [1] * 10 + [0] * 3 + [1] * 9 + [0] * 20 + [1] * 13]
+    rows += [[int(rng.random() > rate) for _ in range(n)] for n in (13, 20, 39, 60) for rate in (0.1, 0.15, 0.2, 0.3) for _ in range(40)]
+    qualify = 0
+    for same in rows:
+        n = len(same)
+        sums = np.concatenate([[0], np.cumsum(same)])
+        brute = any(sums[e] - sums[s] >= 13 and 5 * (sums[e] - sums[s]) >= 4 * (e - s) for s in range(n) for e in range(s + 13, n + 1))
+        index = decontaminate.SeedIndex([(7, " ".join(f"w{k}" for k in range(n)))])
+        doc = np.where(np.array(same) == 1, index.tokens, 0)
+        got = list(index.overlaps(np.concatenate([np.zeros(4, np.int64), doc, np.zeros(4, np.int64)]), 0, 4))
+        assert bool(got) == brute
+        assert all(m >= 13 and 5 * m >= 4 * (e - s) and m == sum(same[s - 4 : e - 4]) and at == s - 4 for _, s, e, at, m, _ in got)
+        qualify += brute
+    assert qualify > 200
+    assert len(list(index.overlaps(np.concatenate([index.tokens] * 2), 0, 0))) == 1
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     got = {r.id: r for r in quality.score_documents(docs).collect()}

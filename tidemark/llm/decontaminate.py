@@ -2,7 +2,7 @@
 
 A seed is the tokens at the positions that a fixed mask keeps; the positions it ignores may hold anything. Seeds of the
 benchmark meet the seeds of every document position, and around each hit the two token sequences are compared along
-their common diagonal: a match counts for, a mismatch against, and the best stretch through the hit is the overlap. The
+their common diagonal: the stretch with the most equal tokens among those that are similar enough is the overlap. The
 benchmark is handed to the tasks in slices of bounded size; a larger benchmark takes more slices, each joined with all
 documents, so nothing is left out.
 """
@@ -26,7 +26,8 @@ SLICE_TOKENS = 500_000
 #: An overlap counts from this many equal tokens (or all of a shorter item's), and this share of its length.
 MIN_TOKENS = 13
 MIN_SIMILARITY = 0.8
-MISMATCH = 3
+#: A match counts 1, a mismatch this much less: a stretch sums to 0 or more exactly if its share of matches is MIN_SIMILARITY.
+MISMATCH = 4
 WORDS_CACHED = 300_000
 
 HIT = "item_id long, doc_start int, doc_end int, item_start int, matches int, similarity double"
@@ -117,23 +118,22 @@ class SeedIndex:
         low, high = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
         same = item[low:high] == tokens[low + diagonal : high + diagonal]
         least = min(MIN_TOKENS, len(item))
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-        while True:  # the best stretch, then the best of what lies outside it
-            floor = np.minimum.accumulate(total)
-            gain = total - floor
-            end = int(gain.argmax())
-            if gain[end] <= 0:
-                return
-            start = int(np.flatnonzero(total[: end + 1] == floor[end])[-1])
-            matches = int(same[start:end].sum())
-            if matches < least and gain[end] < least:
+        while np.count_nonzero(same) >= least:  # the stretch with most matches, then that of what lies outside it
+            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
+            count = np.concatenate([[0], np.cumsum(same)])
+            # for every end the earliest start from which the sum is not negative: no other start has more matches
+            starts = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+            matched = count - count[starts]
+            end = int(matched.argmax())
+            matches = int(matched[end])
+            if matches < least:
                 return
-            if matches >= least and matches >= MIN_SIMILARITY * (end - start):
-                at = low + diagonal + start
-                yield self.ids[k], at, at + end - start, low + start, matches, matches / (end - start)
+            start = int(starts[end])
+            start += int(same[start:end].argmax())  # the end is the first with so many matches, so it is a match itself
+            at = low + diagonal + start
+            yield self.ids[k], at, at + end - start, low + start, matches, matches / (end - start)
             same = same.copy()
             same[start:end] = False
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
 
     def find_short(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
         found = []
