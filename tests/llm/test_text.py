@@ -173,6 +173,18 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_in_unspaced_text(spark):
+    key, other = hashlib.sha1(b"y").hexdigest(), hashlib.sha1(b"z").hexdigest()
+    texts = [f'{{"client_secret":"{key}"}}', f'"aws_secret_access_key":"{key}"', f"https://host.example/path?token={key}", f'{{"id":"order-2024-00017","token":"{key}"}}', f'S3_SECRET_KEY="{key}"', f"secret={key};token={other}", "token=aGVsbG8gd29ybGQgMTIzNA=="]
+    found = secrets.candidates(docs_of(spark, list(enumerate(texts)))).collect()
+    values = {i: [r.value for r in sorted(found, key=lambda r: r.part) if r.id == i] for i in range(len(texts))}
+    assert all(key in values[i] for i in range(6)) and values[5] == [key, other]
+    assert values[3] == ["order-2024-00017", key] and values[6] == ["aGVsbG8gd29ybGQgMTIzNA=="]
+    assert all(r.assigned for r in found if r.value == key)
+    scored = secrets.scan(docs_of(spark, list(enumerate(texts)))).collect()
+    assert all(r.predicted == 1 for r in scored if r.value in (key, other)) and len({(r.id, r.position, r.part) for r in scored}) == len(scored)
+
+
 def test_pipeline_equals_brute_force(spark):
     """Every stage against a plain version on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -32,40 +32,55 @@ OTHER_PATH = "(?i)(test|example|sample|fixture|mock|docs?/|readme|lock)"
 #: A small dictionary for coverage.
 DICTIONARY = "account|address|admin|change|client|config|customer|data|default|development|document|example|file|hello|invoice|item|local|name|number|order|page|password|placeholder|product|public|sample|secret|server|service|string|system|table|test|token|user|value|version|world|your|the|and|ing|tion|ment"
 
-_TOKEN = "[A-Za-z0-9_+/=.\\-]{%d,}" % MIN_LENGTH
+#: The pieces that tile a token: runs of a value's characters (with = as padding only), and what is between them.
+_PIECES = "[A-Za-z0-9_+/.\\-]++(?:={1,2}(?![A-Za-z0-9_+/.\\-=\"']))?|[^A-Za-z0-9_+/.\\-]++"
 
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "transitions", "distinct", "longest_run", "covered", "hex", "known_prefix", "near_secret", "near_other", "assigned", "other_path")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: id, position (of its token), value, left, right (neighbouring words), path, assigned.
+    """One row per candidate: id, position (of its token), part (of the token), value, left, right (neighbours), path, assigned.
 
-    Tokens are divided by white space. Null and empty texts have no candidates; a null path is empty.
+    Tokens are divided by white space, and every run of a value's characters in a token counts: part is its number among
+    the token's pieces, and the piece before it (a name, if it is assigned) its nearest left neighbour. Null and empty
+    texts have no candidates; a null path is empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
     rows = rows.where(F.col("text").rlike("[0-9]"))
     rows = rows.select("id", "path", F.split("text", "\\s+").alias("words"))
-    long = F.filter(
-        F.transform("words", lambda w, i: F.when(F.length(w) >= MIN_LENGTH, F.when(w.rlike("[0-9]"), i))),
-        lambda i: i.isNotNull(),
-    )
-    rows = rows.select("id", "path", "words", F.explode(long).alias("position"))
-    word = F.element_at("words", F.col("position") + 1)
-    assigned = F.regexp_extract(word, "^([A-Za-z_.\\-]{2,40})[=:][\"']?[A-Za-z0-9]", 1)
-    bare = F.when(assigned != "", F.substr(word, F.length(assigned) + 2)).otherwise(word)
-    value = F.regexp_extract(bare, _TOKEN, 0)
-    start = F.greatest(F.lit(1), F.col("position") + 1 - NEIGHBOURS)
-    found = rows.select(
+
+    def token(w: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(1), i + 1 - NEIGHBOURS)
+        left = F.concat_ws(" ", F.slice("words", start, i + 1 - start))
+        right = F.concat_ws(" ", F.slice("words", i + 2, F.lit(NEIGHBOURS)))
+        after = F.coalesce(F.get("words", i - 1).isin("=", ":", ":="), F.lit(False))
+        return F.struct(i.alias("position"), w.alias("word"), left.alias("left"), right.alias("right"), after.alias("after"))
+
+    tokens = F.transform("words", lambda w, i: F.when(F.length(w) >= MIN_LENGTH, F.when(w.rlike("[0-9]"), token(w, i))))
+    rows = rows.select("id", "path", F.explode(F.filter(tokens, lambda x: x.isNotNull())).alias("t"))
+    rows = rows.select("id", "path", "t.*", F.regexp_extract_all("t.word", F.lit(_PIECES), F.lit(0)).alias("pieces"))
+
+    def piece(v: Column, i: Column) -> Column:
+        before = lambda k: F.coalesce(F.get("pieces", i - k), F.lit(""))
+        return F.struct(i.alias("part"), v.alias("value"), before(2).alias("name"), before(1).alias("sign"))
+
+    good = lambda v: (F.length(v) >= MIN_LENGTH) & v.rlike("[0-9]") & ~v.rlike("^[0-9.\\-+/]+$")
+    values = F.filter(F.transform("pieces", lambda v, i: F.when(good(v) & v.rlike("^[A-Za-z0-9_+/.\\-]"), piece(v, i))), lambda x: x.isNotNull())
+    rows = rows.select("id", "path", "position", "left", "right", "after", F.explode(values).alias("v"))
+    # name="value", "name":"value" and the like; a value without anything before it is assigned by the word before
+    assigned = F.col("v.name").rlike("[A-Za-z_.\\-]") & F.col("v.sign").rlike("^[\"']?(:?=|:)[\"']?$")
+    alone = (F.col("v.part") == 0) | ((F.col("v.part") == 1) & F.col("v.sign").rlike("^[\"'(\\[{<]+$"))
+    return rows.select(
         "id",
         "position",
+        "v.part",
         "path",
-        value.alias("value"),
-        F.concat_ws(" ", F.slice("words", start, F.col("position") + 1 - start), assigned).alias("left"),
-        F.concat_ws(" ", F.slice("words", F.col("position") + 2, F.lit(NEIGHBOURS))).alias("right"),
-        ((assigned != "") | F.coalesce(F.get("words", F.col("position") - 1).isin("=", ":", ":="), F.lit(False))).alias("assigned"),
+        "v.value",
+        F.concat_ws(" ", "left", F.nullif("v.name", F.lit(""))).alias("left"),
+        "right",
+        (assigned | (alone & F.col("after"))).alias("assigned"),
     )
-    return found.where((F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]") & ~F.col("value").rlike("^[0-9.\\-+/]+$"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -138,7 +153,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: id, position, value, score (0 to 1), predicted (1: a secret).
+    """One row per candidate: id, position, part, value, score (0 to 1), predicted (1: a secret).
 
     A document's repeated tokens give a row each, as do repeated rows; null or empty texts and empty tables give none.
     """
@@ -147,4 +162,4 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=24, maxDepth=7, minInstancesPerNode=3, seed=5).fit(known.coalesce(2))
     scored = forest.transform(_vectors(candidates(docs, id_col, text_col, path_col)))
     score = vector_to_array("probability")[1]
-    return scored.select("id", "position", "value", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return scored.select("id", "position", "part", "value", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
