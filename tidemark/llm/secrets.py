@@ -1,6 +1,7 @@
 """Secret scans: a random forest tells secrets from other long tokens. DataFrame and SQL functions only.
 
-Candidates are tokens of documents with enough letters and digits, or values that are assigned to a word. Their features
+Candidates are tokens of documents with enough letters and digits, values that are assigned to a word (shorter ones too,
+and without digits), and long ones without digits beside a secret word or with a known prefix. Their features
 are length, transitions between kinds of characters, coverage by dictionary words, the path, and the neighbouring words.
 The forest learns from labelled findings; synthetic_findings() makes such a table by rules, and a table of reviewed
 findings with the same columns can take its place.
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Shortest value that is a candidate.
+#: Shortest value that is a candidate, and shortest one that is assigned to a word.
 MIN_LENGTH = 12
+MIN_ASSIGNED = 6
 #: Words on either side that count as neighbours.
 NEIGHBOURS = 3
 #: Rows of the synthetic findings.
@@ -47,17 +49,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
-    rows = rows.where(F.col("text").rlike("[0-9]"))
     rows = rows.select("id", "path", F.split("text", "\\s+").alias("words"))
 
     def token(w: Column, i: Column) -> Column:
         start = F.greatest(F.lit(1), i + 1 - NEIGHBOURS)
         left = F.concat_ws(" ", F.slice("words", start, i + 1 - start))
         right = F.concat_ws(" ", F.slice("words", i + 2, F.lit(NEIGHBOURS)))
-        after = F.coalesce(F.get("words", i - 1).isin("=", ":", ":="), F.lit(False))
-        return F.struct(i.alias("position"), w.alias("word"), left.alias("left"), right.alias("right"), after.alias("after"))
+        return F.struct(i.alias("position"), w.alias("word"), left.alias("left"), right.alias("right"), after(i).alias("after"))
 
-    tokens = F.transform("words", lambda w, i: F.when(F.length(w) >= MIN_LENGTH, F.when(w.rlike("[0-9]"), token(w, i))))
+    # "=" by itself, or a secret word that ends in it
+    before = lambda i: F.get("words", i - 1)
+    after = lambda i: F.coalesce(before(i).isin("=", ":", ":=") | (before(i).rlike("[=:]$") & before(i).rlike(SECRET_WORDS)), F.lit(False))
+    some = lambda w, i: (F.length(w) >= MIN_LENGTH) | ((F.length(w) >= MIN_ASSIGNED) & (w.rlike("[=:]") | after(i)))
+    tokens = F.transform("words", lambda w, i: F.when(some(w, i), token(w, i)))
     rows = rows.select("id", "path", F.explode(F.filter(tokens, lambda x: x.isNotNull())).alias("t"))
     rows = rows.select("id", "path", "t.*", F.regexp_extract_all("t.word", F.lit(_PIECES), F.lit(0)).alias("pieces"))
 
@@ -65,13 +69,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         before = lambda k: F.coalesce(F.get("pieces", i - k), F.lit(""))
         return F.struct(i.alias("part"), v.alias("value"), before(2).alias("name"), before(1).alias("sign"))
 
-    good = lambda v: (F.length(v) >= MIN_LENGTH) & v.rlike("[0-9]") & ~v.rlike("^[0-9.\\-+/]+$")
-    values = F.filter(F.transform("pieces", lambda v, i: F.when(good(v) & v.rlike("^[A-Za-z0-9_+/.\\-]"), piece(v, i))), lambda x: x.isNotNull())
+    long = lambda v: (F.length(v) >= MIN_ASSIGNED) & v.rlike("^[A-Za-z0-9_+/.\\-]")
+    values = F.filter(F.transform("pieces", lambda v, i: F.when(long(v), piece(v, i))), lambda x: x.isNotNull())
     rows = rows.select("id", "path", "position", "left", "right", "after", F.explode(values).alias("v"))
     # name="value", "name":"value" and the like; a value without anything before it is assigned by the word before
     assigned = F.col("v.name").rlike("[A-Za-z_.\\-]") & F.col("v.sign").rlike("^[\"']?(:?=|:)[\"']?$")
     alone = (F.col("v.part") == 0) | ((F.col("v.part") == 1) & F.col("v.sign").rlike("^[\"'(\\[{<]+$"))
-    return rows.select(
+    found = rows.select(
         "id",
         "position",
         "v.part",
@@ -81,6 +85,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "right",
         (assigned | (alone & F.col("after"))).alias("assigned"),
     )
+    value, secret = F.col("value"), F.col("left").rlike(SECRET_WORDS)
+    usual = (F.length("value") >= MIN_LENGTH) & (value.rlike("[0-9]") | secret | value.rlike(KNOWN_PREFIX))
+    # numbers, dates and versions are candidates only as values of a secret word
+    return found.where((usual | F.col("assigned")) & (~value.rlike("^[0-9.\\-+/]+$") | (F.col("assigned") & secret)))
 
 
 def with_features(found: DataFrame) -> DataFrame:
