@@ -160,3 +160,11 @@ def test_fuzzy_lines_find_what_brute_force_finds(spark):
     assert links >= 60
     assert len(set(group.values())) == len({root(parent, i) for i in parent})
     assert all((group[i] == group[j]) == (root(parent, i) == root(parent, j)) for i in parent for j in range(i))
+
+
+def test_short_lines_group_by_equality(spark):
+    docs = [(1, "All rights reserved.\nquite another line with many words"), (2, "all rights reserved\nall rights deserved"), (3, "** All Rights Reserved **\n\nword")]
+    groups = lines.line_groups(frame(spark, docs), exact_words=1).collect()
+    assert sorted((r.id, r.line_no, r.kept) for r in groups) == [(1, 0, True), (1, 1, True), (2, 0, False), (2, 1, True), (3, 0, False), (3, 2, True)]
+    left = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs), exact_words=1).collect()}
+    assert left == {1: docs[0][1], 2: "all rights deserved", 3: "\nword"}

@@ -49,7 +49,7 @@ def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_groups(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "line_no", F.col("group").alias("group_key"), "kept")
+    return lines.line_groups(documents(spark, sf_dir), exact_words=1).select(F.col("id").alias("doc_id"), "line_no", F.col("group").alias("group_key"), "kept")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
