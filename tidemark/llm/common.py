@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Keys of a table that can be hot, at most, and rows below which no key is.
+HOT_KEYS = 10_000
+HOT_LEAST = 64
 #: Rows of one Arrow batch: documents vary from a word to megabytes, so batches stay short.
 BATCH_ROWS = 500
 
@@ -29,14 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/tables/" not in path:
+                raise ValueError(f"{path} is no intermediate table")
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hot_bound(rows: int) -> int:
+    """Rows from which a key counts as hot: at most HOT_KEYS keys of a table of that many rows can have more."""
+    return max(HOT_LEAST, rows // HOT_KEYS)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key, where `hot` picks the rows of right whose keys are hot in left.
+
+    The caller bounds the hot rows by hot_bound, so they are broadcast, and left's rows of hot keys stay where they are;
+    only keys with few rows each are shuffled.
+    """
+    few = F.broadcast(right.where(hot))
+    rest = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key, how)
+    return left.join(few, key).unionByName(rest)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to BATCH_ROWS rows, so that a batch of long texts fits a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
