@@ -20,7 +20,7 @@ def bars(spark):
 
 
 @pytest.mark.parametrize("n", [0, -1])
-def test_future_windows_are_refused(n):
+def test_future_windows_are_refused(spark, n):
     for f in (c.lag, c.pct_change, c.rolling_mean, c.forward_return):
         with pytest.raises(c.LookAheadError):
             f(F.lit(1), n)
