@@ -26,6 +26,7 @@ def test_exact_groups(spark):
     texts = [(1, "Abc"), (2, "aBC"), (3, "abc"), (4, ""), (5, None), (6, "É"), (7, "é"), (8, "x" * 300_000), (9, "x" * 300_000), (10, "abc "), (3, "abc")]
     got = {r.id: r for r in exact_dedup.exact_dedup(frame(spark, texts)).collect()}
     assert len(got) == 10
+    assert exact_dedup.exact_dedup(frame(spark, texts)).count() == 11
     assert [got[i].keep_id for i in range(1, 11)] == [3, 3, 3, 5, 5, 6, 7, 9, 9, 10]
     assert got[1].group_size == 4 and got[3].kept and not got[2].kept
     kept = exact_dedup.keep_first(frame(spark, texts))
@@ -36,7 +37,35 @@ def test_exact_groups(spark):
 def test_exact_empty_and_null_ids(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     got = exact_dedup.exact_dedup(frame(spark, [(None, "a"), (None, "a"), (1, "b")])).collect()
-    assert sorted((r.id is None, r.group_size, r.kept) for r in got) == [(False, 1, True), (True, 2, True)]
+    assert sorted((r.id is None, r.group_size, r.kept) for r in got) == [(False, 1, True), (True, 2, True), (True, 2, True)]
+    kept = exact_dedup.keep_first(frame(spark, [(None, "a"), (None, "a"), (1, "b"), (1, "c"), (1, "c"), (2, "C"), (2, "C")]))
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [(None, "a"), (1, "b"), (2, "C")]))
+
+
+def test_exact_dedup_agrees_with_its_sql_on_repeated_rows(spark):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    rows = [(1, "a"), (1, "a"), (2, "A"), (3, "b"), (4, None), (5, "")]
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(c.sql(queries.ORACLE["op6_exact_dedup"]).fetchall())
+    got = exact_dedup.exact_dedup(frame(spark, rows)).select("id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hot_keys(spark):
+    """A third of the rows with one text, one fingerprint and one hub of links: the same result as for few."""
+    texts = [(i, "the same text again and again" if i % 3 else f"text number {i} of many with words {i * i}") for i in range(600)]
+    got = exact_dedup.exact_dedup(frame(spark, texts)).collect()
+    assert len(got) == 600 and {r.group_size for r in got} == {1, 400} and sum(r.kept for r in got) == 201
+    groups = simhash.near_groups(frame(spark, texts)).collect()
+    assert len(groups) == 600 and {r.component_id for r in groups if r.id % 3} == {1}
+    links = [(0, i) for i in range(1, 500)] + [(i, i + 1) for i in range(500, 520)]
+    labels = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert labels == {i: 0 if i < 500 else 500 for i in range(521)}
 
 
 def fingerprint(text):

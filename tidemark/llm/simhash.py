@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, written
+from .common import hot_bound, join_hot, short_batches, written
 from .components import connected_components
 
 SEED = 42
@@ -186,12 +186,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     short_batches(docs.sparkSession)
     marked = written(fingerprints(docs, id_col, text_col, shingle))
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     labels = connected_components(near_links(distinct, max_distance))
-    grouped = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(named, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    grouped = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component")))
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    by_fp = join_hot(grouped, named, "component", F.col("fps") > hot_bound(distinct.count())).select("fp", "copies", "component_id")
+    found = join_hot(marked, by_fp, "fp", F.col("copies") > hot_bound(marked.count()))
+    return found.select("id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3) -> DataFrame:
