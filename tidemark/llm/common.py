@@ -90,3 +90,13 @@ def ascii_lower(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def sampled(rows: DataFrame, total: int, most: int, *by: str) -> DataFrame:
+    """About `most` of the `total` rows, picked by a hash of the columns `by`; all rows where there are no more.
+
+    The share is a fraction of 2**53, so it does not round to nothing on very large tables, and never under 1 in 2**53.
+    """
+    if total <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*by), 11) < max(1, (most << 53) // total))

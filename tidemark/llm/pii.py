@@ -34,40 +34,63 @@ _VALUE = re.compile(
     )(?![0-9A-Za-z_])""",
     re.VERBOSE,
 )
-_LOCAL = re.compile(r"[A-Za-z0-9._%+À-ÿ-]+\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+À-ÿ-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _TRIGGER = re.compile(r"[0-9@]")
-
-
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size): Feistel rounds over the next even number of bits, walked back into range."""
-    if size < 2:
-        return value
+#: Calling codes of one and two digits; all others have three.
+ONE_DIGIT_CODES = ("1", "7")
+TWO_DIGIT_CODES = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: The characters that stand for each other in a pseudonym; capitals go with their lower-case alphabet.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ßÿ")
+_PLACES = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
+#: Characters of an e-mail address that are permuted together, at most.
+PIECE = 64
+#: Up to this size of a domain a pseudonym is made by a permutation without fixed points.
+SMALL_DOMAIN = 1 << 20
+
+
+def _rounds(value: int, size: int, key: bytes, tweak: str, numbers: range, undo: bool = False) -> int:
+    """Feistel rounds over the next even number of bits, walked back into range(size)."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         left, right = value >> half, value & mask
-        for r in range(ROUNDS):
-            block = blake2b(f"{tweak}/{size}/{r}/{right}".encode(), key=key, digest_size=(half + 7) // 8 + 8).digest()
-            left, right = right, left ^ (int.from_bytes(block, "big") & mask)
+        for r in numbers:
+            if undo:
+                left, right = right, left
+            block = blake2b(f"{tweak}/{size:x}/{r}/{right:x}".encode(), key=key, digest_size=(half + 7) // 8 + 8).digest()
+            mixed = left ^ (int.from_bytes(block, "big") & mask)
+            left, right = (mixed, right) if undo else (right, mixed)
         value = left << half | right
         if value < size:
             return value
 
 
+def permute(value: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(size); in small domains, where chance would leave values as they are, one without
+    fixed points: a step around the circle on which the Feistel network has laid the values."""
+    if size < 2:
+        return value
+    value = _rounds(value, size, key, tweak, range(ROUNDS))
+    if size > SMALL_DOMAIN:
+        return value
+    return _rounds((value + 1) % size, size, key, tweak, range(ROUNDS - 1, -1, -1), undo=True)
+
+
 def _permute_text(text: str, key: bytes, tweak: str) -> str:
-    """Digits become digits and letters letters, in their places and case; all else stays."""
-    radix = [10 if c in "0123456789" else 26 if "a" <= c.lower() <= "z" else 1 for c in text]
+    """Digits become digits and letters letters of their alphabet, in their places and case; all else stays."""
+    places = [_PLACES.get(c.lower()) for c in text]
     value, size = 0, 1
-    for c, r in zip(text, radix, strict=True):
-        if r > 1:
-            value, size = value * r + (int(c) if r == 10 else ord(c.lower()) - 97), size * r
-    value = permute(value, size, key, tweak)
+    for p in places:
+        if p:
+            value, size = value * len(ALPHABETS[p[0]]) + p[1], size * len(ALPHABETS[p[0]])
+    value = permute(value, size, key, tweak + "".join("-" if p is None else str(p[0]) for p in places))
     out = []
-    for c, r in zip(reversed(text), reversed(radix), strict=True):
-        if r > 1:
-            value, digit = divmod(value, r)
-            c = str(digit) if r == 10 else chr(97 + digit).upper() if c.isupper() else chr(97 + digit)
+    for c, p in zip(reversed(text), reversed(places), strict=True):
+        if p:
+            value, at = divmod(value, len(ALPHABETS[p[0]]))
+            new = ALPHABETS[p[0]][at]
+            c = new.upper() if c.isupper() else new
         out.append(c)
     return "".join(reversed(out))
 
@@ -101,14 +124,19 @@ def _iban_digits(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-def _day(year: int, month: int, day: int, key: bytes) -> date | None:
+def _day(year: int, month: int, day: int, key: bytes, widths: tuple[int, int] = (2, 2)) -> date | None:
+    """The pseudonym of a day whose month and day take so many digits, among the days that do so too."""
     try:
         n = date(year, month, day).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= n <= LAST_DAY:
         return None
-    return date.fromordinal(FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "day"))
+    while True:
+        n = FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "day")
+        made = date.fromordinal(n)
+        if made.month < 10 ** widths[0] and made.day < 10 ** widths[1]:
+            return made
 
 
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
@@ -124,19 +152,24 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         return day and day.isoformat()
     if kind == "dmy":
         mark = "." if "." in value else "/"
-        d, m, y = map(int, value.split(mark))
-        month_first = d <= 12 < m
-        day = _day(y, *((d, m) if month_first else (m, d)), key)
+        parts = value.split(mark)
+        a, b, y = map(int, parts)
+        month_first = a <= 12 < b
+        widths = tuple(map(len, parts[:2]))
+        day = _day(y, *((a, b) if month_first else (b, a)), key, widths if month_first else widths[::-1])
         if day is None:
             return None
-        return f"{day.month:02d}{mark}{day.day:02d}{mark}{day.year}" if month_first else f"{day.day:02d}{mark}{day.month:02d}{mark}{day.year}"
+        made = (day.month, day.day) if month_first else (day.day, day.month)
+        return mark.join([*(f"{n:0{w}d}" for n, w in zip(made, widths, strict=True)), str(day.year)])
     digits = re.sub(r"\D", "", value)
     if kind == "ssn":
         return None if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else _fill(value, _permute_text(digits, key, "ssn"))
     if kind == "phone":
         if not 9 <= len(digits) <= 15:
             return None
-        country = len(digits) - 10 if value[0] == "+" and len(digits) > 10 else 0
+        country = 0
+        if value[0] == "+":
+            country = 1 if digits.startswith(ONE_DIGIT_CODES) else 2 if digits.startswith(TWO_DIGIT_CODES) else 3
         return _fill(value, digits[:country] + _permute_text(digits[country:], key, "phone"))
     if kind == "card":
         return _fill(value, _number(digits, key))
@@ -147,15 +180,18 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         rest = _permute_text(plain[4:], key, "iban")
         source = iter(plain[:2] + _iban_digits(plain[:2], rest) + rest)
         return "".join(c if c == " " else next(source) for c in value)
-    return _permute_text(value, key, "email")
+    # a piece at a time, so that an endless run before an @ takes time in proportion
+    return "".join(_permute_text(value[at : at + PIECE], key, f"email{at}") for at in range(0, len(value), PIECE))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            yield local.start(), at
+        start = at
+        while start and _LOCAL.match(text, start - 1):
+            start -= 1
+        if start < at and _DOMAIN.match(text, at + 1):
+            yield start, at
         at = text.find("@", at + 1)
 
 
@@ -179,7 +215,7 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
     out, done, spans, length = [], 0, [], 0
     for start, end, kind in find_values(text):
         new = cached(kind, text[start:end])
-        if new is None:
+        if new is None or new == text[start:end]:  # not valid, or nothing in it that could change
             continue
         out += [text[done:start], new]
         length += start - done
@@ -197,6 +233,9 @@ def _cached(key: bytes):
 def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, text with pseudonyms, n_values, values (kind, start, end, pseudonym).
 
+    Values are e-mail addresses (the part before the @; the domain stays), telephone and card numbers, IPv4 addresses
+    (IPv6 ones stay), IBANs, US social security numbers and dates from 1900 to 2099 as 2024-02-29, 29.2.2024 or 2/29/2024.
+    A value in which nothing can change (an address of marks only) stays and is not counted. Whole texts are searched.
     Null texts stay null, empty ones empty, both without values. Repeated rows give a row each; other columns are
     ignored. The key has 1 to 64 bytes; whoever holds it can link and undo pseudonyms.
     """

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import short_batches, written
+from .common import sampled, short_batches, written
 
 #: Documents that the scorer learns from, about, at most.
 MAX_ROWS = 6000
@@ -34,7 +34,19 @@ GOOD, NONE, BAD = 2, 1, 0
 #: Frequent function words of the four languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as with on be at by this are was or from der die und in den von zu das mit sich des auf für ist im dem nicht ein eine le la les et des en un une du dans que est pour qui sur pas au el los las y del que en un una por con para se".split())
 _NOISY = re.compile(r"[^\w\s]{2,}(?=\s|$)")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
+
+
+class _Case(dict):
+    """Capitals of a word, times 2**32, and its letters."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > WORDS_CACHED:
+            self.clear()
+        both = self[word] = (sum(map(str.isupper, word)) << 32) + sum(map(str.isalpha, word))
+        return both
+
+
+_CASE = _Case()
 
 LABELLERS = ("symbols", "capitals", "tables", "one_word", "stutter", "function_words", "length", "lines", "sentences")
 
@@ -51,7 +63,8 @@ def votes(text: str | None) -> list[int]:
     if not n:
         return [NONE] * 6 + [BAD] + [NONE] * 2
     noisy = len(_NOISY.findall(text)) / n
-    upper = sum(map(len, _UPPER.findall(text))) / sum(map(len, words))
+    capitals, letters = divmod(sum(map(_CASE.__getitem__, words)), 1 << 32)
+    upper = capitals / max(1, letters)
     bars = text.count("|") / n
     lower = text.lower().split()
     counts = Counter(lower)
@@ -153,7 +166,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     patterns = {r["pattern"]: r["count"] for r in rows.mapInArrow(vote_on, kinds).groupBy("pattern").count().collect()}
     posterior = fit_labellers(patterns)[2]
     total = sum(patterns.values())
-    part = rows if total <= max_rows else rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * max_rows // total)
+    # by id and text, so that rows of one id do not come or go together
+    part = sampled(rows, total, max_rows, "id", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
@@ -170,8 +184,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready = written(part.mapInArrow(hashed, "posterior double, slots array<int>, shares array<double>").coalesce(8))
     ready = ready.select(sparse("slots", "shares").alias("features"), F.explode(F.array(*(F.struct(F.lit(y).alias("label"), w.alias("weight")) for y, w in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))))).alias("x"))
     ready = ready.select("features", "x.*").where("weight > 0.001")
-    intercept, weights = 0.0, np.zeros(1 << HASH_BITS)
-    if total:
+    good = sum(n * posterior[c] for c, n in patterns.items())
+    intercept, weights = float(np.log((good + 1) / (total - good + 1))), np.zeros(1 << HASH_BITS)
+    if not ready.isEmpty():
         fitted = LogisticRegression(maxIter=60, regParam=1e-5, weightCol="weight", standardization=False).fit(ready)
         intercept, weights = float(fitted.intercept), fitted.coefficients.toArray()
     shared = spark.sparkContext.broadcast((intercept, weights, posterior))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import fold, short_batches, written
+from .common import fold, sampled, short_batches, written
 
 #: Labelled rows that fitting uses, about, at most.
 MAX_ROWS = 24_000
@@ -120,7 +120,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> tuple[frozenset,
                 toxic += [label] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(toxic, pa.int32())], ["key", "toxic"])
 
-    rows = rows.dropDuplicates(["text"])
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # a text that both labels have is toxic
     n = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n[0] or not n[1]:
         return frozenset(), frozenset()
@@ -171,8 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(fold(F.col("__id"), FOLDS) != HELD_OUT).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < 1_000_000 * max_rows // n)
+    known = sampled(known, n, max_rows, "__id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
     rows = written(rows.join(F.broadcast(known), "__id").select("text", "toxic", fold(F.col("__id"), FOLDS).alias("fold")))
     by = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
