@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import inference, models, portfolio
 
@@ -65,3 +66,82 @@ def test_series_tests(spark):
     sharpe = {x.symbol: x for x in inference.sharpe_inference(df).collect()}
     assert sharpe["a"].dsr <= sharpe["a"].psr and sharpe["a"].min_track_record_years > 0
     assert inference.hac_mean_test(df.limit(0)).count() == 0
+
+
+def test_student_p():
+    """Two-sided tails from printed tables."""
+    for t, df, p in ((2.228, 10, 0.05), (1.96, 1e6, 0.05), (12.706, 1, 0.05), (0.0, 7, 1.0), (3.169, 10, 0.01), (-2.0, 60, 0.05)):
+        assert inference._student_tail(t, df) == pytest.approx(p, abs=2e-4)
+
+
+def test_diebold_mariano(spark):
+    from tidemark.operators import evaluation
+
+    g = np.random.default_rng(4)
+    d = g.normal(0.2, 1, 80)
+    start = dt.datetime(2020, 1, 1)
+    rows = spark.createDataFrame([(start + dt.timedelta(days=i), float(x)) for i, x in enumerate(d)], "ts timestamp, d double")
+    got = evaluation.diebold_mariano(rows, horizon=3, lags=2).first()
+    e = d - d.mean()
+    lrv = e @ e / 80 + sum(2 * (1 - k / 3) * (e[k:] @ e[:-k]) / 80 for k in (1, 2))
+    factor = math.sqrt((80 + 1 - 6 + 6 / 80) / 80)
+    assert got.statistic == pytest.approx(d.mean() / math.sqrt(lrv / 80) * factor)
+    assert got.p == pytest.approx(inference._student_tail(got.statistic, 79)) and got.lags == 2
+    assert evaluation.diebold_mariano(rows, horizon=6).first().lags == 5
+    assert evaluation.diebold_mariano(rows.limit(9)).count() == 0
+    with pytest.raises(ValueError):
+        evaluation.diebold_mariano(rows, horizon=0)
+
+
+def test_adjusted_p_values(spark):
+    from tidemark.operators import evaluation
+
+    p = [0.01, 0.04, 0.03, 0.03, 0.5, None]
+    rows = spark.createDataFrame(list(enumerate(p)), "i int, p double")
+    got = [r.p_adjusted for r in evaluation.adjust_pvalues(rows).orderBy("i").collect()]
+    assert got[:5] == pytest.approx([0.05, 0.05, 0.05, 0.05, 0.5]) and got[5] is None
+
+
+def test_order_and_drawdowns(spark):
+    from tidemark.operators import backtest, quality
+
+    day = lambda n: dt.datetime(2020, 1, n)
+    bar = lambda n, at: ("A", day(n), day(n) + dt.timedelta(hours=21), at, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
+    names = "symbol string, ts timestamp, available_at timestamp, arrival int, open double, high double, low double, close double, adj_close double, volume double"
+    bars = spark.createDataFrame([bar(3, 1), bar(1, 2), bar(2, 3)], names)
+    status = {r.check_name: r.status for r in quality.price_report(bars, arrival="arrival").collect()}
+    assert status["monotonic_time"] == "FAIL" and status["no_duplicates"] == "PASS"
+    assert {r.check_name: r.status for r in quality.price_report(bars).collect()}["monotonic_time"] == "PASS"
+    with pytest.raises(quality.StaleData):
+        quality.assert_fresh(bars, F.lit(dt.date(2020, 1, 20)))
+    assert quality.assert_fresh(bars, F.lit(dt.date(2020, 1, 5))) is bars
+    curve = spark.createDataFrame([("x", day(i + 1), v) for i, v in enumerate([100.0, 90.0, 80.0, 100.0, 99.0, 120.0, 60.0])], "run string, ts timestamp, equity double")
+    got = [(r.start.day, r.trough_ts.day, r.end.day, round(r.depth, 6), r.length, r.underwater) for r in backtest.drawdown_episodes(curve).orderBy("place").collect()]
+    assert got == [(7, 7, 7, -0.5, 1, 1), (2, 3, 4, -0.2, 3, 2), (5, 5, 6, -0.01, 2, 1)]
+
+
+def test_ewm_over_many_chunks_and_gaps(spark):
+    import pandas as pd
+
+    from tidemark.functions import causal
+
+    g = np.random.default_rng(5)
+    x = g.normal(size=2000).cumsum() + 50
+    x[[0, 1, 700, 701, 702]] = np.nan
+    x[900:1500] = np.nan
+    rows = [("s", dt.datetime(2000, 1, 1) + dt.timedelta(days=i), None if math.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
+    got = causal.ewm(df, {"a": ("x", 2 / 22, 21), "b": ("x", 0.5, 1), "c": ("x", 1.0, 1)}).toPandas().sort_values("ts")
+    for name, alpha, least in (("a", 2 / 22, 21), ("b", 0.5, 1), ("c", 1.0, 1)):
+        want = pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
+        np.testing.assert_allclose(got[name].to_numpy(dtype=float), want, rtol=1e-10)
+
+
+def test_upsert_batches(spark, tmp_path):
+    from tidemark.streaming.bars import upsert_batches
+
+    rows = [("a", 1, 1.0), ("a", 2, 2.0), ("b", 5, 3.0), ("b", 4, 9.0)]
+    spark.createDataFrame(rows, "k string, ingest_seq int, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ingest_seq int, v double").parquet(str(tmp_path / "in"))
+    upsert_batches(stream, ["k"], lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 2.0), ("b", 3.0)]

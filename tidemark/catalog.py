@@ -308,7 +308,12 @@ def _(spark, sf_dir):
     return risk.var_breach_rate(derived.bars(spark, sf_dir))
 
 
-EPISODES = f"(SELECT symbol, min(ts) AS start, arg_min(ts, dd) AS trough_ts, max(ts) AS finish, min(dd) AS depth, count(*) AS length FROM (SELECT *, sum(CASE WHEN dd >= -1e-12 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, close / max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars)) WHERE dd < -1e-12 GROUP BY symbol, island)"
+_PEAKS = f"(SELECT *, max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) AS peak FROM bars)"
+_UNDER = f"(SELECT symbol, ts, close / peak - 1 AS dd, close < peak AS under, CASE WHEN close < peak THEN 0 ELSE 1 END AS at_peak FROM {_PEAKS})"
+_ISLANDS = f"(SELECT *, sum(at_peak) OVER ({W} ROWS UNBOUNDED PRECEDING) - at_peak AS island FROM {_UNDER})"
+EPISODES = f"""(SELECT symbol, min(ts) FILTER (under) AS start, arg_min(ts, dd) AS trough_ts, max(ts) AS finish, min(dd) AS depth,
+  count(*) AS length, count(*) FILTER (under) AS underwater
+  FROM {_ISLANDS} GROUP BY symbol, island HAVING count(*) FILTER (under) > 0)"""
 
 
 @query("drawdown_episodes_topk", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY depth, start) AS place FROM {EPISODES}) WHERE place <= 3", "depth", "start trough_ts finish")
@@ -317,28 +322,70 @@ def _(spark, sf_dir):
     return backtest.drawdown_episodes(curve, "symbol", 3).withColumnRenamed("end", "finish").withColumn("place", F.col("place").cast("long"))
 
 
-@query("underwater_duration", f"SELECT symbol, max(length) AS longest FROM {EPISODES} GROUP BY symbol")
+@query("underwater_duration", f"SELECT symbol, max(underwater) AS longest FROM {EPISODES} GROUP BY symbol")
 def _(spark, sf_dir):
     curve = derived.bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("equity"))
-    return backtest.drawdown_episodes(curve, "symbol", 1 << 30).groupBy("symbol").agg(F.max("length").alias("longest"))
+    return backtest.drawdown_episodes(curve, "symbol", 1 << 30).groupBy("symbol").agg(F.max("underwater").alias("longest"))
 
 
-@query("ewm_mean")
+def _recursive_sql(values: str, means: dict[str, str], alpha: str) -> str:
+    """symbol, i, ts and the recursive mean of each expression over the numbered rows that `values` selects (symbol, i, ts, ...)."""
+    first = ", ".join(f"{x} AS {k}" for k, x in means.items())
+    step = ", ".join(f"e.{k} * (1 - {alpha}) + {alpha} * s.{x}" for k, x in means.items())
+    return f"""(WITH RECURSIVE s AS MATERIALIZED ({values}), e AS (SELECT symbol, i, ts, {first} FROM s WHERE i = 1
+      UNION ALL SELECT s.symbol, s.i, s.ts, {step} FROM e JOIN s ON s.symbol = e.symbol AND s.i = e.i + 1) SELECT * FROM e)"""
+
+
+_CLOSES = f"SELECT symbol, ts, close, row_number() OVER ({W}) AS i FROM bars"
+_EWM = _recursive_sql(_CLOSES, {"ewm": "close"}, "(2.0 / 22)")
+
+
+@query("ewm_mean", f"SELECT symbol, ts, CASE WHEN i >= 21 THEN ewm END AS ewm FROM {_EWM}", "ewm", "ts")
 def _(spark, sf_dir):
     return c.ewm_mean(derived.bars(spark, sf_dir), "close", 21).select("symbol", "ts", "ewm")
 
 
-@query("rsi_14")
+_CHANGES = f"SELECT symbol, ts, greatest(c, 0) AS up, greatest(-c, 0) AS down, row_number() OVER ({W}) AS i FROM (SELECT symbol, ts, close - lag(close) OVER ({W}) AS c FROM bars) WHERE c IS NOT NULL"
+_WILDER = _recursive_sql(_CHANGES, {"gain": "up", "loss": "down"}, "(1.0 / 14)")
+_RSI_VALUE = "CASE WHEN i < 14 OR (gain = 0 AND loss = 0) THEN NULL WHEN loss = 0 THEN 100 WHEN gain = 0 THEN 0 ELSE 100 - 100 / (1 + gain / loss) END"
+_RSI = f"(SELECT b.symbol, b.ts, {_RSI_VALUE} AS rsi FROM bars b LEFT JOIN {_WILDER} e ON e.symbol = b.symbol AND e.ts = b.ts)"
+_RANGES = f"SELECT symbol, ts, greatest(high - low, coalesce(abs(high - p), 0), coalesce(abs(low - p), 0)) AS tr, row_number() OVER ({W}) AS i FROM (SELECT *, lag(close) OVER ({W}) AS p FROM bars)"
+_ATR = f"(SELECT symbol, ts, CASE WHEN i >= 14 THEN atr END AS atr FROM {_recursive_sql(_RANGES, {'atr': 'tr'}, '(1.0 / 14)')})"
+
+
+@query("rsi_14", f"SELECT * FROM {_RSI}", "rsi", "ts")
 def _(spark, sf_dir):
     return c.rsi(derived.bars(spark, sf_dir), "adj_close").select("symbol", "ts", "rsi")
 
 
-@query("atr_14")
+@query("atr_14", f"SELECT * FROM {_ATR}", "atr", "ts")
 def _(spark, sf_dir):
     return c.average_true_range(derived.bars(spark, sf_dir)).select("symbol", "ts", "atr")
 
 
-@query("price_features_24")
+def _z(n: int, x: str) -> str:
+    return f"({x} - ({_full(n, x, f'avg({x})')})) / nullif({_std(x, n)}, 0)"
+
+
+_FEATURES = {f"ret_{n}d": f"close / lag(close, {n}) OVER ({W}) - 1" for n in (1, 5, 21)}
+_FEATURES |= {f"mom_{n}d": f"close / lag(close, {n}) OVER ({W}) - 1" for n in (21, 63, 126, 252)}
+_FEATURES["mom_252d_skip21"] = f"lag(close, 21) OVER ({W}) / lag(close, 252) OVER ({W}) - 1"
+_FEATURES |= {f"vol_{n}d": f"({_std('lr', n)}) * sqrt(252)" for n in (21, 63)}
+_FEATURES |= {f"downside_vol_{n}d": f"({_std('down', n)}) * sqrt(252)" for n in (21, 63)}
+_FEATURES |= {f"price_to_ma_{n}": f"close / ({_full(n, 'close', 'avg(close)')}) - 1" for n in (20, 50, 200)}
+_FEATURES["ma_ratio_20_100"] = f"({_full(20, 'close', 'avg(close)')}) / ({_full(100, 'close', 'avg(close)')}) - 1"
+_FEATURES |= {f"ret_zscore_{n}d": _z(n, "r") for n in (21, 63)}
+_FEATURES["volume_zscore_21d"] = _z(21, "lv")
+_FEATURES["dollar_volume_ratio_21d"] = f"dv / ({_full(21, 'dv', 'avg(dv)')}) - 1"
+_FEATURES["ret_skew_63d"] = _full(63, "r", "skewness(r)")
+_FEATURES["drawdown_252d"] = f"close / ({_full(252, 'close', 'max(close)')}) - 1"
+_INPUTS = f"(SELECT *, CASE WHEN lr < 0 THEN lr ELSE 0.0 END AS down, ln(1 + volume) AS lv, volume * close AS dv FROM {LOGS})"
+_WINDOWS = f"(SELECT symbol, ts, available_at, close, {', '.join(f'{x} AS {k}' for k, x in _FEATURES.items())} FROM {_INPUTS})"
+_ALL = f"""SELECT f.* EXCLUDE (close), rsi AS rsi_14, atr / f.close AS atr_14_normalised FROM {_WINDOWS} f
+  JOIN {_RSI} r ON r.symbol = f.symbol AND r.ts = f.ts JOIN {_ATR} a ON a.symbol = f.symbol AND a.ts = f.ts WHERE ret_1d IS NOT NULL"""
+
+
+@query("price_features_24", _ALL, " ".join([*_FEATURES, "rsi_14", "atr_14_normalised"]), "ts available_at")
 def _(spark, sf_dir):
     return features.price_features(derived.bars(spark, sf_dir))
 
@@ -409,16 +456,27 @@ def _checks_sql(rows: str, entity: str, checks: list[tuple[str, str, str, str]])
     return " UNION ALL ".join(f"SELECT {entity} AS entity, '{n}' AS check_name, CAST({o} AS DOUBLE) AS observed, CASE WHEN {ok} THEN 'PASS' ELSE '{bad}' END AS status FROM {rows} q" for n, o, ok, bad in checks)
 
 
-_GOT = f"(SELECT symbol, count(*) AS n, count(*) FILTER (prev = ts) AS repeated, count(*) FILTER (gap < 0) AS disorder, count(*) FILTER (available_at < ts) AS early, count(*) FILTER (high < greatest(open, close) OR low > least(open, close) OR high < low) AS odd, count(*) FILTER (open <= 0) + count(*) FILTER (high <= 0) + count(*) FILTER (low <= 0) + count(*) FILTER (close <= 0) + count(*) FILTER (adj_close <= 0) AS signs, 0.0 AS missing, count(*) FILTER (abs(close / prev_close - 1) > 0.5) AS jumps, count(*) FILTER (gap > 7) AS gaps FROM (SELECT *, lag(ts) OVER w AS prev, lag(close) OVER w AS prev_close, date_diff('day', lag(ts) OVER w, ts) AS gap FROM bars WINDOW w AS ({W})) GROUP BY symbol)"
+#: Bars whose arrival is now and then late, so that the check of their order has something to find.
+_ARRIVAL = "ts + CASE WHEN symbol = '3-MEDIUM' AND day(ts) % 5 = 0 THEN INTERVAL 73 HOUR ELSE INTERVAL 0 HOUR END"
+_LAGS = f"""(SELECT *, lag(ts) OVER w AS prev, lag(close) OVER w AS prev_close, date_diff('day', lag(ts) OVER w, ts) AS gap,
+  lag(ts) OVER (PARTITION BY symbol ORDER BY arrival) > ts AS back
+  FROM (SELECT *, {_ARRIVAL} AS arrival FROM bars) WINDOW w AS ({W}))"""
+_SIGNS = " + ".join(f"count(*) FILTER ({x} <= 0)" for x in ("open", "high", "low", "close", "adj_close"))
+_ODD = "high < greatest(open, close) OR low > least(open, close) OR high < low"
+_GOT = f"""(SELECT symbol, count(*) AS n, count(*) FILTER (prev = ts) AS repeated, count(*) FILTER (back) AS disorder,
+  count(*) FILTER (available_at < ts) AS early, count(*) FILTER ({_ODD}) AS odd, {_SIGNS} AS signs, 0.0 AS missing,
+  count(*) FILTER (abs(close / prev_close - 1) > 0.5) AS jumps, count(*) FILTER (gap > 7) AS gaps FROM {_LAGS} GROUP BY symbol)"""
 _ZERO = [("no_duplicates", "repeated"), ("monotonic_time", "disorder"), ("availability", "early"), ("ohlc_consistency", "odd"), ("positive_prices", "signs")]
 
 
 @query("quality_price_report", _checks_sql(_GOT, "symbol", [("row_count", "n", "n >= 1", "FAIL"), *((a, b, f"{b} = 0", "FAIL") for a, b in _ZERO), ("missing_values", "missing", "missing <= 0.02", "WARN"), ("extreme_returns", "jumps", "n >= 3 AND jumps = 0", "WARN"), ("calendar_gaps", "gaps", "n >= 3 AND gaps = 0", "WARN")]), "observed")
 def _(spark, sf_dir):
-    return quality.price_report(derived.bars(spark, sf_dir))
+    late = (F.col("symbol") == "3-MEDIUM") & (F.dayofmonth("ts") % 5 == 0)
+    arrival = F.col("ts") + F.when(late, F.expr("INTERVAL 73 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    return quality.price_report(derived.bars(spark, sf_dir).withColumn("arrival", arrival), arrival="arrival")
 
 
-_MGOT = "(SELECT code, count(*) AS n, count(*) FILTER (prev = ts) AS repeated, count(*) FILTER (prev > ts) AS disorder, count(*) FILTER (available_at < ts) AS early, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM (SELECT *, lag(ts) OVER (PARTITION BY code ORDER BY ts) AS prev FROM macro) GROUP BY code)"
+_MGOT = "(SELECT code, count(*) AS n, count(*) FILTER (prev = ts) AS repeated, count(*) FILTER (back) AS disorder, count(*) FILTER (available_at < ts) AS early, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM (SELECT *, lag(ts) OVER (PARTITION BY code ORDER BY ts) AS prev, lag(ts) OVER (PARTITION BY code ORDER BY available_at) > ts AS back FROM macro) GROUP BY code)"
 
 
 @query("quality_macro_report", _checks_sql(_MGOT, "code", [("row_count", "n", "n >= 1", "FAIL"), *((a, b, f"{b} = 0", "FAIL") for a, b in _ZERO[:3]), ("missing_values", "missing", "missing <= 0.2", "WARN")]), "observed")
@@ -475,9 +533,16 @@ def _(spark, sf_dir):
     return evaluation.daily_loss_differential(derived.predictions(spark, sf_dir), "hist21", "zero")
 
 
-@query("dm_statistic", "SELECT n, mean, mean / sqrt(greatest((g0" + "".join(f" + 2 * {1 - k / 6} * g{k}" for k in range(1, 6)) + ") / n, 1e-300) / n) AS statistic FROM (SELECT any_value(n) AS n, any_value(mean) AS mean, sum(e * e) AS g0, " + ", ".join(f"sum(e * e{k}) AS g{k}" for k in range(1, 6)) + " FROM (SELECT *, " + ", ".join(f"lag(e, {k}) OVER (ORDER BY ts) AS e{k}" for k in range(1, 6)) + f" FROM (SELECT ts, d - avg(d) OVER () AS e, avg(d) OVER () AS mean, count(*) OVER () AS n FROM {_DIFF})))", "mean statistic")
+_DM = f"(SELECT 'd' AS symbol, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n, avg(d) OVER () AS mean, d - avg(d) OVER () AS d FROM {_DIFF})"
+_DM_LAGS = f"(SELECT CAST(greatest(4, floor(4 * pow(any_value(n) / 100.0, 2.0 / 9))) AS INTEGER) AS lags FROM {_DM})"
+_DM_LRV = f"""(SELECT a.n, a.mean, l.lags, sum(a.d * b.d * CASE WHEN a.i = b.i THEN 1.0 ELSE 2.0 * (1 - (a.i - b.i) / (l.lags + 1.0)) END) / a.n AS lrv
+  FROM {_DM} a JOIN {_DM_LAGS} l ON true JOIN {_DM} b ON b.i BETWEEN a.i - l.lags AND a.i GROUP BY a.n, a.mean, l.lags)"""
+
+
+@query("dm_statistic", f"SELECT n, lags, mean, mean / sqrt(greatest(lrv, 1e-300) / n) * sqrt((n + 1 - 10 + 20.0 / n) / n) AS statistic FROM {_DM_LRV} WHERE n >= 10", "mean statistic")
 def _(spark, sf_dir):
-    return evaluation.diebold_mariano(evaluation.daily_loss_differential(derived.predictions(spark, sf_dir), "hist21", "zero"), 5)
+    daily = evaluation.daily_loss_differential(derived.predictions(spark, sf_dir), "hist21", "zero")
+    return evaluation.diebold_mariano(daily, horizon=5).drop("p")
 
 
 _TESTS = "(SELECT symbol, exp(-abs(avg(r) / stddev_samp(r)) * sqrt(count(*))) AS p FROM rets GROUP BY symbol)"
@@ -571,7 +636,13 @@ def _(spark, sf_dir):
     return risk.value_at_risk(_returns(spark, sf_dir))
 
 
-@query("return_description")
+_MOMENTS = """(SELECT symbol, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, quantile_cont(r, 0.05) AS q05, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.95) AS q95,
+  (avg(r ** 3) - 3 * avg(r) * avg(r ** 2) + 2 * avg(r) ** 3) / var_pop(r) ** 1.5 AS skew, kurtosis_pop(r) AS kurtosis, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS positive
+  FROM rets WHERE r IS NOT NULL GROUP BY symbol)"""
+_JB = "n / 6.0 * (skew ** 2 + kurtosis ** 2 / 4)"
+
+
+@query("return_description", f"SELECT *, {_JB} AS jarque_bera, exp(-({_JB}) / 2) AS jb_p FROM {_MOMENTS}", "mean sd q05 q50 q95 skew kurtosis positive jarque_bera jb_p")
 def _(spark, sf_dir):
     return risk.describe(_returns(spark, sf_dir))
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -109,17 +108,41 @@ def forward_return(x: Column, horizon: int) -> Column:
 def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]]) -> DataFrame:
     """df with recursive exponential means: name -> (column, alpha, observations needed).
 
-    The recursion has no window form, so each symbol's rows go through pandas in one group.
+    A step of the recursion is an affine map of the mean before, and maps compose: each symbol is cut into chunks of rows
+    within which the maps are summed up by windows, every chunk's map is one row, and what a chunk inherits comes from the
+    three before it (all that is older has a weight under e**-60). Missing observations keep the mean and age it, as the
+    weights of the next observation show.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        for name, (column, alpha, least) in sources.items():
-            rows[name] = rows[column].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return rows
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{k}` double" for k in sources])
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    time = by_symbol()
+    past = time.rowsBetween(W.unboundedPreceding, 0)
+    out = df.withColumn("__ewm_i", F.row_number().over(time) - 1)
+    for name, (column, alpha, least) in sources.items():
+        x, i = F.col(f"`{column}`").cast("double"), F.col("__ewm_i")
+        kept = -math.log1p(-alpha) if alpha < 1 else 700.0
+        size = max(8, math.ceil(20 / kept))
+        before = F.last(F.when(x.isNotNull(), i), ignorenulls=True).over(time.rowsBetween(W.unboundedPreceding, -1))
+        rows = out.withColumn("__ewm_chunk", F.floor(i / size)).withColumn("__ewm_gap", i - before).withColumn("__ewm_n", F.count(x).over(past))
+        old = F.exp(F.greatest(-kept * F.col("__ewm_gap"), F.lit(-300.0)))
+        seen, later = x.isNotNull(), F.col("__ewm_gap").isNotNull()
+        # mean = factor * mean before + part; the first observation is the mean
+        rows = rows.withColumn("__ewm_log", F.when(seen & later, F.ln(old / (old + alpha))).otherwise(0.0))
+        rows = rows.withColumn("__ewm_part", F.when(seen & later, alpha * x / (old + alpha)).when(seen, x).otherwise(0.0))
+        inner = W.partitionBy("symbol", "__ewm_chunk").orderBy("__ewm_i").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("__ewm_log", F.sum("__ewm_log").over(inner))
+        rows = rows.withColumn("__ewm_own", F.exp("__ewm_log") * F.sum(F.col("__ewm_part") * F.exp(-F.col("__ewm_log"))).over(inner))
+        chunks = rows.groupBy("symbol", "__ewm_chunk").agg(F.max_by("__ewm_own", "__ewm_i").alias("end"), F.max_by("__ewm_log", "__ewm_i").alias("log"))
+        order = W.partitionBy("symbol").orderBy("__ewm_chunk")
+        inherited, weight = F.lit(0.0), F.lit(0.0)
+        for k in (1, 2, 3):
+            inherited = inherited + F.coalesce(F.lag("end", k).over(order) * F.exp(weight), F.lit(0.0))
+            weight = weight + F.coalesce(F.lag("log", k).over(order), F.lit(0.0))
+        chunks = chunks.select("symbol", "__ewm_chunk", inherited.alias("__ewm_inherited"))
+        rows = rows.join(chunks, ["symbol", "__ewm_chunk"])
+        mean = F.when(seen, F.exp("__ewm_log") * F.col("__ewm_inherited") + F.col("__ewm_own"))
+        rows = rows.withColumn("__ewm_mean", mean).withColumn("__ewm_mean", F.last("__ewm_mean", ignorenulls=True).over(past))
+        out = rows.withColumn(name, F.when(F.col("__ewm_n") >= least, F.col("__ewm_mean")))
+        out = out.drop("__ewm_chunk", "__ewm_gap", "__ewm_n", "__ewm_log", "__ewm_part", "__ewm_own", "__ewm_inherited", "__ewm_mean")
+    return out.drop("__ewm_i")
 
 
 def ewm_mean(df: DataFrame, column: str, span: int, name: str = "ewm") -> DataFrame:

@@ -104,9 +104,21 @@ def benchmark_stats(returns: DataFrame, run: str = "symbol", periods: int = 252)
 
 
 def drawdown_episodes(curve: DataFrame, run: str = "run", k: int = 5) -> DataFrame:
-    """The k deepest episodes below a running peak per run: start, trough_ts, end (last underwater row), depth, length."""
+    """The k deepest episodes below a running peak per run: start, trough_ts, end, depth, length, underwater, place.
+
+    An episode ends with, and its length counts, the row that is back at the peak; the last one may still be open.
+    underwater counts the rows below the peak alone. Runs of fewer than three rows have no episodes.
+    """
     w = W.partitionBy(run).orderBy("ts")
-    rows = curve.withColumn("dd", F.try_divide("equity", F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0))) - 1)
-    rows = rows.withColumn("island", F.sum((F.col("dd") >= -1e-12).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("dd < -1e-12")
-    got = rows.groupBy(run, "island").agg(F.min("ts").alias("start"), F.min_by("ts", "dd").alias("trough_ts"), F.max("ts").alias("end"), F.min("dd").alias("depth"), F.count(F.lit(1)).alias("length"))
-    return got.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy("depth", "start"))).where(F.col("place") <= k).drop("island")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = curve.where("equity is not null").withColumn("peak", F.max("equity").over(so_far)).withColumn("rows", F.count(F.lit(1)).over(W.partitionBy(run))).where("rows >= 3")
+    rows = rows.withColumn("under", F.col("equity") < F.col("peak")).withColumn("dd", F.try_divide("equity", "peak") - 1)
+    # rows at a peak before this one: the same for all rows of an episode and for the row that ends it
+    at_peak = (~F.col("under")).cast("int")
+    rows = rows.withColumn("island", F.sum(at_peak).over(so_far) - at_peak)
+    got = rows.groupBy(run, "island").agg(
+        F.min(F.when(F.col("under"), F.col("ts"))).alias("start"), F.min(F.when(F.col("under"), F.struct("dd", "ts"))).alias("trough"), F.max("ts").alias("end"),
+        F.count(F.lit(1)).alias("length"), F.count_if("under").alias("underwater"),
+    ).where("underwater > 0")
+    got = got.select(run, "start", F.col("trough.ts").alias("trough_ts"), "end", F.col("trough.dd").alias("depth"), "length", "underwater")
+    return got.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy("depth", "start"))).where(F.col("place") <= k)

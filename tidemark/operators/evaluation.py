@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .inference import autocovariances, centred, long_run, student_p
+
 EPS = 1e-12
 
 
@@ -60,17 +62,29 @@ def daily_loss_differential(preds: DataFrame, candidate: str, baseline: str) ->
     return both.groupBy("ts").agg(F.avg((F.col("y_true") - F.col("pa")) ** 2 - (F.col("y_true") - F.col("pb")) ** 2).alias("d"))
 
 
-def diebold_mariano(diff: DataFrame, lags: int) -> DataFrame:
-    """n, mean and t statistic of a loss differential (ts, d) with a Bartlett long-run variance over `lags` lags."""
-    w = W.orderBy("ts")
-    mean = diff.agg(F.avg("d").alias("mean"), F.count("d").alias("n"))
-    centred = diff.join(F.broadcast(mean)).withColumn("e", F.col("d") - F.col("mean"))
-    moved = centred.select("n", "mean", "e", *(F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, lags + 1)))
-    gamma = F.sum(F.col("e") ** 2)
-    for k in range(1, lags + 1):
-        gamma = gamma + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0))
-    got = moved.groupBy("n", "mean").agg((gamma / F.first("n")).alias("variance"))
-    return got.select("n", "mean", F.try_divide(F.col("mean"), F.sqrt(F.greatest(F.col("variance"), F.lit(1e-300)) / F.col("n"))).alias("statistic"))
+def diebold_mariano(diff: DataFrame, horizon: int = 1, lags: int | None = None, correct: bool = True) -> DataFrame:
+    """n, lags, mean, statistic and p of a loss differential (ts, d): negative values favour the candidate.
+
+    The long-run variance has Bartlett weights; without given lags they follow the number of dates and the horizon. The
+    small-sample correction and the t distribution hold for short samples. Fewer than 10 dates give no row.
+    """
+    if horizon < 1:
+        raise ValueError("the horizon must be positive")
+    n = F.col("n")
+    chosen = F.lit(lags) if lags is not None else F.greatest(F.lit(horizon - 1), F.floor(4 * F.pow(n / 100, F.lit(2 / 9))).cast("int"))
+    series = centred(diff.where(~F.isnan("d")).withColumn("__all", F.lit(0)), "d", "__all", "ts").where(n >= 10)
+    got = long_run(autocovariances(series, "__all", chosen), "__all", chosen)
+    factor = F.sqrt(F.greatest((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n, F.lit(1e-12))) if correct else F.lit(1.0)
+    statistic = F.try_divide(F.col("mean"), F.sqrt(F.col("lrv") / n)) * factor
+    return got.select("n", "lags", "mean", statistic.alias("statistic")).withColumn("p", student_p("statistic", F.col("n") - 1))
+
+
+def paired_t(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    """n, mean difference, t and p of a - b per group; fewer than two pairs or equal differences give null."""
+    d = F.col(a) - F.col(b)
+    got = rows.groupBy(by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).where("n > 0")
+    t = F.try_divide(F.col("mean") * F.sqrt("n"), F.when(F.col("sd") > EPS, F.col("sd")))
+    return got.select(by, "n", "mean", t.alias("t")).withColumn("p", student_p("t", F.col("n") - 1))
 
 
 def adjust_pvalues(tests: DataFrame, p: str = "p", method: str = "bh") -> DataFrame:
@@ -78,6 +92,10 @@ def adjust_pvalues(tests: DataFrame, p: str = "p", method: str = "bh") -> DataFr
     n = F.count(F.lit(1)).over(W.partitionBy())
     if method == "bonferroni":
         return tests.withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * n))
-    rank = F.row_number().over(W.orderBy(p))
-    raw = tests.withColumn("__raw", F.col(p) * n / rank)
-    return raw.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("__raw").over(W.orderBy(p).rowsBetween(0, W.unboundedFollowing)))).drop("__raw")
+    # equal values share a row, so what one task sorts are the distinct values of p alone
+    counts = tests.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__many")).where("__p is not null")
+    below = F.sum("__many").over(W.orderBy("__p"))
+    total = F.sum("__many").over(W.partitionBy())
+    raw = counts.select("__p", (F.col("__p") * total / below).alias("__raw"))
+    least = raw.select("__p", F.least(F.lit(1.0), F.min("__raw").over(W.orderBy("__p").rowsBetween(0, W.unboundedFollowing))).alias("p_adjusted"))
+    return tests.join(least, F.col(p) == F.col("__p"), "left").drop("__p")

@@ -36,7 +36,7 @@ def autocovariances(series: DataFrame, by: str, lags: Column) -> DataFrame:
     return late.join(early, [by, "i"]).groupBy(by, "n", "mean", "k").agg((F.sum(F.col("d") * F.col("before")) / F.first("n")).alias("gamma"))
 
 
-def _long_run(gammas: DataFrame, by: str, lags: Column) -> DataFrame:
+def long_run(gammas: DataFrame, by: str, lags: Column) -> DataFrame:
     """(by, n, mean, lags, lrv): Bartlett-weighted long-run variance, 1e-300 at least."""
     weight = F.when(F.col("k") == 0, 1.0).otherwise(2 * (1 - F.col("k") / (F.col("lags") + 1)))
     used = gammas.withColumn("lags", lags).where(F.col("k") <= F.col("lags"))
@@ -47,7 +47,7 @@ def hac_mean_test(rows: DataFrame, x: str = "r", by: str = "symbol", order: str
     """n, mean, lags and t per group, with Newey-West errors and the automatic lag; groups under 10 values are left out."""
     series = centred(rows, x, by, order).where(F.col("n") >= 10)
     lags = newey_west_lags(F.col("n"))
-    made = _long_run(autocovariances(series, by, lags), by, lags)
+    made = long_run(autocovariances(series, by, lags), by, lags)
     return made.select(by, "n", "mean", "lags", (F.col("mean") / F.sqrt(F.col("lrv") / F.col("n"))).alias("t"))
 
 
@@ -64,7 +64,7 @@ def kpss_test(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "t
     ready = series.join(shape, by).withColumn("own", own).drop("s0", "s1")
     gammas = autocovariances(ready, by, F.col("own"))
     lags = ready.select(by, F.col("own").alias("lags")).distinct()
-    long_run = _long_run(gammas.join(lags, by), by, F.col("lags"))
+    whole = long_run(gammas.join(lags, by), by, F.col("lags"))
     path = series.withColumn("s", F.sum("d").over(W.partitionBy(by).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     eta = path.groupBy(by).agg(F.sum(F.col("s") ** 2).alias("eta"))
     statistic = F.col("eta") / (n * n * F.col("lrv"))
@@ -72,7 +72,7 @@ def kpss_test(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "t
     for (a, b), (pa, pb) in reversed(list(zip(zip(KPSS_CRITICAL, KPSS_CRITICAL[1:]), zip(KPSS_P, KPSS_P[1:]), strict=True))):
         p = F.when(F.col("statistic") <= b, pa + (pb - pa) * (F.col("statistic") - a) / (b - a)).otherwise(p)
     p = F.when(F.col("statistic") <= KPSS_CRITICAL[0], KPSS_P[0]).otherwise(p)
-    return long_run.join(eta, by).withColumn("statistic", statistic).select(by, "n", "lags", "statistic", p.alias("p"))
+    return whole.join(eta, by).withColumn("statistic", statistic).select(by, "n", "lags", "statistic", p.alias("p"))
 
 
 @F.pandas_udf(DoubleType())
@@ -80,6 +80,36 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
 
 
+def _student_tail(t: float, df: float) -> float:
+    """Both tails beyond |t| of the t distribution: the incomplete beta function by its continued fraction."""
+    if math.isnan(t) or math.isnan(df) or df <= 0:
+        return math.nan
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    tiny = 1e-300
+    c, d, total = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny), 0.0
+    total = d
+    for m in range(1, 300):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + top * d) or tiny)
+            c = (1 + top / c) or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    part = front * total / a
+    return 1 - part if flip else part
+
+
+@F.pandas_udf(DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or math.isnan(a) else _student_tail(float(a), float(n)) for a, n in zip(t, df, strict=True)], dtype="float64")
+
+
 def sharpe_inference(returns: DataFrame, by: str = "symbol", periods: int = 252, confidence: float = 0.95) -> DataFrame:
     """n, sharpe (a year), psr, expected_max, dsr and min_track_record_years per group; the groups are the trials.
 

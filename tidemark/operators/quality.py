@@ -25,17 +25,25 @@ def _report(df: DataFrame, entity: str, checks: dict[str, tuple[Column, Column,
     return df.select(F.col(entity).alias("entity"), F.explode(F.array(*rows)).alias("x")).select("entity", "x.*")
 
 
-def price_report(bars: DataFrame, key: tuple[str, str] = ("symbol", "ts"), most_missing: float = 0.02, jump: float = 0.5, gap_days: int = 7) -> DataFrame:
-    """Nine checks per symbol. FAIL: too few rows, repeated keys, order, availability, high/low, signs; WARN: the rest."""
+def _out_of_order(entity: str, arrival: str) -> Column:
+    """Whether the row that arrived just before, in the order of the arrival column, has a later ts."""
+    return F.coalesce(F.lag("ts").over(c.W.partitionBy(entity).orderBy(arrival)) > F.col("ts"), F.lit(False))
+
+
+def price_report(bars: DataFrame, most_missing: float = 0.02, jump: float = 0.5, gap_days: int = 7, arrival: str = "available_at") -> DataFrame:
+    """Nine checks per symbol. FAIL: too few rows, repeated keys, order, availability, high/low, signs; WARN: the rest.
+
+    Rows have no order of their own in a table; monotonic_time holds if ts never goes back in the order of `arrival`.
+    """
     prices = ["open", "high", "low", "close", "adj_close"]
     move = F.abs(c.pct_change(F.col("close")))
-    rows = bars.withColumn("__move", move).withColumn("__gap", F.datediff("ts", F.lag("ts").over(c.by_symbol()))).withColumn("__same", (F.lag("ts").over(c.by_symbol()) == F.col("ts")).cast("int"))
+    rows = bars.withColumn("__move", move).withColumn("__gap", F.datediff("ts", F.lag("ts").over(c.by_symbol()))).withColumn("__same", (F.lag("ts").over(c.by_symbol()) == F.col("ts")).cast("int")).withColumn("__back", _out_of_order("symbol", arrival))
     odd = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low"))
     n = F.count(F.lit(1))
     got = rows.groupBy("symbol").agg(
         n.alias("n"),
         F.sum(F.coalesce("__same", F.lit(0))).alias("repeated"),
-        F.count_if(F.col("__gap") < 0).alias("disorder"),
+        F.count_if("__back").alias("disorder"),
         F.count_if(F.col("available_at") < F.col("ts")).alias("early"),
         F.count_if(odd).alias("odd"),
         sum((F.count_if(F.col(p) <= 0) for p in prices), F.lit(0)).alias("signs"),
@@ -53,12 +61,12 @@ def price_report(bars: DataFrame, key: tuple[str, str] = ("symbol", "ts"), most_
     })
 
 
-def macro_report(macro: DataFrame, most_missing: float = 0.2) -> DataFrame:
+def macro_report(macro: DataFrame, most_missing: float = 0.2, arrival: str = "available_at") -> DataFrame:
     """Five checks per series."""
     w = c.W.partitionBy("code").orderBy("ts")
-    rows = macro.withColumn("__same", (F.lag("ts").over(w) == F.col("ts")).cast("int")).withColumn("__back", (F.lag("ts").over(w) > F.col("ts")).cast("int"))
+    rows = macro.withColumn("__same", (F.lag("ts").over(w) == F.col("ts")).cast("int")).withColumn("__back", _out_of_order("code", arrival))
     got = rows.groupBy("code").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("__same", F.lit(0))).alias("repeated"), F.sum(F.coalesce("__back", F.lit(0))).alias("disorder"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("__same", F.lit(0))).alias("repeated"), F.count_if("__back").alias("disorder"),
         F.count_if(F.col("available_at") < F.col("ts")).alias("early"), F.avg(F.col("value").isNull().cast("double")).alias("missing"),
     )
     zero = lambda x: (F.col(x), F.col(x) == 0, "FAIL")
@@ -73,3 +81,16 @@ def freshness(bars: DataFrame, now: Column, max_age_days: int = 5) -> DataFrame:
     newest = bars.groupBy("symbol").agg(F.max("ts").alias("newest"))
     age = F.datediff(now, "newest")
     return newest.select("symbol", "newest", age.alias("age_days"), (age > max_age_days).alias("stale"))
+
+
+class StaleData(ValueError):
+    """The newest data is too old to go on."""
+
+
+def assert_fresh(bars: DataFrame, now: Column, max_age_days: int = 5) -> DataFrame:
+    """bars, if every symbol is fresh; raises StaleData with the stalest ones otherwise (an empty table is stale)."""
+    ages = freshness(bars, now, max_age_days)
+    stale = ages.where("stale").orderBy(F.desc("age_days"), "symbol").limit(5).collect()
+    if stale or ages.isEmpty():
+        raise StaleData("; ".join(f"{r.symbol}: {r.age_days} days" for r in stale) or "no rows")
+    return bars

@@ -24,24 +24,30 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, name: str, by: list
     """left with the value of the latest right row whose `on` is at or before the left row's; a null value still counts.
 
     Both sides are stacked and one running window picks the latest, so the work is a sort for each `by` key and grows
-    in proportion to the rows. Without `by` every left row sees the whole right side; the right side is then copied to
-    each left `symbol`, so that the window is divided by it.
+    in proportion to the rows. Without `by` the windows are months: a month starts with the last value of the months
+    before it, which one row a month carries over.
     """
-    keys = by or ["symbol"]
+    kinds = dict(left.dtypes)
+    seen = right.where(F.col(on).isNotNull()).withColumn("__value", F.struct(F.col(value).alias("v")))
+    keys = by
     if by is None:
-        values = right.select(on, value)
-        right = left.select("symbol").distinct().crossJoin(F.broadcast(values) if _few(values) else values)
+        keys = ["__month"]
+        left = left.withColumn("__month", F.trunc(on, "month"))
+        seen = seen.select(on, "__value", F.trunc(on, "month").alias("__month"), F.lit(0).alias("__side"))
+        last = seen.groupBy("__month").agg(F.max_by("__value", on).alias("__value"))
+        months = left.select("__month").distinct().join(last, "__month", "full")
+        before = F.last("__value", ignorenulls=True).over(W.orderBy("__month").rowsBetween(W.unboundedPreceding, -1))
+        carried = months.select("__month", before.alias("__value")).where("__value is not null")
+        # it comes before what is known at the month's first instant
+        seen = seen.unionByName(carried.select(F.col("__month").cast(kinds[on]).alias(on), "__value", "__month", F.lit(-1).alias("__side")))
+    else:
+        seen = seen.withColumn("__side", F.lit(0))
     pad = [c for c in left.columns if c not in (*keys, on)]
-    kinds = dict(left.dtypes)
-    tagged = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(f"struct<v:{dict(right.dtypes)[value]}>").alias("__value"))
-    other = right.where(F.col(on).isNotNull()).select(*keys, on, *(F.lit(None).cast(kinds[c]).alias(c) for c in pad), F.lit(0).alias("__side"), F.struct(F.col(value).alias("v")).alias("__value"))
+    tagged = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(seen.schema["__value"].dataType).alias("__value"))
+    other = seen.select(*keys, on, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in pad), "__side", "__value")
     w = W.partitionBy(*keys).orderBy(on, "__side").rowsBetween(W.unboundedPreceding, 0)
     both = tagged.unionByName(other).withColumn("__value", F.last("__value", ignorenulls=True).over(w))
-    return both.where("__side = 1").withColumn(name, F.col("__value.v")).drop("__side", "__value")
-
-
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    return len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most
+    return both.where("__side = 1").withColumn(name, F.col("__value.v")).drop("__side", "__value", "__month")
 
 
 def interval_join(dates: DataFrame, members: DataFrame, at: str = "ts", keys: list[str] | None = None) -> DataFrame:
@@ -52,9 +58,14 @@ def interval_join(dates: DataFrame, members: DataFrame, at: str = "ts", keys: li
     return dates.alias("d").join(members.alias("m"), inside).select("d.*", *(f"m.{c}" for c in members.columns if c not in dates.columns))
 
 
+def _settled(df: DataFrame) -> list[Column]:
+    """An order of whole rows, for rows that nothing else tells apart."""
+    return [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))]
+
+
 def dedup_keep_last(df: DataFrame, key: list[str], sequence: str) -> DataFrame:
-    """The row of each key that arrived last."""
-    w = W.partitionBy(*key).orderBy(F.desc(sequence))
+    """The row of each key that arrived last; of rows that arrived together, the same one whatever the order of the input."""
+    w = W.partitionBy(*key).orderBy(F.desc(sequence), *_settled(df))
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -64,10 +75,12 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], update: bool = True) -> DataFrame:
-    """existing with the rows of new added by key; a known key is replaced, or kept when update is false."""
+    """existing with the rows of new added by key; a known key is replaced, or kept when update is false.
+
+    Of several new rows of a key one is taken, the same whatever the order of the input."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     order = F.desc("__new") if update else F.asc("__new")
-    return both.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("__n = 1").drop("__n", "__new")
+    return both.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(order, *_settled(existing)))).where("__n = 1").drop("__n", "__new")
 
 
 def wide_close(prices: DataFrame, symbols: list[str], field: str = "adj_close") -> DataFrame:
