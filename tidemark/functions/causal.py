@@ -118,7 +118,7 @@ def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]]) -> DataFrame:
     out = df.withColumn("__ewm_i", F.row_number().over(time) - 1)
     for name, (column, alpha, least) in sources.items():
         x, i = F.col(f"`{column}`").cast("double"), F.col("__ewm_i")
-        kept = -math.log1p(-alpha) if alpha < 1 else 700.0
+        kept = min(-math.log1p(-alpha), 40.0) if alpha < 1 else 40.0
         size = max(8, math.ceil(20 / kept))
         before = F.last(F.when(x.isNotNull(), i), ignorenulls=True).over(time.rowsBetween(W.unboundedPreceding, -1))
         rows = out.withColumn("__ewm_chunk", F.floor(i / size)).withColumn("__ewm_gap", i - before).withColumn("__ewm_n", F.count(x).over(past))
