@@ -728,3 +728,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     monthly = derived.bars(spark, sf_dir).groupBy("symbol", F.date_trunc("month", "ts").alias("ts")).agg(F.max_by("close", "ts").alias("close"))
     return portfolio.weights(monthly.select("symbol", "ts", c.pct_change(F.col("close")).alias("r")).where("r is not null"), SYMBOLS)
+
+
+from . import catalog_research  # noqa: E402, F401  (registers its queries)

@@ -122,3 +122,64 @@ def drawdown_episodes(curve: DataFrame, run: str = "run", k: int = 5) -> DataFra
     ).where("underwater > 0")
     got = got.select(run, "start", F.col("trough.ts").alias("trough_ts"), "end", F.col("trough.dd").alias("depth"), "length", "underwater")
     return got.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy("depth", "start"))).where(F.col("place") <= k)
+
+
+def long_short_targets(preds: DataFrame, long_above: float = 0.0, short_below: float = 0.0, positions: int = 2, leverage: float = 1.0) -> DataFrame:
+    """The `positions` strongest forecasts beyond either threshold share the book by their sign; all else is flat."""
+    side = F.when(F.col("y_pred") > long_above, 1).when(F.col("y_pred") < short_below, -1).otherwise(0)
+    order = W.partitionBy("ts").orderBy(F.desc(F.abs("side")), F.desc(F.abs("y_pred")), "symbol")
+    rows = preds.withColumn("side", side).withColumn("rank", F.row_number().over(order))
+    chosen = (F.col("side") != 0) & (F.col("rank") <= positions)
+    held = F.sum(chosen.cast("int")).over(W.partitionBy("ts"))
+    return rows.select("symbol", "ts", F.when(chosen, leverage * F.col("side") / held).otherwise(F.lit(0.0)).alias("weight"))
+
+
+def volatility_scaled(targets: DataFrame, volatility: DataFrame, target: float = 0.1, most: float = 2.0) -> DataFrame:
+    """targets with weights scaled to a target volatility, at most `most` times; without a volatility the weight is zero.
+
+    volatility has symbol, ts, sigma (a year), known at the instant of the target.
+    """
+    rows = targets.join(volatility.select("symbol", "ts", "sigma"), ["symbol", "ts"], "left")
+    scale = F.least(F.lit(most), F.try_divide(F.lit(target), F.when(F.col("sigma") > 0, F.col("sigma"))))
+    return rows.select("symbol", "ts", (F.col("weight") * F.coalesce(scale, F.lit(0.0))).alias("weight"))
+
+
+def in_lots(quantity: Column, lot: int = 100) -> Column:
+    """Whole lots, rounded towards zero."""
+    return (F.signum(quantity) * F.floor(F.abs(quantity) / lot) * lot).cast("long")
+
+
+def turnover_exposure(targets: DataFrame, periods: int = 252) -> DataFrame:
+    """turnover (a year, both sides), gross and net exposure on average over the instants of weights (symbol, ts, weight)."""
+    change = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(W.partitionBy("symbol").orderBy("ts")), F.lit(0.0)))
+    daily = targets.withColumn("change", change).groupBy("ts").agg(F.sum("change").alias("change"), F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net"))
+    return daily.agg(F.count(F.lit(1)).alias("n"), (F.avg("change") * periods).alias("turnover"), F.avg("gross").alias("gross"), F.avg("net").alias("net"))
+
+
+#: Cost scenarios: commission and slippage in basis points.
+COSTS = {"none": (0.0, 0.0), "realistic": (1.0, 5.0), "severe": (5.0, 20.0)}
+
+
+def trade_costs(fills: DataFrame, scenario: str = "realistic", by: str = "symbol") -> DataFrame:
+    """trades, notional, commission and slippage per group of fills (quantity, fill_price) under a cost scenario."""
+    commission, slippage = COSTS[scenario]
+    notional = F.abs(F.col("quantity") * F.col("fill_price"))
+    got = fills.groupBy(by).agg(F.count_if(F.col("quantity") != 0).alias("trades"), F.sum(notional).alias("notional"))
+    return got.select(by, "trades", "notional", (F.col("notional") * commission / 10_000).alias("commission"), (F.col("notional") * slippage / 10_000).alias("slippage"))
+
+
+def normalised_curves(curve: DataFrame, run: str = "run") -> DataFrame:
+    """curve with equity as a multiple of each run's first value that is not zero or null."""
+    first = curve.where("equity is not null and equity <> 0").groupBy(run).agg(F.min_by("equity", "ts").alias("__first"))
+    return curve.join(first, run).withColumn("equity", F.col("equity") / F.col("__first")).drop("__first")
+
+
+def benchmark_alpha(returns: DataFrame, run: str = "symbol", periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """n, beta, alpha (a year) and excess Sharpe ratio of r against b; needs three joint rows."""
+    rf = risk_free / periods
+    got = returns.where("r is not null and b is not null").groupBy(run).agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_samp("r", "b"), F.nullif(F.var_samp("b"), F.lit(0.0))).alias("beta"),
+        F.avg("r").alias("mr"), F.avg("b").alias("mb"), F.stddev_samp("r").alias("sd"),
+    ).where("n >= 3")
+    alpha = (F.col("mr") - rf - F.col("beta") * (F.col("mb") - rf)) * periods
+    return got.select(run, "n", "beta", alpha.alias("alpha"), (F.try_divide(F.col("mr") - rf, F.nullif("sd", F.lit(0.0))) * periods**0.5).alias("sharpe"))

@@ -99,3 +99,13 @@ def adjust_pvalues(tests: DataFrame, p: str = "p", method: str = "bh") -> DataFr
     raw = counts.select("__p", (F.col("__p") * total / below).alias("__raw"))
     least = raw.select("__p", F.least(F.lit(1.0), F.min("__raw").over(W.orderBy("__p").rowsBetween(0, W.unboundedFollowing))).alias("p_adjusted"))
     return tests.join(least, F.col(p) == F.col("__p"), "left").drop("__p")
+
+
+def infer_periods(rows: DataFrame, by: str = "symbol", order: str = "ts", default: int = 252) -> DataFrame:
+    """by, periods a year from the median gap between rows; groups of fewer than three rows have the default."""
+    gap = (F.unix_micros(order) - F.unix_micros(F.lag(order).over(W.partitionBy(by).orderBy(order)))) / 1e6
+    got = rows.withColumn("__gap", gap).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("__gap", F.lit(0.5)).alias("gap"))
+    day, gap = 86_400, F.col("gap")
+    periods = F.when((F.col("n") < 3) | (gap <= 0), default).when(gap <= day / 4, F.greatest(F.lit(1), F.round(365.25 * day / gap).cast("int")))
+    periods = periods.when(gap <= 3 * day, default).when(gap <= 10 * day, 52).when(gap <= 45 * day, 12).when(gap <= 130 * day, 4).otherwise(1)
+    return got.select(by, periods.cast("int").alias("periods"))

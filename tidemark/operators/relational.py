@@ -105,3 +105,15 @@ def coverage(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows, values and share of values per feature."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
     return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"), F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
+
+
+class JoinError(ValueError):
+    """A join that should be one to one is not."""
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by key; a key that repeats on either side is refused."""
+    for side, df in (("left", left), ("right", right)):
+        if not duplicate_keys(df, key).isEmpty():
+            raise JoinError(f"keys repeat on the {side}")
+    return left.join(right, key, how)

@@ -71,3 +71,27 @@ def inverse_volatility(returns: DataFrame) -> DataFrame:
     """Weights in proportion to one over the volatility."""
     got = returns.where("r is not null").groupBy("symbol").agg(F.stddev_samp("r").alias("sd")).where("sd > 0")
     return got.select("symbol", (1 / F.col("sd") / F.sum(1 / F.col("sd")).over(W.partitionBy())).alias("weight"))
+
+
+def rank_pairwise(returns: DataFrame) -> DataFrame:
+    """Spearman correlation of every pair of symbols over their joint dates, ties by average ranks."""
+    a, b = returns.select("ts", F.col("symbol").alias("a"), F.col("r").alias("x")), returns.select("ts", F.col("symbol").alias("b"), F.col("r").alias("y"))
+    both = a.join(b, "ts").where("a <= b and x is not null and y is not null")
+    rank = lambda v: F.rank().over(W.partitionBy("a", "b").orderBy(v)) + (F.count(F.lit(1)).over(W.partitionBy("a", "b", v)) - 1) / 2
+    ranked = both.select("a", "b", rank("x").alias("rx"), rank("y").alias("ry"))
+    return ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman"))
+
+
+def volatility_clustering(returns: DataFrame, lags: int = 5, by: str = "symbol") -> DataFrame:
+    """Autocorrelation and Ljung-Box statistic of the squared returns."""
+    return autocorrelation(returns.withColumn("r", F.col("r") ** 2), lags, by)
+
+
+def summarise(returns: DataFrame, by: str = "symbol", periods: int = 252) -> DataFrame:
+    """Volatility, downside volatility, worst and best return beside the values at risk, per group of 20 returns or more."""
+    r = F.col("r")
+    got = returns.where("r is not null").groupBy(by).agg(
+        (F.stddev_samp(r) * periods**0.5).alias("volatility"), (F.sqrt(F.avg(F.when(r < 0, r * r).otherwise(F.lit(0.0)))) * periods**0.5).alias("downside_volatility"),
+        F.min(r).alias("worst"), F.max(r).alias("best"),
+    )
+    return value_at_risk(returns, by).join(got, by)
