@@ -133,6 +133,54 @@ def test_overlaps_equal_brute_force():
     assert len(list(index.overlaps(np.concatenate([index.tokens] * 2), 0, 0))) == 1
 
 
+def test_overlaps_of_repetitive_text():
+    """Long repeats take time and rows in proportion to the text, and every part of them is covered."""
+    import time
+
+    index = decontaminate.SeedIndex([(1, "a " * 200), (2, "b c " * 60), (3, " ".join(f"w{i}" for i in range(40)))])
+    one, other = index.vocabulary["a"], [index.vocabulary["b"], index.vocabulary["c"]]
+    began = time.time()
+    hits = index.find(np.full(1_000_000, one))
+    # at the text's beginning the item is also found in part
+    assert {h[0] for h in hits} == {1} and len(hits) < 5200
+    end = 0
+    for start, stop in sorted((h[1], h[2]) for h in hits):
+        assert start <= end
+        end = max(end, stop)
+    assert end > 999_800
+    assert time.time() - began < 60
+    hits = index.find(np.array(other * 10_000))
+    assert {h[0] for h in hits} == {2} and max(h[2] for h in hits) == 20_000 and len(hits) < 400
+    assert time.time() - began < 90
+
+
+def test_found_items_equal_brute_force():
+    """Documents made of noise and of items with random substitutions: an item is reported exactly if some diagonal qualifies
+    and a seed of it is intact; those without an intact seed are counted."""
+    rng = random.Random(12)
+    texts = [[f"v{rng.randrange(300)}" for _ in range(rng.choice([15, 25, 60]))] for _ in range(30)]
+    index = decontaminate.SeedIndex([(k, " ".join(t)) for k, t in enumerate(texts)])
+    qualify = reported = 0
+    for _ in range(300):
+        k, rate = rng.randrange(30), rng.choice([0.0, 0.1, 0.2, 0.4])
+        inside = [w if rng.random() > rate else f"x{rng.randrange(99)}" for w in texts[k]]
+        words = [f"n{rng.randrange(99)}" for _ in range(rng.randrange(30))] + inside + [f"n{rng.randrange(99)}" for _ in range(20)]
+        tokens = np.array([index.vocabulary.get(w, 0) for w in words])
+        got = {h[0] for h in index.find(tokens)}
+        brute = set()
+        for i, item in enumerate(texts):
+            for diagonal in range(-len(item) + 13, len(words) - 12):
+                same = [words[p] == item[p - diagonal] for p in range(max(0, diagonal), min(len(words), diagonal + len(item)))]
+                sums = np.concatenate([[0], np.cumsum(same)])
+                if sums[-1] >= 13 and any(sums[e] - sums[s] >= 13 and 5 * (sums[e] - sums[s]) >= 4 * (e - s) for s in range(len(same)) for e in range(s + 13, len(same) + 1)):
+                    brute.add(i)
+                    break
+        assert got <= brute
+        qualify += len(brute)
+        reported += len(got)
+    assert qualify > 150 and reported >= 0.97 * qualify
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     got = {r.id: r for r in quality.score_documents(docs).collect()}

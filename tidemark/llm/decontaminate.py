@@ -3,8 +3,8 @@
 A seed is the tokens at the positions that a fixed mask keeps; the positions it ignores may hold anything. Seeds of the
 benchmark meet the seeds of every document position, and around each hit the two token sequences are compared along
 their common diagonal: the stretch with the most equal tokens among those that are similar enough is the overlap. The
-benchmark is handed to the tasks in slices of bounded size; a larger benchmark takes more slices, each joined with all
-documents, so nothing is left out.
+benchmark is handed to the tasks in slices of bounded size; a larger benchmark takes more slices, one after the other,
+each joined with all documents, so nothing is left out and a task holds one slice at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import short_batches
+from .common import short_batches, written
 
 #: The masks; 1 keeps a token, 0 ignores it.
 MASKS = ("1101011001", "1110010101", "1011000111")
@@ -29,6 +29,8 @@ MIN_SIMILARITY = 0.8
 #: A match counts 1, a mismatch this much less: a stretch sums to 0 or more exactly if its share of matches is MIN_SIMILARITY.
 MISMATCH = 4
 WORDS_CACHED = 300_000
+#: Pairs of a seed's places that are held at once.
+HELD_PAIRS = 1_000_000
 
 HIT = "item_id long, doc_start int, doc_end int, item_start int, matches int, similarity double"
 
@@ -56,6 +58,22 @@ class _Places(dict):
         return n
 
 
+def _goes_on(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the seed before lies one token before and is equal."""
+    out = np.zeros(len(at), dtype=bool)
+    out[1:] = (at[1:] == at[:-1] + 1) & (hashes[1:] == hashes[:-1])
+    return out
+
+
+def _first_of(item: np.ndarray, diagonal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (item, diagonal) with the least position of each."""
+    order = np.lexsort((first, diagonal, item))
+    item, diagonal, first = item[order], diagonal[order], first[order]
+    new = np.ones(len(item), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
+    return item[new], diagonal[new], first[new]
+
+
 class SeedIndex:
     """Seeds and texts of one slice of the benchmark."""
 
@@ -71,8 +89,11 @@ class SeedIndex:
             at, hashes = self.hashes(self.tokens, mask)
             fits = np.searchsorted(self.starts, at, "right") == np.searchsorted(self.starts, at + len(mask) - 1, "right")
             at, hashes = at[fits], hashes[fits]
-            order = np.argsort(hashes, kind="stable")
-            self.seeds.append((hashes[order], at[order]))
+            # a place whose seed also lies one token before it
+            goes_on = _goes_on(at, hashes)
+            order, heads = np.argsort(hashes, kind="stable"), np.flatnonzero(~goes_on)
+            heads = heads[np.argsort(hashes[heads], kind="stable")]
+            self.seeds.append(((hashes[order], at[order]), (hashes[heads], at[heads])))
         # items shorter than a mask have no seed; they are found by their whole sequence
         self.short = {}
         for k, (_, t) in enumerate(texts):
@@ -93,25 +114,51 @@ class SeedIndex:
         return at, sums
 
     def find(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
-        """Verified overlaps of a document's tokens (vocabulary numbers) with the items."""
-        pairs = []
-        for mask, (known, places) in zip(MASKS, self.seeds, strict=True):
-            at, hashes = self.hashes(tokens, mask)
-            if not len(at) or not len(known):
-                continue
-            left, right = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
-            some = right > left
-            if some.any():
-                many = (right - left)[some]
-                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                place = places[np.repeat(left[some], many) + within]
-                item = np.searchsorted(self.starts, place, "right") - 1
-                pairs.append(np.stack([item, np.repeat(at[some], many) - (place - self.starts[item])], axis=1))
-        found = [] if not pairs else [x for k, d in np.unique(np.concatenate(pairs), axis=0) for x in self.overlaps(tokens, int(k), int(d))]
+        """Verified overlaps of a document's tokens (vocabulary numbers) with the items.
+
+        Where nearly a whole item is found, seeds of that item that begin inside the stretch lead to no further overlap,
+        so that text of endless repeats is covered once by an item of repeats.
+        """
+        parts = [x for mask, known in zip(MASKS, self.seeds, strict=True) for x in self.diagonals(tokens, mask, known)]
+        found, covered = [], {}
+        if parts:
+            item, diagonal, first = _first_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for n in np.argsort(first, kind="stable"):
+                k = int(item[n])
+                if first[n] < covered.get(k, 0):
+                    continue
+                for hit in self.overlaps(tokens, k, int(diagonal[n])):
+                    found.append(hit)
+                    if hit[4] >= MIN_SIMILARITY * (self.starts[k + 1] - self.starts[k]):
+                        covered[k] = max(covered.get(k, 0), hit[2])
         if self.short:
             found += self.find_short(tokens)
         return found
 
+    def diagonals(self, tokens: np.ndarray, mask: str, known: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, diagonal, document position of a seed on it) of the places where seeds of the document and of items meet.
+
+        A seed that repeats from one token to the next, in the document and in an item, stays on its diagonal; such pairs
+        are left out but for the first, so long runs of one token make few pairs.
+        """
+        at, hashes = self.hashes(tokens, mask)
+        goes_on = _goes_on(at, hashes)
+        for rows, (seeds, places) in ((~goes_on, known[0]), (goes_on, known[1])):
+            left, right = np.searchsorted(seeds, hashes[rows], "left"), np.searchsorted(seeds, hashes[rows], "right")
+            some = right > left
+            here, left, many = at[rows][some], left[some], (right - left)[some]
+            ends = np.cumsum(many)
+            start = 0
+            while start < len(here):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD_PAIRS, "right")))
+                n = many[start:stop]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                place = places[np.repeat(left[start:stop], n) + within]
+                item = np.searchsorted(self.starts, place, "right") - 1
+                first = np.repeat(here[start:stop], n)
+                yield _first_of(item, first - (place - self.starts[item]), first)
+                start = stop
+
     def overlaps(self, tokens: np.ndarray, k: int, diagonal: int) -> Iterator[tuple[int, int, int, int, int, float]]:
         """Overlaps of the document with item k, whose first token lies at document position `diagonal`."""
         item = self.tokens[self.starts[k] : self.starts[k + 1]]
@@ -145,53 +192,61 @@ class SeedIndex:
         return found
 
 
-def _slices(benchmark: DataFrame, slice_tokens: int) -> Iterator[list[tuple[int, str]]]:
+def _slices(benchmark: DataFrame, slice_tokens: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items of each slice, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = -(-total // (6 * slice_tokens)) or 1  # about six characters to a token
     for k in range(many):
         part = items if many == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k)
-        yield sorted(map(tuple, part.collect()))
+        yield sorted(map(tuple, part.collect())), many == 1
 
 
-def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
-    """docs with a column __hits, an array of overlaps with benchmark items; all columns and rows stay.
-
-    Null and empty texts have no overlaps, nor has anything when the benchmark is empty; items with a null id or text
-    are ignored. An item shorter than a mask must occur whole.
-    """
+def _with_hits(docs: DataFrame, items: list[tuple[int, str]], text_col: str, name: str) -> DataFrame:
+    """docs with a column of overlaps with the items of one slice."""
     spark = docs.sparkSession
     short_batches(spark)
     kind = StructType.fromDDL(HIT)
     names = [f.name for f in kind]
     at = docs.columns.index(text_col)
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_start", pa.int32()), ("matches", pa.int32()), ("similarity", pa.float64())]))
-    plain = docs.schema
-    docs = docs.withColumn("__hits", F.array().cast(ArrayType(kind)))
-    for items in _slices(benchmark, slice_tokens):
-        shared = spark.sparkContext.broadcast(SeedIndex(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            number = _Places(index.vocabulary).__getitem__
-            for batch in batches:
-                found = []
-                for text, before in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                    numbers = np.fromiter(map(number, (text.as_py() or "").split()), np.int64)
-                    hits = index.find(numbers[numbers >= 0])
-                    found.append((before.as_py() or []) + [dict(zip(names, h, strict=True)) for h in hits])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], batch.schema.names)
-
-        docs = docs.mapInArrow(run, StructType([*plain, StructField("__hits", ArrayType(kind))]))
-    return docs
+    shared = spark.sparkContext.broadcast(SeedIndex(items))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        number = _Places(index.vocabulary).__getitem__
+        for batch in batches:
+            found = []
+            for text in batch.column(at):
+                numbers = np.fromiter(map(number, (text.as_py() or "").split()), np.int64)
+                found.append([dict(zip(names, h, strict=True)) for h in index.find(numbers[numbers >= 0])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, name])
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
-    """One row per overlap: id, item_id, doc_start, doc_end, item_start (token positions), matches, similarity."""
-    rows = with_overlaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), benchmark, slice_tokens=slice_tokens)
-    return rows.select("id", F.explode("__hits").alias("hit")).select("id", "hit.*")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, ArrayType(kind))]))
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows that overlap a benchmark item; all columns stay."""
-    return with_overlaps(docs, benchmark, text_col).where(F.size("__hits") == 0).drop("__hits")
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+    """One row per overlap: id, item_id, doc_start, doc_end, item_start (token positions), matches, similarity.
+
+    Null and empty texts have no overlaps, nor has anything when the benchmark is empty; items with a null id or text
+    are ignored. An item shorter than a mask must occur whole. Repeated rows give their overlaps each; other columns are
+    ignored. Slices beyond the first are done one by one, and what they find is written before the next.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = None
+    for items, alone in _slices(benchmark, slice_tokens):
+        hits = _with_hits(rows, items, "text", "hits").select("id", F.explode("hits").alias("hit")).select("id", "hit.*")
+        hits = hits if alone else written(hits)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+    """docs without the rows that overlap a benchmark item; all columns stay, whatever their names."""
+    name = "__hits"
+    while name in docs.columns:
+        name = "_" + name
+    for items, alone in _slices(benchmark, slice_tokens):
+        docs = _with_hits(docs, items, text_col, name).where(F.size(name) == 0).drop(name)
+        docs = docs if alone else written(docs)
+    return docs
