@@ -169,7 +169,7 @@ def _(spark, sf_dir):
 _SIGMA = f"(SELECT symbol, ts, CASE WHEN count(r) OVER ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 21 THEN stddev_samp(r) OVER ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END * sqrt(252) AS sigma FROM rets)"
 
 
-@query("volatility_scaled_targets", f"SELECT b.symbol, b.ts, b.weight * coalesce(least(2.0, 0.1 / CASE WHEN s.sigma > 0 THEN s.sigma END), 0) AS weight FROM {_BOOK} b LEFT JOIN {_SIGMA} s ON s.symbol = b.symbol AND s.ts = b.ts", "weight", "ts")
+@query("volatility_scaled_targets", f"SELECT b.symbol, b.ts, greatest(-2.0, least(2.0, b.weight * 0.1 / CASE WHEN s.sigma > 1e-8 THEN s.sigma ELSE 0.2 END)) AS weight FROM {_BOOK} b LEFT JOIN {_SIGMA} s ON s.symbol = b.symbol AND s.ts = b.ts", "weight", "ts")
 def _(spark, sf_dir):
     sigma = _returns(spark, sf_dir).select("symbol", "ts", c.realised_volatility(F.col("r"), 21).alias("sigma"))
     return backtest.volatility_scaled(_book(spark, sf_dir), sigma)

@@ -27,6 +27,12 @@ def momentum_targets(bars: DataFrame, lookback: int = 126, allow_short: bool = F
     return rows.withColumn("weight", weight).where("past is not null").select("symbol", "ts", "weight")
 
 
+def buy_and_hold_targets(bars: DataFrame) -> DataFrame:
+    """The same share for every symbol, at each of its instants."""
+    symbols = bars.select("symbol").distinct().agg(F.count(F.lit(1)).alias("__n"))
+    return bars.join(F.broadcast(symbols)).select("symbol", "ts", (1 / F.col("__n")).alias("weight"))
+
+
 def prediction_targets(preds: DataFrame, positions: int = 2, threshold: float = 0.0, leverage: float = 1.0) -> DataFrame:
     """The `positions` best forecasts above the threshold share the book; everything else has weight zero."""
     order = W.partitionBy("ts").orderBy(F.desc("long"), F.desc("y_pred"), "symbol")
@@ -134,14 +140,15 @@ def long_short_targets(preds: DataFrame, long_above: float = 0.0, short_below: f
     return rows.select("symbol", "ts", F.when(chosen, leverage * F.col("side") / held).otherwise(F.lit(0.0)).alias("weight"))
 
 
-def volatility_scaled(targets: DataFrame, volatility: DataFrame, target: float = 0.1, most: float = 2.0) -> DataFrame:
-    """targets with weights scaled to a target volatility, at most `most` times; without a volatility the weight is zero.
+def volatility_scaled(targets: DataFrame, volatility: DataFrame, target: float = 0.1, most: float = 2.0, fallback: float = 0.2) -> DataFrame:
+    """targets with each weight scaled to a target volatility, at most `most` on either side.
 
-    volatility has symbol, ts, sigma (a year), known at the instant of the target.
+    volatility has symbol, ts, sigma (a year), known at the instant of the target; where it is missing or nearly zero,
+    the fallback stands in.
     """
     rows = targets.join(volatility.select("symbol", "ts", "sigma"), ["symbol", "ts"], "left")
-    scale = F.least(F.lit(most), F.try_divide(F.lit(target), F.when(F.col("sigma") > 0, F.col("sigma"))))
-    return rows.select("symbol", "ts", (F.col("weight") * F.coalesce(scale, F.lit(0.0))).alias("weight"))
+    sigma = F.when(F.col("sigma") > 1e-8, F.col("sigma")).otherwise(F.lit(fallback))
+    return rows.select("symbol", "ts", F.greatest(F.lit(-most), F.least(F.lit(most), F.col("weight") * target / sigma)).alias("weight"))
 
 
 def in_lots(quantity: Column, lot: int = 100) -> Column:
@@ -183,3 +190,19 @@ def benchmark_alpha(returns: DataFrame, run: str = "symbol", periods: int = 252,
     ).where("n >= 3")
     alpha = (F.col("mr") - rf - F.col("beta") * (F.col("mb") - rf)) * periods
     return got.select(run, "n", "beta", alpha.alias("alpha"), (F.try_divide(F.col("mr") - rf, F.nullif("sd", F.lit(0.0))) * periods**0.5).alias("sharpe"))
+
+
+def performance_shape(curve: DataFrame, run: str = "run") -> DataFrame:
+    """years, skewness and excess kurtosis (without bias), best and worst return, longest time below the peak in rows, per run."""
+    w = W.partitionBy(run).orderBy("ts")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = curve.withColumn("r", F.try_divide("equity", F.lag("equity").over(w)) - 1).withColumn("__under", F.col("equity") < F.max("equity").over(so_far))
+    rows = rows.withColumn("__island", F.sum((~F.col("__under")).cast("int")).over(so_far))
+    longest = rows.where("__under").groupBy(run, "__island").count().groupBy(run).agg(F.max("count").alias("longest_underwater"))
+    n, s, k = F.count("r"), F.skewness("r"), F.kurtosis("r")
+    years = (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / (YEAR_DAYS * 86_400)
+    got = rows.groupBy(run).agg(
+        F.count(F.lit(1)).alias("n"), years.alias("years"), F.when(n > 2, s * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
+        F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)).alias("excess_kurtosis"), F.max("r").alias("best"), F.min("r").alias("worst"),
+    )
+    return got.join(longest, run, "left").fillna(0, ["longest_underwater"])
