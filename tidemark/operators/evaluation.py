@@ -16,6 +16,14 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2
 
 
+def r2_against(preds: DataFrame, benchmark: str, *by: str) -> DataFrame:
+    """Out-of-sample R2 of y_pred against the forecasts in a benchmark column, as the training mean, per group."""
+    y = F.col("y_true")
+    rows = preds.where(y.isNotNull() & F.col("y_pred").isNotNull() & F.col(benchmark).isNotNull())
+    base = F.sum((y - F.col(benchmark)) ** 2)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum((y - F.col("y_pred")) ** 2), F.when(base > EPS, base))).alias("r2"))
+
+
 def forecast_metrics(preds: DataFrame, *by: str) -> DataFrame:
     """Losses, out-of-sample R2 against zero, directional accuracy and correlation per group; finite pairs only."""
     y, p = F.col("y_true"), F.col("y_pred")
@@ -62,8 +70,8 @@ def daily_loss_differential(preds: DataFrame, candidate: str, baseline: str) ->
     return both.groupBy("ts").agg(F.avg((F.col("y_true") - F.col("pa")) ** 2 - (F.col("y_true") - F.col("pb")) ** 2).alias("d"))
 
 
-def diebold_mariano(diff: DataFrame, horizon: int = 1, lags: int | None = None, correct: bool = True) -> DataFrame:
-    """n, lags, mean, statistic and p of a loss differential (ts, d): negative values favour the candidate.
+def diebold_mariano(diff: DataFrame, horizon: int = 1, lags: int | None = None, correct: bool = True, by: str | None = None) -> DataFrame:
+    """n, lags, mean, statistic and p of a loss differential (ts, d), of each group if by is given: negative values favour the candidate.
 
     The long-run variance has Bartlett weights; without given lags they follow the number of dates and the horizon. The
     small-sample correction and the t distribution hold for short samples. Fewer than 10 dates give no row.
@@ -72,11 +80,13 @@ def diebold_mariano(diff: DataFrame, horizon: int = 1, lags: int | None = None,
         raise ValueError("the horizon must be positive")
     n = F.col("n")
     chosen = F.lit(lags) if lags is not None else F.greatest(F.lit(horizon - 1), F.floor(4 * F.pow(n / 100, F.lit(2 / 9))).cast("int"))
-    series = centred(diff.where(~F.isnan("d")).withColumn("__all", F.lit(0)), "d", "__all", "ts").where(n >= 10)
-    got = long_run(autocovariances(series, "__all", chosen), "__all", chosen)
+    key = by or "__all"
+    rows = diff.where(~F.isnan("d"))
+    series = centred(rows if by else rows.withColumn(key, F.lit(0)), "d", key, "ts").where(n >= 10)
+    got = long_run(autocovariances(series, key, chosen), key, chosen)
     factor = F.sqrt(F.greatest((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n, F.lit(1e-12))) if correct else F.lit(1.0)
     statistic = F.try_divide(F.col("mean"), F.sqrt(F.col("lrv") / n)) * factor
-    return got.select("n", "lags", "mean", statistic.alias("statistic")).withColumn("p", student_p("statistic", F.col("n") - 1))
+    return got.select(*([by] if by else []), "n", "lags", "mean", statistic.alias("statistic")).withColumn("p", student_p("statistic", F.col("n") - 1))
 
 
 def paired_t(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:

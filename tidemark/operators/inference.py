@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Critical values of the level-stationarity statistic and their probabilities.
 KPSS_CRITICAL = (0.347, 0.463, 0.574, 0.739)
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
 EULER = 0.5772156649015329
+#: Response surface of the unit-root statistic with a constant: its range, where the polynomials change, their terms.
+UNIT_ROOT_RANGE, UNIT_ROOT_SWITCH = (-18.83, 2.74), -1.61
+UNIT_ROOT_LOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
 def newey_west_lags(n: Column) -> Column:
@@ -132,3 +137,110 @@ def sharpe_inference(returns: DataFrame, by: str = "symbol", periods: int = 252,
         by, "n", (sr * math.sqrt(periods)).alias("sharpe"), normal_cdf(z(0.0)).alias("psr"), F.lit(bound * math.sqrt(periods)).alias("expected_max"),
         normal_cdf(z(bound)).alias("dsr"), needed.alias("min_track_record_years"),
     )
+
+
+def mean_return_test(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "ts") -> DataFrame:
+    """hac_mean_test with p, both tails of the t distribution."""
+    return hac_mean_test(rows, x, by, order).withColumn("p", student_p("t", F.col("n") - 1))
+
+
+def _unit_root_p(t: float) -> float:
+    if not UNIT_ROOT_RANGE[0] <= t <= UNIT_ROOT_RANGE[1]:
+        return float(t > 0)
+    terms = UNIT_ROOT_LOW if t <= UNIT_ROOT_SWITCH else UNIT_ROOT_HIGH
+    return NormalDist().cdf(sum(c * t**k for k, c in enumerate(terms)))
+
+
+def _regress(products: np.ndarray, lags: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Coefficients, residual sum and inverse of the first lags + 2 columns on the last, all columns scaled to length one."""
+    keep = [*range(lags + 2), len(products) - 1]
+    products = products[np.ix_(keep, keep)]
+    scale = np.sqrt(np.maximum(np.diag(products), 1e-300))
+    products = products / np.outer(scale, scale)
+    inverse = np.linalg.pinv(products[:-1, :-1], hermitian=True)
+    beta = inverse @ products[:-1, -1]
+    return beta, max(products[-1, -1] - beta @ products[:-1, -1], 1e-300), inverse
+
+
+def _unit_root(n: int, most: int, products: np.ndarray, head: np.ndarray) -> tuple[int, float]:
+    """Lags of the least AIC over the rows that all of them have, and the statistic over all rows that these lags have."""
+    rows = n - 1 - most
+    best = min(range(most + 1), key=lambda k: rows * math.log(_regress(products, k)[1]) + 2 * k)
+    step = np.diff(head)
+    early = np.array([[1.0, head[j], *step[j - best : j][::-1], step[j]] for j in range(best, most)]).reshape(-1, best + 3)
+    keep = [*range(best + 2), len(products) - 1]
+    beta, left, inverse = _regress(products[np.ix_(keep, keep)] + early.T @ early, best)
+    free = n - 1 - best - (best + 2)
+    return best, float(beta[1] / math.sqrt(left / free * inverse[1, 1]))
+
+
+def adf_test(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "ts") -> DataFrame:
+    """n, lags, statistic and p of the augmented Dickey-Fuller test with a constant per group; the AIC chooses the lags.
+
+    Tasks add up the products of their rows' regressors; what is solved per group is a matrix of as many numbers as
+    pairs of lags. Groups under 12 values are left out.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    series = centred(rows, x, by, order).where(F.col("n") >= 12)
+    most = F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 2).cast("int")
+    back = F.lag("d").over(W.partitionBy(by).orderBy("i"))
+    series = series.select(F.col(by).alias("key"), "i", "n", most.alias("most"), F.col("d").alias("y"), back.alias("level"))
+    deepest = series.agg(F.max("most")).first()[0] or 0
+    window = W.partitionBy("key").orderBy("i").rowsBetween(-deepest, 0)
+    stepped = series.withColumn("steps", F.collect_list(F.col("y") - F.col("level")).over(window))
+
+    def products(batches):
+        for batch in batches:
+            for (key, n, m), part in batch.groupby(["key", "n", "most"], sort=False, dropna=False):
+                steps = np.stack([np.asarray(v)[-(m + 1) :][::-1] for v in part["steps"]])
+                z = np.column_stack([np.ones(len(part)), part["level"], steps[:, 1:], steps[:, 0]])
+                values = (z.T @ z).ravel()
+                yield pd.DataFrame({"key": key, "n": n, "most": m, "place": np.arange(len(values)), "v": values})
+
+    def solved(batches):
+        for batch in batches:
+            found = [_unit_root(n, m, np.reshape(np.asarray(g, float), (m + 3, m + 3)), np.asarray(h, float)) for n, m, g, h in zip(batch["n"], batch["most"], batch["products"], batch["head"], strict=True)]
+            yield pd.DataFrame({by: batch["key"], "n": batch["n"], "lags": [k for k, _ in found], "statistic": [t for _, t in found], "p": [_unit_root_p(t) for _, t in found]})
+
+    used = stepped.where("i >= most + 2").select("key", "n", "most", "level", "steps")
+    parts = used.mapInPandas(products, f"key {kind}, n long, most int, place int, v double")
+    whole = parts.groupBy("key", "n", "most", "place").agg(F.sum("v").alias("v")).groupBy("key", "n", "most").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("g"))
+    heads = series.where("i <= most + 1").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("h"))
+    ready = whole.join(heads, "key").select("key", "n", "most", F.col("g.v").alias("products"), F.col("h.y").alias("head"))
+    return ready.mapInPandas(solved, f"`{by}` {kind}, n long, lags int, statistic double, p double")
+
+
+def stationarity(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "ts", alpha: float = 0.05) -> DataFrame:
+    """adf, adf_p, kpss, kpss_p and verdict per group: stationary, unit_root, inconclusive or conflicting."""
+    unit = adf_test(rows, x, by, order).select(by, "n", F.col("statistic").alias("adf"), F.col("p").alias("adf_p"))
+    level = kpss_test(rows, x, by, order).select(by, F.col("statistic").alias("kpss"), F.col("p").alias("kpss_p"))
+    moves, drifts = F.col("adf_p") >= alpha, F.col("kpss_p") < alpha
+    verdict = F.when(~moves & ~drifts, "stationary").when(moves & drifts, "unit_root").when(moves, "inconclusive").otherwise("conflicting")
+    return unit.join(level, by).withColumn("verdict", verdict)
+
+
+def _partials(n: int, gammas: np.ndarray) -> list[float]:
+    """Partial autocorrelations by the Durbin-Levinson recursion over autocovariances with divisor n - k."""
+    r = gammas * n / (n - np.arange(len(gammas)))
+    found, weights, left = [1.0], np.zeros(0), r[0]
+    for k in range(1, len(r)):
+        share = (r[k] - weights @ r[1:k][::-1]) / left if left > 0 else math.nan
+        weights = np.append(weights - share * weights[::-1], share)
+        left *= 1 - share**2
+        found.append(float(share))
+    return found
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _partials_of(n: pd.Series, gammas: pd.Series) -> pd.Series:
+    return pd.Series([_partials(int(a), np.asarray(g, float)) for a, g in zip(n, gammas, strict=True)])
+
+
+def partial_autocorrelation(rows: DataFrame, x: str = "r", by: str = "symbol", order: str = "ts", lags: int = 20) -> DataFrame:
+    """by, n, lag, acf, pacf and the 95 % band of white noise, for lags from 0; groups of lags + 1 values or fewer are left out."""
+    series = centred(rows, x, by, order).where(F.col("n") > lags + 1)
+    gammas = autocovariances(series, by, F.lit(lags)).groupBy(by, "n").agg(F.sort_array(F.collect_list(F.struct("k", "gamma"))).getField("gamma").alias("g"))
+    g = F.slice("g", 1, F.least(F.lit(lags), F.floor(F.col("n") / 2).cast("int") - 1) + 1)
+    both = gammas.select(by, "n", g.alias("g")).select(by, "n", F.arrays_zip("g", _partials_of("n", "g").alias("pacf")).alias("z"), F.col("g")[0].alias("g0"))
+    long = both.select(by, "n", "g0", F.posexplode("z").alias("lag", "z"))
+    return long.select(by, "n", "lag", F.try_divide(F.col("z.g"), F.col("g0")).alias("acf"), F.nanvl(F.col("z.pacf"), F.lit(None).cast("double")).alias("pacf"), (1.96 / F.sqrt("n")).alias("band"))

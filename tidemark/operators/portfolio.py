@@ -114,3 +114,42 @@ def weights(returns: DataFrame, symbols: list[str], shrinkage: float | None = No
         for s, x, part in zip(symbols, w, risk_contributions(w, cov), strict=True)
     ]
     return returns.sparkSession.createDataFrame(rows, "method string, symbol string, weight double, risk_contribution double, diversification double")
+
+
+def _least_variance_at(cov: np.ndarray, mean: np.ndarray, target: float) -> np.ndarray:
+    """Long-only weights of the least variance that return `target`, which is not below that of minimum_variance.
+
+    The portfolio of the largest Sharpe ratio over a riskless rate moves along the frontier as that rate rises to the
+    largest mean, so the rate is found by bisection.
+    """
+    best, span = mean.max(), max(np.ptp(mean), 1e-300)
+
+    def at(log_distance: float) -> np.ndarray:
+        u = _nonnegative(cov, mean - best + span * 10.0**log_distance)
+        return u / u.sum()
+
+    near, far = -9.0, 9.0
+    for _ in range(80):
+        middle = (near + far) / 2
+        near, far = (middle, far) if at(middle) @ mean > target else (near, middle)
+    return at((near + far) / 2)
+
+
+def efficient_frontier(cov: np.ndarray, mean: np.ndarray, points: int = 25) -> list[tuple[float, float, np.ndarray]]:
+    """(target return, volatility, weights) for evenly spaced returns between the least and the largest mean; long only."""
+    turn = minimum_variance(cov) @ mean
+    found = []
+    for target in np.linspace(mean.min(), mean.max(), points):
+        if target in (mean.min(), mean.max()):
+            w = np.eye(len(mean))[mean.argmin() if target == mean.min() else mean.argmax()]
+        else:
+            w = _least_variance_at(cov, mean, target) if target >= turn else _least_variance_at(cov, -mean, -target)
+        found.append((float(target), float(np.sqrt(w @ cov @ w)), w))
+    return found
+
+
+def frontier(returns: DataFrame, symbols: list[str], points: int = 25, shrinkage: float | None = None) -> DataFrame:
+    """point, target_return, volatility, symbol, weight of the long-only frontier."""
+    mean, cov, _ = shrunk_covariance(returns, symbols, shrinkage)
+    rows = [(k, t, sd, s, float(x)) for k, (t, sd, w) in enumerate(efficient_frontier(cov, mean, points)) for s, x in zip(symbols, w, strict=True)]
+    return returns.sparkSession.createDataFrame(rows, "point int, target_return double, volatility double, symbol string, weight double")

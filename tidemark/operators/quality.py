@@ -94,3 +94,10 @@ def assert_fresh(bars: DataFrame, now: Column, max_age_days: int = 5) -> DataFra
     if stale or ages.isEmpty():
         raise StaleData("; ".join(f"{r.symbol}: {r.age_days} days" for r in stale) or "no rows")
     return bars
+
+
+def validate_stored(bars: DataFrame, symbols: DataFrame, now: Column, max_age_days: int = 7) -> DataFrame:
+    """symbol, n, age_days, status of every symbol that should be stored: FAIL without rows, WARN when its newest is too old."""
+    kept = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.datediff(now, F.max("ts")).alias("age_days"))
+    got = symbols.select("symbol").distinct().join(kept, "symbol", "left").fillna(0, ["n"])
+    return got.withColumn("status", F.when(F.col("n") == 0, "FAIL").when(F.col("age_days") > max_age_days, "WARN").otherwise("PASS"))

@@ -101,6 +101,11 @@ def page(df: DataFrame, order: list[str | Column], limit: int = 500, offset: int
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[str | Column], limit: int = 500, offset: int = 0) -> DataFrame:
+    """A page whose rows also carry the number of all rows."""
+    return page(df, order, limit, offset).withColumn("total", F.lit(df.count()))
+
+
 def coverage(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows, values and share of values per feature."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
@@ -117,3 +122,29 @@ def one_to_one(left: DataFrame, right: DataFrame, key: list[str], how: str = "in
         if not duplicate_keys(df, key).isEmpty():
             raise JoinError(f"keys repeat on the {side}")
     return left.join(right, key, how)
+
+
+def newest_rows(df: DataFrame, n: int, by: str = "symbol", order: str = "ts") -> DataFrame:
+    """The n newest rows of each group."""
+    return df.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__n") <= n).drop("__n")
+
+
+class UniverseError(ValueError):
+    """No symbol belongs to the universe at the instant asked for."""
+
+
+def resolve_universe(bars: DataFrame, symbols: list[str] | None = None, members: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, str]:
+    """(symbols, how): the symbols given, else the members at an instant, else all symbols that are stored.
+
+    how is explicit, point_in_time or survivors; the last applies today's symbols to all of the past.
+    """
+    if symbols:
+        names = sorted({s.strip().upper() for s in symbols if s.strip()})
+        return bars.sparkSession.createDataFrame([(s,) for s in names], "symbol string"), "explicit"
+    if members is not None:
+        when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+        held = members.where((F.col("valid_from") <= when) & (F.col("valid_to").isNull() | (F.col("valid_to") > when))).select("symbol").distinct()
+        if held.isEmpty():
+            raise UniverseError(f"no members at {at}")
+        return held, "point_in_time"
+    return bars.select("symbol").distinct(), "survivors"
