@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lines, lm, pii, quality, secrets, simhash, toxicity
+from . import alignment, bpe, decontaminate, divergence, exact_dedup, lines, lm, pii, quality, secrets, simhash, toxicity
 from .common import LOWER, UPPER, documents
 
 
@@ -62,6 +62,16 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align_documents(documents(spark, sf_dir), *paths, groups="sha256")
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +85,8 @@ QUERIES = {
         op8_fuzzy_lines,
         op9_simhash_near_dedup,
         op10_lattice_lm,
+        op11_source_divergence,
+        op12_tokenizer_alignment,
     )
 }
 
@@ -85,4 +97,50 @@ ORACLE = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm
     """,
+    "op11_source_divergence": f"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words
+            FROM documents
+        ),
+        docs AS (SELECT row_number() OVER () AS row, * FROM d),
+        seen AS (SELECT row, lang, source, unnest(words) AS term FROM docs),
+        terms AS (SELECT lang, term FROM seen GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM seen SEMI JOIN terms USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        vocabulary AS (SELECT lang, count(*) AS v FROM terms GROUP BY lang),
+        source_sums AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+        lang_counts AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL),
+        lang_sums AS (SELECT lang, sum(n) AS total FROM lang_counts GROUP BY lang),
+        p AS (
+            SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * v.v) AS p
+            FROM groups g JOIN terms t USING (lang) JOIN vocabulary v USING (lang)
+            LEFT JOIN source_sums s USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+        ),
+        q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS q
+            FROM lang_counts JOIN lang_sums USING (lang) JOIN vocabulary USING (lang)
+        ),
+        apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        pairs AS (
+            SELECT g.lang, g.source, h.source AS item, coalesce(x.value, 0) AS value
+            FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+        ),
+        typical AS (
+            SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', item, value FROM typical
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+        FROM ranked QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
