@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, divergence, exact_dedup, lines, lm, pii, quality, secrets, simhash, toxicity
+from . import alignment, bpe, decontaminate, divergence, exact_dedup, lines, lm, pii, quality, secrets, simhash, toxicity, url_rules
 from .common import LOWER, UPPER, documents
 
 
 #: Pseudonyms of the registered query; a real run takes its own key.
 KEY = b"tidemark registered query"
 
+#: The rules of op13.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
@@ -72,6 +75,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +94,7 @@ QUERIES = {
         op10_lattice_lm,
         op11_source_divergence,
         op12_tokenizer_alignment,
+        op13_url_filter,
     )
 }
 
@@ -143,4 +151,57 @@ ORACLE = {
                row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
         FROM ranked QUALIFY part = 'pair' OR rank <= 10
     """,
+    "op13_url_filter": rf"""
+        WITH RECURSIVE rules(action, host, path) AS (VALUES {", ".join(map(str, RULES))}),
+        pages_in AS (
+            SELECT page_id, url, html, instr(url, '://') AS pos,
+                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '{url_rules.LINK_TAG}')) AS tag, '{url_rules.IS_CANONICAL.replace("'", "''")}' AS kind, '{url_rules.HREF.replace("'", "''")}' AS pattern FROM pages_in
+            UNION ALL SELECT url, unnest(regexp_extract_all(html, '{url_rules.META_TAG}')), '{url_rules.IS_REFRESH.replace("'", "''")}', '{url_rules.CONTENT.replace("'", "''")}' FROM pages_in
+        ),
+        told AS (
+            SELECT url, kind, regexp_extract(tag, pattern, 1) || regexp_extract(tag, pattern, 2) || regexp_extract(tag, pattern, 3) AS value
+            FROM tags WHERE regexp_matches(tag, kind)
+        ),
+        pointed AS (
+            SELECT url, substr(url, 1, instr(url, '://') - 1) AS scheme, substr(url, instr(url, '://') + 3) AS rest,
+                   replace(trim(CASE WHEN kind LIKE '%refresh%' THEN regexp_extract(value, '{url_rules.TARGET.replace("'", "''")}', 1) ELSE value END), '&amp;', '&') AS t
+            FROM told WHERE instr(url, '://') > 0
+        ),
+        parted AS (
+            SELECT *, scheme || '://' || regexp_extract(rest, '^[^/?#]*') AS origin, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM pointed
+        ),
+        ends AS (
+            SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                WHEN regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') THEN NULL
+                WHEN starts_with(t, '//') THEN scheme || ':' || t
+                WHEN starts_with(t, '/') THEN origin || t
+                WHEN starts_with(t, '?') THEN origin || path || t
+                ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^.*/') END || t END AS b
+            FROM parted
+        ),
+        links AS (SELECT a, b FROM ends WHERE instr(b, '://') > 0 UNION SELECT b, a FROM ends WHERE instr(b, '://') > 0),
+        urls AS (SELECT url AS u FROM pages_in UNION SELECT a FROM links),
+        parts AS (
+            SELECT u, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+                   CASE WHEN pos > 0 THEN translate(substr(u, 1, pos + 2), '{UPPER}', '{LOWER}') || translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') || regexp_extract(r, '^[^/?#]*([^#]*)', 1) END AS address
+            FROM (SELECT u, instr(u, '://') AS pos, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS r FROM urls)
+        ),
+        judged AS (
+            SELECT p.u, p.host, p.path, p.address, r.host || r.path AS rule, r.action
+            FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+            QUALIFY row_number() OVER (PARTITION BY p.u ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+        ),
+        steps AS (SELECT DISTINCT x.address AS a, y.address AS b FROM links JOIN judged x ON x.u = links.a JOIN judged y ON y.u = links.b WHERE x.address <> y.address),
+        reached(address) AS (
+            SELECT address FROM judged WHERE action = 'block' AND address IN (SELECT a FROM steps)
+            UNION SELECT b FROM reached JOIN steps ON a = address
+        )
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               coalesce(action, CASE WHEN address IN (SELECT address FROM reached) THEN 'block' ELSE 'allow' END) AS verdict,
+               rule IS NULL AND coalesce(address IN (SELECT address FROM reached), false) AS aliased
+        FROM pages_in JOIN judged ON judged.u IS NOT DISTINCT FROM pages_in.url
+    """,
 }
