@@ -19,9 +19,11 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,12 @@ from .common import discard, written
 STRIPE_CELLS = 1 << 23
 #: Documents and bytes of one batch of links; links of a stripe that one task scores, about.
 BATCH_DOCS = 4096
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 TASK_LINKS = 50_000_000
-#: Bytes of chunks whose encoding a worker remembers; pairs that a counting task holds; sums that a scoring task holds.
-CACHE_BYTES = 24_000_000
+#: Chunks that a worker remembers, and links from which on it forgets them; chunks encoded at once; pairs that a counting task holds; sums that a scoring task holds.
+CACHE_CHUNKS = 300_000
+CACHE_LINKS = 8_000_000
+LEARN_CHUNKS = 20_000
 HELD_PAIRS = 4_000_000
 HELD_DOCS = 2_000_000
 #: sentencepiece's mark of a space, and its pieces for single bytes.
@@ -53,12 +57,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _joined(ids: list[int], ends: np.ndarray, cuts: np.ndarray) -> list[str]:
-    """The ids between one cut and the next, comma-joined."""
-    at = [0, *(np.searchsorted(ends, cuts) + 1).tolist()]
-    return [",".join(map(str, ids[i:j])) for i, j in zip(at, at[1:])]
-
-
 class TokenizerPair:
     """Both tokenizers with the bytes of their tokens: A from a tokenizers file (byte-level), B from a sentencepiece file."""
 
@@ -76,73 +74,98 @@ class TokenizerPair:
         pieces = map(self.b.id_to_piece, range(self.size_b))
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(pieces)]
         self.stripes = -(-self.size_b * self.size_a // STRIPE_CELLS)
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        ids = [range(self.size_a), range(self.size_a), range(self.size_b), range(self.size_b)]
+        self.written = [f"{i}{end}" for own, end in zip(ids, ",|,;") for i in own]  # ids as groups have them, by side and place
+        self.widths = np.array([len(x) for x in self.written], np.int64)
         self.forget()
 
     def forget(self) -> None:
-        """Empties the memory of chunks; link arrays are joined by `links_of`."""
+        """Empties the memory of chunks: their places, groups, sizes (n_a, n_b, n_groups, n_links; n_a -1 where bytes differ) and links."""
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens A, tokens B, groups, links; A -1 where bytes differ
-        self.keys: list[np.ndarray] = []
-        self.held = 0
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks, each after a space, and aligns them."""
-        encoded = self.a.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False)
-        for chunk, a, b in zip(chunks, encoded, self.b.encode(chunks, num_threads=1), strict=True):
-            a, data = a.ids, b" " + chunk.encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self.known[chunk] = len(self.sizes)
-            self.held += len(data)
-            if b"".join(parts_a) != data or b"".join(parts_b) != data:
-                self.sizes.append((-1, 0, 0, 0))
-                self.groups.append("")
-                self.keys.append(np.empty(0, np.int64))
-                continue
-            ends_a, ends_b = np.cumsum([len(x) for x in parts_a]), np.cumsum([len(x) for x in parts_b])
-            cuts = np.union1d(ends_a, ends_b)  # every stretch between cuts lies in one token of each side: a link
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-            link_a, link_b = ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)]
-            both = np.intersect1d(ends_a, ends_b)
-            self.sizes.append((len(a), len(b), len(both), len(cuts)))
-            self.keys.append(self.key(link_a, link_b))
-            side_a, side_b = _joined(a, ends_a, both), _joined(b, ends_b, both)
-            self.groups.append(";".join(f"{x}|{y}" for x, y in zip(side_a, side_b)))
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.starts, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Stripe and cell of a pair of ids as one number, stripe first."""
         return (b % self.stripes) * STRIPE_CELLS + (b // self.stripes) * self.size_a + a
 
-    def align(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray, np.ndarray, np.ndarray]:
-        """For each text n_a, n_b, n_groups, n_links and its groups; and sorted (key, slot of the text) with their numbers."""
+    def _tokens(self, ids: list[list[int]], table: list[bytes], lengths: np.ndarray, data: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each chunk has, and whether their bytes are the chunk's."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+        ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum(n)]
+        if np.array_equal(ends, bounds) and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(data):
+            return flat, n, np.ones(len(ids), bool)
+        return flat, n, np.array([b"".join(map(table.__getitem__, own)) == x for own, x in zip(ids, data)])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks, each after a space, and aligns them all at once: their tokens as if they followed each other."""
+        data = [b" " + x.encode() for x in chunks]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False)]
+        ids_a, n_a, good_a = self._tokens(a, self.bytes_a, self.lengths_a, data, np.cumsum(size))
+        b = self.b.encode(chunks, num_threads=1)
+        ids_b, n_b, good_b = self._tokens(b, self.bytes_b, self.lengths_b, data, np.cumsum(size))
+        good = good_a & good_b
+        if not good.all():
+            ids_a, ids_b, size = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)], size * good
+            n_a, n_b = n_a * good, n_b * good
+        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
+        marks = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.int8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        cuts, both = np.flatnonzero(marks), np.flatnonzero(marks == 3)
+        # every stretch between cuts lies in one token of each side: a link
+        links = self.key(ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)])
+        upto, groups = (np.searchsorted(x, np.cumsum(size), "right") for x in (cuts, both))
+        n_links, n_groups = np.diff(upto, prepend=0), np.diff(groups, prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.links) + upto - n_links])
+        self.links = np.concatenate([self.links, links])
+        self.sizes = np.concatenate([self.sizes, np.stack([np.where(good, n_a, -1), n_b, n_groups, n_links], axis=1)])
+        # groups in writing: A's ids of a group, then B's
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        code = np.empty(len(ids_a) + len(ids_b), np.int64)
+        code[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)] = ids_a + self.size_a * (marks[ends_a] == 3)
+        code[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * self.size_a + ids_b + self.size_b * (marks[ends_b] == 3)
+        text = "".join(map(self.written.__getitem__, code.tolist()))
+        at = np.concatenate([[0], np.cumsum(self.widths[code])])[np.cumsum(n_a + n_b)].tolist()
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.groups += [text[i : j - 1] if j > i else "" for i, j in zip([0, *at], at)]
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, n_links (a row a text) and groups of texts; and sorted (key, slot of the text) with their numbers."""
         chunks = [_cut(x) if x else [] for x in texts]
-        new = dict.fromkeys(c for own in chunks for c in own if c not in self.known)
-        if self.held > CACHE_BYTES and new:
+        new = list(dict.fromkeys(c for own in chunks for c in own if c not in self.known))
+        if new and (len(self.known) + len(new) > CACHE_CHUNKS or len(self.links) > CACHE_LINKS):
             self.forget()
-            new = dict.fromkeys(c for own in chunks for c in own)
-        if new:
-            self.learn(list(new))
-        found, slots, words = [], [], []
-        for slot, own in enumerate(chunks):
-            at = [self.known[c] for c in own]
-            sizes = [self.sizes[i] for i in at]
-            if not at or min(x[0] for x in sizes) < 0:
-                found.append((0, 0, 0, 0, ""))
-                continue
-            found.append((*map(sum, zip(*sizes)), ";".join([self.groups[i] for i in at])))
-            slots.append(np.full(len(at), slot, np.int64))
-            words.append(np.array(at, np.int64))
-        if not words:
-            return found, *(np.empty(0, np.int64) for _ in range(3))
-        pairs, times = np.unique(np.concatenate(words) << 16 | np.concatenate(slots), return_counts=True)  # a chunk's repeats in a text
-        keys = [self.keys[i] for i in (pairs >> 16).tolist()]
-        lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-        links = np.concatenate(keys) << 16 | np.repeat(pairs & 0xFFFF, lengths)
-        order = np.argsort(links, kind="stable")
+            new = list(dict.fromkeys(c for own in chunks for c in own))
+        for i in range(0, len(new), LEARN_CHUNKS):
+            self.learn(new[i : i + LEARN_CHUNKS])
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, lengths.sum())
+        slot = np.repeat(np.arange(len(texts)), lengths)
+        bad = np.zeros(len(texts), bool)
+        bad[slot[self.sizes[at, 0] < 0]] = True
+        ends, places = np.cumsum(lengths).tolist(), at.tolist()
+        groups = [";".join(map(self.groups.__getitem__, places[i:j])) if not no else "" for i, j, no in zip([0, *ends], ends, bad.tolist())]
+        good = ~bad[slot]
+        at, slot = at[good], slot[good]
+        sizes = np.zeros((len(texts), 4), np.int64)
+        for k in range(4):
+            np.add.at(sizes[:, k], slot, self.sizes[at, k])
+        pairs, times = np.unique(at << 16 | slot, return_counts=True)  # a chunk's repeats in a text
+        at = pairs >> 16
+        lengths = self.sizes[at, 3]
+        place = np.repeat(self.starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        links = self.links[place] << 16 | np.repeat(pairs & 0xFFFF, lengths)
+        order = np.argsort(links)
         links, times = links[order], np.repeat(times, lengths)[order]
-        first = np.flatnonzero(np.r_[True, links[1:] != links[:-1]])
+        first = np.flatnonzero(np.r_[True, links[1:] != links[:-1]]) if len(links) else np.empty(0, np.int64)
         links = links[first]
-        return found, links >> 16, links & 0xFFFF, np.add.reduceat(times, first)
+        return sizes, groups, links >> 16, links & 0xFFFF, np.add.reduceat(times, first) if len(first) else times
 
 
 @cache
@@ -173,16 +196,15 @@ def linked(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
         pair, target = _tokenizers(path_a, path_b), to_arrow_schema(schema)
         for batch in batches:
             ids, texts = batch.columns
-            at, sizes = 0, np.fromiter((len(x.as_py() or "") for x in texts), np.int64, len(texts))
+            at, sizes = 0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             while at < len(ids):
                 upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + BATCH_DOCS]), BATCH_BYTES)))
-                found, keys, slots, times = pair.align(texts[at:upto].to_pylist())
+                sizes_of, text, keys, slots, times = pair.align(texts[at:upto].to_pylist())
                 own = ids[at : min(upto, len(ids))]
                 at = upto
-                *counts, text = zip(*found)
                 if groups == "sha256":
                     text = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in text]
-                fields = [own, *(pa.array(x, pa.int64()) for x in counts), pa.array(text, pa.string())]
+                fields = [own, *(pa.array(x) for x in sizes_of.T.copy()), pa.array(text, pa.string())]
                 packed = pa.StructArray.from_arrays(fields, fields=list(target.field("docs").type.value_type))
                 docs_column = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), packed)
                 stripe, cells = keys // STRIPE_CELLS, keys % STRIPE_CELLS
