@@ -730,4 +730,4 @@ def _(spark, sf_dir):
     return portfolio.weights(monthly.select("symbol", "ts", c.pct_change(F.col("close")).alias("r")).where("r is not null"), SYMBOLS)
 
 
-from . import catalog_research, catalog_streams, catalog_studies  # noqa: E402, F401  (register their queries)
+from . import catalog_research, catalog_streams, catalog_studies, catalog_trades  # noqa: E402, F401  (register their queries)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features, labels, models, quality, registry, relational, runs
-from .sources import landing
+from .sources import archive, landing
 
 OVERLAP_DAYS = 5
 
@@ -50,8 +50,20 @@ def _ingest(spark: SparkSession, rows: DataFrame, report: DataFrame, path: str,
 
 def ingest_prices(spark: SparkSession, files: str, path: str) -> DataFrame:
     """Loads landing files of bars into the table at path; see _ingest for what it returns."""
-    rows = landing.read_prices(spark, files)
-    return _ingest(spark, rows, quality.price_report(rows), path, "symbol")
+    rows = landing.read_prices(spark, files, arrived=True)
+    return _ingest(spark, rows.drop("arrived"), quality.price_report(rows, arrival="arrived"), path, "symbol")
+
+
+def archive_prices(spark: SparkSession, files: str, root: str, provider: str = "landing", dataset: str = "prices") -> int:
+    """Puts landing files into the raw archive at root as they are, and returns how many were new."""
+    return archive.write(archive.read_files(spark, files, provider, dataset), root)
+
+
+def ingest_archive(spark: SparkSession, root: str, path: str, provider: str = "landing", dataset: str = "prices") -> DataFrame:
+    """Loads the bars of archived payloads, in the order in which they were fetched, into the table at path; the later of two rows of a key counts."""
+    rows = landing.parse_prices(archive.read(spark, root, provider, dataset))
+    newest = relational.dedup_keep_last(rows, ["symbol", "ts"], "arrived")
+    return _ingest(spark, newest.drop("arrived"), quality.price_report(newest), path, "symbol")
 
 
 def ingest_series(spark: SparkSession, files: str, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archive
+
 #: Time zone and local close of each session.
 SESSIONS = {
     "us_equity": ("America/New_York", 16, 0),
@@ -81,22 +83,63 @@ def _entity() -> Column:
     return F.upper(F.regexp_replace(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1), r"(?i)\.csv$", ""))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical bars of CSV files with Date, Open, High, Low, Close and perhaps Volume, one symbol a file (named after it).
+LINE_END = "\r\n|\n|\r"
+PRICES = {"date", "open", "high", "low", "close"}
+
+
+def _text() -> Column:
+    return F.regexp_replace(F.decode("content", "UTF-8"), "^\uFEFF", "")
+
+
+def _names(header: Column) -> Column:
+    return F.transform(F.split(header, ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+
+
+def csv_cells(payloads: DataFrame, required: set[str]) -> DataFrame:
+    """entity, arrived and cells of each line of CSV payloads; cells: column name -> text, by the header of the line's own file.
+
+    Names are trimmed and lower-cased; empty cells and empty lines are left out; a cell may stand in double quotes. arrived
+    (fetched_at, entity, line) orders lines as they came: files by time, lines by their number. A payload whose header
+    lacks a required column raises an error, which names the first that is missing.
+    """
+    lines = payloads.select("entity", "fetched_at", F.split(_text(), LINE_END).alias("lines"))
+    headed = lines.select("entity", "fetched_at", "lines", _names(F.col("lines")[0]).alias("names"))
+    lacking = F.array_except(F.array(*(F.lit(c) for c in sorted(required))), "names")
+    checked = F.when(F.size(lacking) == 0, F.col("names")).otherwise(F.raise_error(F.concat("entity", F.lit(": no column "), lacking[0])).cast("array<string>"))
+    rows = headed.select("entity", "fetched_at", checked.alias("names"), F.posexplode("lines").alias("line", "text")).where("line > 0 AND trim(text) <> ''")
+    parts = F.transform(F.split("text", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    width = F.least(F.size("names"), F.size("parts"))
+    pairs = F.filter(F.arrays_zip(F.slice("names", 1, width).alias("key"), F.slice("parts", 1, width).alias("value")), lambda x: x["value"] != "")
+    return rows.withColumn("parts", parts).select("entity", F.struct("fetched_at", "entity", "line").alias("arrived"), F.map_from_entries(pairs).alias("cells"))
+
+
+def parse_prices(payloads: DataFrame) -> DataFrame:
+    """Canonical bars, and arrived, of CSV payloads with Date, Open, High, Low, Close and perhaps Volume in any order, one symbol each.
 
     Numbers that cannot be read are null, and rows without a full set of prices are left out; an unreadable date is an
     error. The close serves as adjusted close.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    raw = raw.toDF(*(c.strip().lower() for c in raw.columns))
-    lacking = {"date", "open", "high", "low", "close"} - set(raw.columns)
-    if lacking:
-        raise LandingError(f"no column {', '.join(sorted(lacking))}")
-    number = lambda c: F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")
-    day = F.coalesce(F.col("date").try_cast("date"), F.raise_error(F.concat(F.lit("unreadable date "), F.coalesce("date", F.lit("")))).cast("date"))
-    rows = raw.select(_entity().alias("symbol"), day.cast("timestamp").alias("ts"), *(number(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    rows = csv_cells(payloads, PRICES)
+    cell = lambda c: F.try_element_at("cells", F.lit(c))
+    day = F.coalesce(cell("date").try_cast("date"), F.raise_error(F.concat(F.lit("unreadable date "), F.coalesce(cell("date"), F.lit("")))).cast("date"))
+    rows = rows.select(F.col("entity").alias("symbol"), day.cast("timestamp").alias("ts"), *(cell(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), "arrived")
     rows = rows.withColumn("available_at", close_instant(F.col("ts"), session_of(F.col("symbol")))).withColumn("adj_close", F.col("close"))
-    return rows.dropna(subset=["open", "high", "low", "close"]).select("symbol", "ts", "available_at", "open", "high", "low", "close", "adj_close", "volume")
+    return rows.dropna(subset=["open", "high", "low", "close"]).select("symbol", "ts", "available_at", "open", "high", "low", "close", "adj_close", "volume", "arrived")
+
+
+def read_prices(spark: SparkSession, path: str, arrived: bool = False) -> DataFrame:
+    """Canonical bars of landing CSV files, one symbol a file (named after it), each by its own header; see parse_prices.
+
+    A file is one row until it is parsed, so it has to fit a task. With arrived the rows keep the order in which they came.
+    """
+    files = archive.read_files(spark, path, "landing", "prices")
+    header = F.split(_text(), LINE_END, 2)[0]
+    lacking = F.array_except(F.array(*(F.lit(c) for c in sorted(PRICES))), _names(header))
+    short = files.select("entity", lacking.alias("lacking")).where(F.size("lacking") > 0).first()
+    if short:
+        raise LandingError(f"{short.entity}: no column {', '.join(short.lacking)}")
+    rows = parse_prices(files)
+    return rows if arrived else rows.drop("arrived")
 
 
 def read_close_only(spark: SparkSession, path: str) -> DataFrame:
