@@ -2,6 +2,7 @@
 
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,30 @@ def test_stream_bars_equal_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("tick_bars")
     assert got.count() == 3 and got.exceptAll(tick_bars(ticks)).count() == 0
+
+
+@pytest.mark.parametrize("gap", [1, 2, 21, 100, 500])
+@pytest.mark.parametrize("alphas", [(2 / 501, 2 / 253, 0.01), (2 / 64, 0.5, 0.97, 1.0)])
+def test_ewm_of_sparse_series_equals_pandas(spark, gap, alphas):
+    rng = np.random.default_rng(gap)
+    n = 2600
+    frame = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2000-01-01", periods=n)})
+    frame["x"] = np.where(np.arange(n) % gap == gap // 2, 100 + rng.normal(size=n).cumsum(), np.nan)
+    frame["y"] = np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))
+    frame["one"] = np.where(frame.x.notna(), 1.0, np.nan)
+    df = spark.createDataFrame(frame).withColumns({k: F.nanvl(k, F.lit(None)) for k in ("x", "y", "one")})
+    sources = {f"{k}_{i}": (k, alpha, 1 + 2 * i) for i, alpha in enumerate(alphas) for k in ("x", "y", "one")}
+    got = c.ewm(df, sources).orderBy("ts").toPandas()
+    for name, (k, alpha, least) in sources.items():
+        want = frame[k].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_one_pass_gives_what_two_give(spark):
+    rng = np.random.default_rng(1)
+    close = 100 + rng.normal(size=300).cumsum()
+    frame = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2000-01-01", periods=300), "high": close + 1, "low": close - 1, "close": close})
+    df = spark.createDataFrame(frame)
+    both = c.rsi_and_range(df, "close", 14, "r", "t").orderBy("ts").toPandas()
+    one = c.average_true_range(c.rsi(df, "close", 14, "r"), 14, "t").orderBy("ts").toPandas()
+    pd.testing.assert_frame_equal(both[one.columns], one)

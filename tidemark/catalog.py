@@ -353,6 +353,20 @@ _RANGES = f"SELECT symbol, ts, greatest(high - low, coalesce(abs(high - p), 0),
 _ATR = f"(SELECT symbol, ts, CASE WHEN i >= 14 THEN atr END AS atr FROM {_recursive_sql(_RANGES, {'atr': 'tr'}, '(1.0 / 14)')})"
 
 
+_SPARSE = """WITH RECURSIVE o AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM (
+      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars) WHERE i % 21 = 0),
+    s AS (SELECT symbol, k, close AS m FROM o WHERE k = 1 UNION ALL
+      SELECT o.symbol, o.k, (pow(1 - 2.0 / 253, 21) * s.m + 2.0 / 253 * o.close) / (pow(1 - 2.0 / 253, 21) + 2.0 / 253) FROM s JOIN o ON o.symbol = s.symbol AND o.k = s.k + 1)
+  SELECT symbol, ts, m AS ewm FROM s JOIN o USING (symbol, k)"""
+
+
+@query("ewm_sparse_series", _SPARSE, "ewm", "ts")
+def _(spark, sf_dir):
+    place = F.row_number().over(c.by_symbol()) - 1
+    rows = derived.bars(spark, sf_dir).select("symbol", "ts", F.when(place % 21 == 0, F.col("close")).alias("x"))
+    return c.ewm(rows, {"ewm": ("x", 2 / 253, 1)}).where("x IS NOT NULL").select("symbol", "ts", "ewm")
+
+
 @query("rsi_14", f"SELECT * FROM {_RSI}", "rsi", "ts")
 def _(spark, sf_dir):
     return c.rsi(derived.bars(spark, sf_dir), "adj_close").select("symbol", "ts", "rsi")

@@ -105,63 +105,94 @@ def forward_return(x: Column, horizon: int) -> Column:
     return F.try_divide(F.lead(x, _past(horizon)).over(by_symbol()), x) - 1
 
 
+#: Span of log weights within which sums of scaled means are kept; what is older than two spans weighs under e**-300.
+SPAN = 300.0
+
+
+def _carried(chunks: DataFrame, end: str, log: str, name: str) -> DataFrame:
+    """chunks with the mean that each inherits from all chunks before it: a chunk takes m to exp(log) * m + end.
+
+    Running log weights are cut into spans; a mean is put together from the sums of its own span and the one before, each
+    scaled by where its span begins, so nothing overflows.
+    """
+    order = W.partitionBy("symbol").orderBy("__ewm_chunk")
+    chunks = chunks.withColumn("__s", F.sum(log).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__b", F.floor(-F.col("__s") / SPAN))
+    chunks = chunks.withColumn("__e", F.col(end) * F.exp(-F.col("__s") - SPAN * F.col("__b")))
+    own = F.sum("__e").over(W.partitionBy("symbol", "__b").orderBy("__ewm_chunk").rowsBetween(W.unboundedPreceding, 0))
+    older = F.sum("__e").over(W.partitionBy("symbol").orderBy("__b").rangeBetween(-1, -1))
+    scale = F.exp(F.col("__s") + SPAN * F.col("__b"))
+    chunks = chunks.withColumn("__m", scale * own + F.coalesce(scale * math.exp(-SPAN) * older, F.lit(0.0)))
+    return chunks.withColumn(name, F.coalesce(F.lag("__m").over(order), F.lit(0.0))).drop("__s", "__b", "__e", "__m")
+
+
 def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """df with recursive exponential means: name -> (column, alpha, observations needed).
+    """df with recursive exponential means: name -> (column, alpha, observations needed); all sources in one pass.
 
     A step of the recursion is an affine map of the mean before, and maps compose: each symbol is cut into chunks of rows
-    within which the maps are summed up by windows, every chunk's map is one row, and what a chunk inherits comes from the
-    three before it (all that is older has a weight under e**-60). Missing observations keep the mean and age it, as the
-    weights of the next observation show.
+    within which the maps are summed up by windows, every chunk's map is one row, and each chunk inherits the composition
+    of all chunks before it. Missing observations keep the mean and age it, as the weights of the next observation show.
     """
     time = by_symbol()
-    past = time.rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("__ewm_i", F.row_number().over(time) - 1)
-    for name, (column, alpha, least) in sources.items():
-        x, i = F.col(f"`{column}`").cast("double"), F.col("__ewm_i")
-        kept = min(-math.log1p(-alpha), 40.0) if alpha < 1 else 40.0
-        size = max(8, math.ceil(20 / kept))
-        before = F.last(F.when(x.isNotNull(), i), ignorenulls=True).over(time.rowsBetween(W.unboundedPreceding, -1))
-        rows = out.withColumn("__ewm_chunk", F.floor(i / size)).withColumn("__ewm_gap", i - before).withColumn("__ewm_n", F.count(x).over(past))
-        old = F.exp(F.greatest(-kept * F.col("__ewm_gap"), F.lit(-300.0)))
-        seen, later = x.isNotNull(), F.col("__ewm_gap").isNotNull()
+    past, earlier = time.rowsBetween(W.unboundedPreceding, 0), time.rowsBetween(W.unboundedPreceding, -1)
+    wanes = {k: min(-math.log1p(-alpha), 40.0) if alpha < 1 else 40.0 for k, (_, alpha, _) in enumerate(sources.values())}
+    size = max(8, math.ceil(20 / max(wanes.values())))
+    rows = df.withColumn("__ewm_i", F.row_number().over(time) - 1).withColumn("__ewm_chunk", F.floor(F.col("__ewm_i") / size))
+    seen = {k: F.col(f"`{column}`").isNotNull() for k, (column, _, _) in enumerate(sources.values())}
+    i = F.col("__ewm_i")
+    rows = rows.withColumns({f"__ewm_before{k}": F.last(F.when(s, i), ignorenulls=True).over(earlier) for k, s in seen.items()} | {f"__ewm_n{k}": F.count(F.when(s, 1)).over(past) for k, s in seen.items()})
+    steps = {}
+    for k, (column, alpha, _) in enumerate(sources.values()):
+        x, gap = F.col(f"`{column}`").cast("double"), i - F.col(f"__ewm_before{k}")
+        old, later = F.exp(F.greatest(-wanes[k] * gap, F.lit(-SPAN))), gap.isNotNull()
         # mean = factor * mean before + part; the first observation is the mean
-        rows = rows.withColumn("__ewm_log", F.when(seen & later, F.ln(old / (old + alpha))).otherwise(0.0))
-        rows = rows.withColumn("__ewm_part", F.when(seen & later, alpha * x / (old + alpha)).when(seen, x).otherwise(0.0))
-        inner = W.partitionBy("symbol", "__ewm_chunk").orderBy("__ewm_i").rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumn("__ewm_log", F.sum("__ewm_log").over(inner))
-        rows = rows.withColumn("__ewm_own", F.exp("__ewm_log") * F.sum(F.col("__ewm_part") * F.exp(-F.col("__ewm_log"))).over(inner))
-        chunks = rows.groupBy("symbol", "__ewm_chunk").agg(F.max_by("__ewm_own", "__ewm_i").alias("end"), F.max_by("__ewm_log", "__ewm_i").alias("log"))
-        order = W.partitionBy("symbol").orderBy("__ewm_chunk")
-        inherited, weight = F.lit(0.0), F.lit(0.0)
-        for k in (1, 2, 3):
-            inherited = inherited + F.coalesce(F.lag("end", k).over(order) * F.exp(weight), F.lit(0.0))
-            weight = weight + F.coalesce(F.lag("log", k).over(order), F.lit(0.0))
-        chunks = chunks.select("symbol", "__ewm_chunk", inherited.alias("__ewm_inherited"))
-        rows = rows.join(chunks, ["symbol", "__ewm_chunk"])
-        mean = F.when(seen, F.exp("__ewm_log") * F.col("__ewm_inherited") + F.col("__ewm_own"))
-        rows = rows.withColumn("__ewm_mean", mean).withColumn("__ewm_mean", F.last("__ewm_mean", ignorenulls=True).over(past))
-        out = rows.withColumn(name, F.when(F.col("__ewm_n") >= least, F.col("__ewm_mean")))
-        out = out.drop("__ewm_chunk", "__ewm_gap", "__ewm_n", "__ewm_log", "__ewm_part", "__ewm_own", "__ewm_inherited", "__ewm_mean")
-    return out.drop("__ewm_i")
+        steps[f"__ewm_log{k}"] = F.when(seen[k] & later, F.ln(old / (old + alpha))).otherwise(0.0)
+        steps[f"__ewm_part{k}"] = F.when(seen[k] & later, alpha * x / (old + alpha)).when(seen[k], x).otherwise(0.0)
+    rows = rows.withColumns(steps)
+    inner = W.partitionBy("symbol", "__ewm_chunk").orderBy("__ewm_i").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__ewm_log{k}": F.sum(f"__ewm_log{k}").over(inner) for k in wanes})
+    rows = rows.withColumns({f"__ewm_own{k}": F.exp(f"__ewm_log{k}") * F.sum(F.col(f"__ewm_part{k}") * F.exp(-F.col(f"__ewm_log{k}"))).over(inner) for k in wanes})
+    ends = [F.max_by(f"__ewm_{what}{k}", "__ewm_i").alias(f"__{what}{k}") for k in wanes for what in ("own", "log")]
+    chunks = rows.groupBy("symbol", "__ewm_chunk").agg(*ends)
+    for k in wanes:
+        chunks = _carried(chunks, f"__own{k}", f"__log{k}", f"__ewm_inherited{k}")
+    rows = rows.join(chunks.select("symbol", "__ewm_chunk", *(f"__ewm_inherited{k}" for k in wanes)), ["symbol", "__ewm_chunk"])
+    rows = rows.withColumns({f"__ewm_mean{k}": F.when(seen[k], F.exp(f"__ewm_log{k}") * F.col(f"__ewm_inherited{k}") + F.col(f"__ewm_own{k}")) for k in wanes})
+    means = {name: F.when(F.col(f"__ewm_n{k}") >= least, F.last(f"__ewm_mean{k}", ignorenulls=True).over(past)) for k, (name, (_, _, least)) in enumerate(sources.items())}
+    return rows.withColumns(means).select(*(F.col(f"`{c}`") for c in df.columns if c not in means), *means)
 
 
 def ewm_mean(df: DataFrame, column: str, span: int, name: str = "ewm") -> DataFrame:
     return ewm(df, {name: (column, 2 / (span + 1), span)})
 
 
-def rsi(df: DataFrame, column: str, n: int = 14, name: str = "rsi") -> DataFrame:
-    """Relative strength by Wilder's means: 100 without losses, 0 without gains, null without either."""
+def _gains(column: str) -> dict[str, Column]:
     change = F.col(column) - lag(F.col(column), 1)
-    rows = df.withColumn("__up", F.greatest(change, F.lit(0.0))).withColumn("__down", F.greatest(-change, F.lit(0.0)))
-    rows = rows.withColumn("__up", F.when(change.isNotNull(), F.col("__up"))).withColumn("__down", F.when(change.isNotNull(), F.col("__down")))
-    rows = ewm(rows, {"__gain": ("__up", 1 / n, n), "__loss": ("__down", 1 / n, n)})
+    return {"__up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "__down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))}
+
+
+def _strength() -> Column:
     gain, loss = F.col("__gain"), F.col("__loss")
-    value = F.when((gain == 0) & (loss == 0), None).when(loss == 0, 100.0).when(gain == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
-    return rows.withColumn(name, value).drop("__up", "__down", "__gain", "__loss")
+    return F.when((gain == 0) & (loss == 0), None).when(loss == 0, 100.0).when(gain == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+
+
+def _true_range() -> Column:
+    before = lag(F.col("close"), 1)
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+
+
+def rsi(df: DataFrame, column: str, n: int = 14, name: str = "rsi") -> DataFrame:
+    """Relative strength by Wilder's means: 100 without losses, 0 without gains, null without either."""
+    rows = ewm(df.withColumns(_gains(column)), {"__gain": ("__up", 1 / n, n), "__loss": ("__down", 1 / n, n)})
+    return rows.withColumn(name, _strength()).drop("__up", "__down", "__gain", "__loss")
 
 
 def average_true_range(df: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
     """Wilder's mean of the true range; a symbol's first bar has its high minus its low."""
-    before = lag(F.col("close"), 1)
-    spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return ewm(df.withColumn("__range", spread), {name: ("__range", 1 / n, n)}).drop("__range")
+    return ewm(df.withColumn("__range", _true_range()), {name: ("__range", 1 / n, n)}).drop("__range")
+
+
+def rsi_and_range(df: DataFrame, column: str, n: int = 14, rsi_name: str = "rsi", range_name: str = "atr") -> DataFrame:
+    """df with both, in one pass."""
+    rows = df.withColumns(_gains(column) | {"__range": _true_range()})
+    rows = ewm(rows, {"__gain": ("__up", 1 / n, n), "__loss": ("__down", 1 / n, n), range_name: ("__range", 1 / n, n)})
+    return rows.withColumn(rsi_name, _strength()).drop("__up", "__down", "__gain", "__loss", "__range")

@@ -40,9 +40,12 @@ def price_features(bars: DataFrame, price: str = "adj_close") -> DataFrame:
         F.when(F.col("volume") >= 0, F.log1p("volume")).alias("__volume"),
         (F.col("volume") * F.col("close")).alias("__dollars"),
     )
-    rows = c.average_true_range(c.rsi(rows.select(*bars.columns, "__log", "__ret", "__volume", "__dollars"), price, 14, "rsi_14"), 14, "__atr")
+    # windows by symbol first: the exponential means join at the end
+    made = rows.withColumns(columns)
+    made = c.rsi_and_range(made.select("symbol", "ts", "available_at", "high", "low", "close", F.col(price).alias("__price"), *columns), "__price", 14, "rsi_14", "__atr")
+    made = made.withColumn("atr_14_normalised", F.try_divide("__atr", "close"))
     names = [*columns, "rsi_14", "atr_14_normalised"]
-    made = rows.withColumn("atr_14_normalised", F.try_divide("__atr", "close")).select("symbol", "ts", "available_at", *(v.alias(k) for k, v in columns.items()), "rsi_14", "atr_14_normalised")
+    made = made.select("symbol", "ts", "available_at", *names)
     return made.dropna("all", subset=names)
 
 
