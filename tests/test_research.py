@@ -115,6 +115,11 @@ def test_order_and_drawdowns(spark):
     with pytest.raises(quality.StaleData):
         quality.assert_fresh(bars, F.lit(dt.date(2020, 1, 20)))
     assert quality.assert_fresh(bars, F.lit(dt.date(2020, 1, 5))) is bars
+    newer = bars.union(bars.where("arrival = 1").withColumns({"symbol": F.lit("B"), "ts": F.lit(day(20))}))
+    with pytest.warns(UserWarning, match="1 stale symbols: A 19 days"):  # one stale symbol does not hold up the others
+        assert quality.assert_fresh(newer, F.lit(dt.date(2020, 1, 22))) is newer
+    with pytest.raises(quality.StaleData, match="no rows"):
+        quality.assert_fresh(bars.limit(0), F.lit(dt.date(2020, 1, 22)))
     curve = spark.createDataFrame([("x", day(i + 1), v) for i, v in enumerate([100.0, 90.0, 80.0, 100.0, 99.0, 120.0, 60.0])], "run string, ts timestamp, equity double")
     got = [(r.start.day, r.trough_ts.day, r.end.day, round(r.depth, 6), r.length, r.underwater) for r in backtest.drawdown_episodes(curve).orderBy("place").collect()]
     assert got == [(7, 7, 7, -0.5, 1, 1), (2, 3, 4, -0.2, 3, 2), (5, 5, 6, -0.01, 2, 1)]
@@ -145,3 +150,43 @@ def test_upsert_batches(spark, tmp_path):
     stream = spark.readStream.schema("k string, ingest_seq int, v double").parquet(str(tmp_path / "in"))
     upsert_batches(stream, ["k"], lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 2.0), ("b", 3.0)]
+
+
+def test_costs_sizes_and_sides_by_hand(spark):
+    from tidemark.operators import backtest
+
+    one = spark.range(1)
+    lit = lambda x: F.lit(x).cast("double")
+
+    def impact(quantity, volume, sigma, side=1):
+        return one.select(backtest.impact_slippage(lit(100.0), lit(side), lit(quantity), lit(volume), lit(sigma))).first()[0]
+
+    assert impact(100, 10_000, 0.03) == pytest.approx(100 * (1 + 0.00025 + 0.03 * 0.1))
+    assert impact(100, 10_000, 0.03, -1) == pytest.approx(100 * (1 - 0.00025 - 0.03 * 0.1))
+    assert impact(9_000, 10_000, None) == pytest.approx(100 * (1 + 0.00025 + 0.02 * 0.5))  # usual sigma, at most a quarter of the volume
+    assert impact(100, None, 0.03) == impact(100, 0, 0.03) == pytest.approx(100.025)
+    assert one.select(backtest.per_share_commission(lit(10), lit(0))).first()[0] == 1.0
+    fills = spark.createDataFrame([("a", 1000.0, 50.0, 10_000.0, 0.01), ("a", 0.0, 50.0, 1.0, 0.01), ("a", -10.0, 50.0, None, None)], "symbol string, quantity double, price double, volume double, sigma double")
+    got = {k: tuple(backtest.trade_costs(fills, k).select("trades", "commission", "slippage").first()) for k in backtest.COSTS}
+    assert got["frictionless"] == (2, 0.0, 0.0)
+    assert got["realistic"] == (2, pytest.approx(5.0 + 1.0), pytest.approx(1010 * 50 * 5e-4))
+    assert got["pessimistic"] == (2, pytest.approx(10.0 + 1.0), pytest.approx(1000 * 50 * (5e-4 + 0.01 * 0.1**0.5) + 10 * 50 * 5e-4))
+    own = backtest.CostModel(commission=lambda q, n: backtest.percent_commission(n, 10.0))
+    assert backtest.trade_costs(fills, own).first().commission == pytest.approx(50.5)
+
+    t = dt.datetime(2020, 1, 1)
+    preds = spark.createDataFrame([(s, t, y) for s, y in [("a", 0.3), ("b", 0.2), ("c", 0.1), ("d", -0.5), ("e", -0.05), ("f", None), ("g", float("nan")), ("h", 0.0)]], "symbol string, ts timestamp, y_pred double")
+    book = lambda *how: {r.symbol: r.weight for r in backtest.long_short_targets(preds, *how).collect() if r.weight}
+    assert book() == pytest.approx({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3})
+    assert book(0.0, 0.0) == pytest.approx({"a": 0.2, "b": 0.2, "c": 0.2, "d": -0.2, "e": -0.2})
+    assert book(0.0, 0.0, 1) == pytest.approx({"a": 0.5, "d": -0.5})
+    assert set(backtest.long_short_targets(preds).toPandas().symbol) == set("abcdeh")
+
+    targets = spark.createDataFrame([(s, t, 0.5) for s in "abc"], "symbol string, ts timestamp, weight double")
+    bars = spark.createDataFrame([("a", t, 10.0, 1000.0), ("b", t, 10.0, 0.0), ("c", t, 10.0, None)], "symbol string, ts timestamp, close double, volume double")
+    size = lambda **how: {r.symbol: r.quantity for r in backtest.sized_orders(targets, bars, **how).collect()}
+    assert size() == {"a": 100, "b": 5000, "c": 5000}
+    assert size(participation=None, lot=300) == {"a": 4800, "b": 4800, "c": 4800}
+    assert size(participation=None, size=lambda w, p: w * 30) == {"a": 15, "b": 15, "c": 15}
+    with pytest.raises(Exception, match="no positive price of a"):
+        backtest.sized_orders(targets, bars.withColumn("close", F.when(F.col("symbol") != "a", 1.0).otherwise(0.0))).collect()

@@ -614,7 +614,7 @@ def _(spark, sf_dir):
     return _sized(spark, sf_dir)[0]
 
 
-@query("commission_models", f"SELECT symbol, ts, least(greatest(0.005 * abs(quantity), 1.0), 0.01 * abs(quantity * close)) AS per_share, greatest(abs(quantity * close) * 5 / 10000, 0.0) AS percent FROM {_SIZED}", "per_share percent", "ts")
+@query("commission_models", f"SELECT symbol, ts, CASE WHEN quantity * close <> 0 THEN least(greatest(0.005 * abs(quantity), 1.0), 0.01 * abs(quantity * close)) ELSE greatest(0.005 * abs(quantity), 1.0) END AS per_share, greatest(abs(quantity * close) * 5 / 10000, 0.0) AS percent FROM {_SIZED}", "per_share percent", "ts")
 def _(spark, sf_dir):
     sized, b = _sized(spark, sf_dir)
     rows = sized.join(b.select("symbol", "ts", "close"), ["symbol", "ts"])
@@ -622,12 +622,42 @@ def _(spark, sf_dir):
     return rows.select("symbol", "ts", backtest.per_share_commission(F.col("quantity"), notional).alias("per_share"), backtest.percent_commission(notional).alias("percent"))
 
 
-@query("slippage_models", f"SELECT symbol, ts, close * (1 + 5.0 / 10000) AS fixed, close * (1 + 0.1 * 0.2 * sqrt(least(abs(quantity) / volume, 0.25))) AS impact FROM {_SIZED}", "fixed impact", "ts")
-def _(spark, sf_dir):
+_IMPACT = "coalesce(CASE WHEN sigma > 0 THEN sigma ELSE 0.02 END * sqrt(CASE WHEN volume > 0 THEN least(abs(quantity) / volume, 0.25) END), 0)"
+_DAILY = f"(SELECT symbol, ts, CASE WHEN count(r) OVER w = 21 THEN stddev_samp(r) OVER w END AS sigma FROM rets WINDOW w AS ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))"
+_PRICED = f"(SELECT symbol, ts, quantity, close, volume, sigma, sign(quantity) AS side FROM {_SIZED} JOIN {_DAILY} USING (symbol, ts))"
+
+
+def _priced(spark, sf_dir):
     sized, b = _sized(spark, sf_dir)
-    rows = sized.join(b.select("symbol", "ts", "close", "volume"), ["symbol", "ts"])
-    price, side = F.col("close"), F.lit(1)
-    return rows.select("symbol", "ts", backtest.fixed_slippage(price, side).alias("fixed"), backtest.impact_slippage(price, side, F.col("quantity"), F.col("volume"), F.lit(0.2)).alias("impact"))
+    daily = _returns(spark, sf_dir).select("symbol", "ts", c.rolling_std(F.col("r"), 21).alias("sigma"))
+    return sized.join(b.select("symbol", "ts", F.col("close").alias("price"), "volume"), ["symbol", "ts"]).join(daily, ["symbol", "ts"])
+
+
+@query("slippage_models", f"""SELECT symbol, ts, close * (1 + side * 5.0 / 10000) AS fixed, close * (1 + side * (2.5 / 10000 + {_IMPACT})) AS impact FROM {_PRICED}""", "fixed impact", "ts")
+def _(spark, sf_dir):
+    price, side, quantity = F.col("price"), F.signum("quantity"), F.col("quantity")
+    impact = backtest.impact_slippage(price, side, quantity, F.col("volume"), F.col("sigma"))
+    return _priced(spark, sf_dir).select("symbol", "ts", backtest.fixed_slippage(price, side).alias("fixed"), impact.alias("impact"))
+
+
+_PESSIMISTIC = f"close * (1 + side * (5.0 / 10000 + {_IMPACT}))"
+_CHARGED = f"""(SELECT symbol, 'frictionless' AS scenario, quantity, close, close AS filled, 0.0 AS rate FROM {_PRICED} UNION ALL
+  SELECT symbol, 'realistic', quantity, close, close * (1 + side * 5.0 / 10000), 0.005 FROM {_PRICED} UNION ALL SELECT symbol, 'pessimistic', quantity, close, {_PESSIMISTIC}, 0.01 FROM {_PRICED})"""
+
+
+@query("trade_costs_by_scenario", f"""SELECT symbol, scenario, count(*) FILTER (quantity <> 0) AS trades, sum(abs(quantity * close)) AS notional,
+    sum(CASE WHEN quantity = 0 OR rate = 0 THEN 0 ELSE least(greatest(rate * abs(quantity), 1.0), 0.01 * abs(quantity * filled)) END) AS commission,
+    sum(abs(quantity) * abs(filled - close)) AS slippage FROM {_CHARGED} GROUP BY symbol, scenario""", "notional commission slippage")
+def _(spark, sf_dir):
+    rows = _priced(spark, sf_dir)
+    costs = [backtest.trade_costs(rows, k).withColumn("scenario", F.lit(k)) for k in backtest.COSTS]
+    return costs[0].unionByName(costs[1]).unionByName(costs[2])
+
+
+@query("orders_in_lots", f"SELECT symbol, ts, weight, CAST(sign(raw) * floor(abs(raw) / 100) * 100 AS BIGINT) AS quantity FROM (SELECT t.symbol, t.ts, t.weight, t.weight * 10000000 / b.close AS raw FROM {_MOMENTUM} t JOIN bars b USING (symbol, ts))", "weight", "ts")
+def _(spark, sf_dir):
+    b = derived.bars(spark, sf_dir)
+    return backtest.sized_orders(backtest.momentum_targets(b), b, 1e7, participation=None, lot=100)
 
 
 @query("rebalance_calendar", "SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS period, min(ts) AS ts FROM bars GROUP BY 1", "", "period ts")

@@ -153,12 +153,12 @@ def _(spark, sf_dir):
 
 
 _SIDES = "(SELECT symbol, ts, y_pred, CASE WHEN y_pred > 0 THEN 1 WHEN y_pred < 0 THEN -1 ELSE 0 END AS side FROM preds WHERE model = 'hist21')"
-_CHOSEN = f"(SELECT *, side <> 0 AND row_number() OVER (PARTITION BY ts ORDER BY abs(side) DESC, abs(y_pred) DESC, symbol) <= 2 AS chosen FROM {_SIDES})"
+_CHOSEN = f"(SELECT *, side <> 0 AND row_number() OVER (PARTITION BY ts, side ORDER BY side * y_pred DESC, symbol) <= 2 AS chosen FROM {_SIDES})"
 _BOOK = f"(SELECT symbol, ts, CASE WHEN chosen THEN side * 1.0 / sum(CAST(chosen AS INTEGER)) OVER (PARTITION BY ts) ELSE 0.0 END AS weight FROM {_CHOSEN})"
 
 
 def _book(spark, sf_dir):
-    return backtest.long_short_targets(derived.predictions(spark, sf_dir).where("model = 'hist21'"))
+    return backtest.long_short_targets(derived.predictions(spark, sf_dir).where("model = 'hist21'"), 0.0, 0.0, 2)
 
 
 @query("long_short_targets", f"SELECT * FROM {_BOOK}", "weight", "ts")
@@ -186,10 +186,11 @@ def _(spark, sf_dir):
 _LOTS = "(SELECT symbol, o_totalprice AS price, CAST(trunc((o_custkey - 50) / 10.0) * 10 AS BIGINT) AS q FROM (SELECT o_orderpriority AS symbol, o_totalprice, o_custkey FROM orders))"
 
 
-@query("trade_costs_by_symbol", f"SELECT symbol, count(*) FILTER (q <> 0) AS trades, sum(abs(q * price)) AS notional, sum(abs(q * price)) / 10000 AS commission, sum(abs(q * price)) * 5 / 10000 AS slippage FROM {_LOTS} GROUP BY symbol", "notional commission slippage")
+@query("trade_costs_by_symbol", f"""SELECT symbol, count(*) FILTER (q <> 0) AS trades, sum(abs(q * price)) AS notional,
+    sum(CASE WHEN q = 0 THEN 0 ELSE least(greatest(0.005 * abs(q), 1.0), 0.01 * abs(q) * price * (1 + sign(q) * 5.0 / 10000)) END) AS commission, sum(abs(q * price)) * 5 / 10000 AS slippage FROM {_LOTS} GROUP BY symbol""", "notional commission slippage")
 def _(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    fills = orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_totalprice").alias("fill_price"), backtest.in_lots(F.col("o_custkey") - 50, 10).alias("quantity"))
+    fills = orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_totalprice").alias("price"), backtest.in_lots(F.col("o_custkey") - 50, 10).alias("quantity"))
     return backtest.trade_costs(fills)
 
 

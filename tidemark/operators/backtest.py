@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,7 +53,9 @@ def next_open_fills(targets: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def per_share_commission(quantity: Column, notional: Column, rate: float = 0.005, least: float = 1.0, cap: float = 0.01) -> Column:
-    return F.least(F.greatest(rate * F.abs(quantity), F.lit(least)), cap * F.abs(notional))
+    """A fee per share with a minimum for the order, at most a share of the notional; without a notional there is no cap."""
+    fee, most = F.greatest(rate * F.abs(quantity), F.lit(least)), cap * F.abs(notional)
+    return F.when(most > 0, F.least(fee, most)).otherwise(fee)
 
 
 def percent_commission(notional: Column, bps: float = 5.0, least: float = 0.0) -> Column:
@@ -62,18 +67,53 @@ def fixed_slippage(price: Column, side: Column, bps: float = 5.0) -> Column:
     return price * (1 + side * bps / 10_000)
 
 
-def impact_slippage(price: Column, side: Column, quantity: Column, volume: Column, sigma: Column, coefficient: float = 0.1) -> Column:
-    part = F.least(F.try_divide(F.abs(quantity), volume), F.lit(0.25))
-    return price * (1 + side * coefficient * F.coalesce(sigma, F.lit(0.0)) * F.sqrt(F.coalesce(part, F.lit(0.25))))
+def impact_slippage(price: Column, side: Column, quantity: Column, volume: Column, sigma: Column, coefficient: float = 1.0, half_spread: float = 2.5, usual: float = 0.02, most: float = 0.25) -> Column:
+    """Half the spread (basis points) and an impact of coefficient * sigma * sqrt(share of the bar's volume, at most `most`).
+
+    An unknown or non-positive sigma (a day) counts as `usual`; without a volume only the half spread is paid.
+    """
+    sigma = F.when(sigma > 0, sigma).otherwise(F.lit(usual))
+    share = F.when(volume > 0, F.least(F.abs(quantity) / volume, F.lit(most)))
+    return price * (1 + side * (half_spread / 10_000 + F.coalesce(coefficient * sigma * F.sqrt(share), F.lit(0.0))))
+
+
+@dataclass(frozen=True)
+class CostModel:
+    """What a trade costs: commission(quantity, notional) and slippage(price, side, quantity, volume, sigma) -> fill price; any columns will do."""
+
+    commission: Callable[[Column, Column], Column] = lambda quantity, notional: F.lit(0.0)
+    slippage: Callable[..., Column] = lambda price, side, quantity, volume, sigma: price
+
+    def costs(self, quantity: Column, price: Column, volume: Column, sigma: Column) -> tuple[Column, Column]:
+        """Commission and slippage in money of trading a signed quantity at a reference price; nothing for no quantity."""
+        traded, side = F.coalesce(quantity != 0, F.lit(False)), F.signum(quantity)
+        filled = self.slippage(price, side, quantity, volume, sigma)
+        fee = self.commission(quantity, quantity * filled)
+        return F.when(traded, fee).otherwise(0.0), F.when(traded, F.abs(quantity) * F.abs(filled - price)).otherwise(0.0)
+
 
+#: The three cost scenarios of a study.
+COSTS = {
+    "frictionless": CostModel(),
+    "realistic": CostModel(lambda q, n: per_share_commission(q, n, 0.005), lambda p, side, q, v, s: fixed_slippage(p, side, 5.0)),
+    "pessimistic": CostModel(lambda q, n: per_share_commission(q, n, 0.01), lambda p, side, q, v, s: impact_slippage(p, side, q, v, s, 1.0, 5.0)),
+}
 
-def sized_orders(targets: DataFrame, bars: DataFrame, equity: float = 100_000.0, most_weight: float = 1.0, participation: float = 0.1) -> DataFrame:
-    """Whole units for each target weight, at most a share of the bar's volume."""
+
+def sized_orders(targets: DataFrame, bars: DataFrame, equity: float = 100_000.0, most_weight: float = 1.0, participation: float | None = 0.1, lot: int = 1, size: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Units in whole lots for each target weight, at most a share of the bar's volume where it has one.
+
+    A missing or zero volume sets no limit, nor does participation None. A price that is not positive is an error. `size`
+    may stand in for weight * equity / price: a function of the limited weight and the price.
+    """
     rows = targets.join(bars.select("symbol", "ts", "close", "volume"), ["symbol", "ts"])
     weight = F.greatest(F.lit(-most_weight), F.least(F.lit(most_weight), F.col("weight")))
-    raw = F.coalesce(F.try_divide(weight * equity, F.when(F.col("close") > 0, F.col("close"))), F.lit(0.0))
-    limit = participation * F.col("volume")
-    return rows.select("symbol", "ts", "weight", F.greatest(-limit, F.least(limit, raw)).cast("long").alias("quantity"))
+    price = F.when(F.col("close") > 0, F.col("close")).otherwise(F.raise_error(F.concat(F.lit("no positive price of "), "symbol")).cast("double"))
+    raw = weight * equity / price if size is None else size(weight, price)
+    if participation is not None:
+        limit = participation * F.col("volume")
+        raw = F.when(F.col("volume") > 0, F.greatest(-limit, F.least(limit, raw))).otherwise(raw)
+    return rows.select("symbol", "ts", "weight", in_lots(raw, lot).alias("quantity"))
 
 
 def rebalance_dates(bars: DataFrame, frequency: str = "month") -> DataFrame:
@@ -130,12 +170,21 @@ def drawdown_episodes(curve: DataFrame, run: str = "run", k: int = 5) -> DataFra
     return got.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy("depth", "start"))).where(F.col("place") <= k)
 
 
-def long_short_targets(preds: DataFrame, long_above: float = 0.0, short_below: float = 0.0, positions: int = 2, leverage: float = 1.0) -> DataFrame:
-    """The `positions` strongest forecasts beyond either threshold share the book by their sign; all else is flat."""
-    side = F.when(F.col("y_pred") > long_above, 1).when(F.col("y_pred") < short_below, -1).otherwise(0)
-    order = W.partitionBy("ts").orderBy(F.desc(F.abs("side")), F.desc(F.abs("y_pred")), "symbol")
-    rows = preds.withColumn("side", side).withColumn("rank", F.row_number().over(order))
-    chosen = (F.col("side") != 0) & (F.col("rank") <= positions)
+def long_short_targets(preds: DataFrame, long_above: float = 0.0, short_below: float | None = None, positions: int | None = None, leverage: float = 1.0) -> DataFrame:
+    """Forecasts above one threshold are bought and those below the other sold, in equal shares; all else is flat.
+
+    With `positions`, at most so many on each side: the highest of the bought and the lowest of the sold, ties by symbol.
+    Without short_below nothing is sold. Forecasts that are null or not finite give no target.
+    """
+    y = F.col("y_pred")
+    rows = preds.where(y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+    side = F.when(y > long_above, 1)
+    side = (side if short_below is None else side.when(y < short_below, -1)).otherwise(0)
+    rows = rows.withColumn("side", side)
+    chosen = F.col("side") != 0
+    if positions is not None:
+        rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("ts", "side").orderBy(F.desc(F.abs("side")), F.desc(F.col("side") * y), "symbol")))
+        chosen = chosen & (F.col("rank") <= positions)
     held = F.sum(chosen.cast("int")).over(W.partitionBy("ts"))
     return rows.select("symbol", "ts", F.when(chosen, leverage * F.col("side") / held).otherwise(F.lit(0.0)).alias("weight"))
 
@@ -163,16 +212,13 @@ def turnover_exposure(targets: DataFrame, periods: int = 252) -> DataFrame:
     return daily.agg(F.count(F.lit(1)).alias("n"), (F.avg("change") * periods).alias("turnover"), F.avg("gross").alias("gross"), F.avg("net").alias("net"))
 
 
-#: Cost scenarios: commission and slippage in basis points.
-COSTS = {"none": (0.0, 0.0), "realistic": (1.0, 5.0), "severe": (5.0, 20.0)}
-
-
-def trade_costs(fills: DataFrame, scenario: str = "realistic", by: str = "symbol") -> DataFrame:
-    """trades, notional, commission and slippage per group of fills (quantity, fill_price) under a cost scenario."""
-    commission, slippage = COSTS[scenario]
-    notional = F.abs(F.col("quantity") * F.col("fill_price"))
-    got = fills.groupBy(by).agg(F.count_if(F.col("quantity") != 0).alias("trades"), F.sum(notional).alias("notional"))
-    return got.select(by, "trades", "notional", (F.col("notional") * commission / 10_000).alias("commission"), (F.col("notional") * slippage / 10_000).alias("slippage"))
+def trade_costs(fills: DataFrame, scenario: str | CostModel = "realistic", by: str = "symbol") -> DataFrame:
+    """trades, notional, commission and slippage per group of fills (quantity, price, and perhaps volume and sigma) under a cost scenario."""
+    model = COSTS[scenario] if isinstance(scenario, str) else scenario
+    known = lambda c: F.col(c) if c in fills.columns else F.lit(None).cast("double")
+    commission, slippage = model.costs(F.col("quantity"), F.col("price"), known("volume"), known("sigma"))
+    notional = F.abs(F.col("quantity") * F.col("price"))
+    return fills.groupBy(by).agg(F.count_if(F.col("quantity") != 0).alias("trades"), F.sum(notional).alias("notional"), F.sum(commission).alias("commission"), F.sum(slippage).alias("slippage"))
 
 
 def normalised_curves(curve: DataFrame, run: str = "run") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +90,17 @@ class StaleData(ValueError):
 
 
 def assert_fresh(bars: DataFrame, now: Column, max_age_days: int = 5) -> DataFrame:
-    """bars, if every symbol is fresh; raises StaleData with the stalest ones otherwise (an empty table is stale)."""
+    """bars, if the newest of all is fresh; raises StaleData otherwise (an empty table is stale).
+
+    Single symbols whose newest bar is too old only give a warning: a delisted one must not hold up the others.
+    """
     ages = freshness(bars, now, max_age_days)
-    stale = ages.where("stale").orderBy(F.desc("age_days"), "symbol").limit(5).collect()
-    if stale or ages.isEmpty():
-        raise StaleData("; ".join(f"{r.symbol}: {r.age_days} days" for r in stale) or "no rows")
+    all_of = ages.agg(F.min("age_days").alias("age"), F.count_if("stale").alias("n")).first()
+    if all_of.age is None or all_of.age > max_age_days:
+        raise StaleData("no rows" if all_of.age is None else f"the newest bar is {all_of.age} days old")
+    if all_of.n:
+        oldest = ages.where("stale").orderBy(F.desc("age_days"), "symbol").limit(10).collect()
+        warnings.warn(f"{all_of.n} stale symbols: " + "; ".join(f"{r.symbol} {r.age_days} days" for r in oldest), stacklevel=2)
     return bars
 
 

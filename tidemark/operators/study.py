@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 
 from . import evaluation
 
-#: Cost scenarios in basis points of the traded weight.
-SCENARIOS = {"frictionless": 0.0, "realistic": 6.0, "severe": 25.0}
+#: Cost scenarios in basis points of the traded weight: books of weights have no shares for backtest.COSTS to charge.
+SCENARIOS = {"frictionless": 0.0, "realistic": 6.0, "pessimistic": 25.0}
 
 
 def significance(preds: DataFrame, baseline: str = "zero", horizon: int = 1) -> DataFrame:
