@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -317,3 +318,47 @@ def test_pipeline_equals_brute_force(spark):
     for i, t in rows.items():
         assert got[i].n_tokens == len(SAME.encode_ordinary(t)) and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert exact_dedup.exact_dedup(docs).count() == docs.count()
+
+
+def test_pseudonyms_are_found_again_as_their_kind():
+    """Any pseudonym passes the rules that found its value, and equal values have equal pseudonyms; whatever stands around."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(n):
+        payload = digits(n - 1)
+        return payload + pii.luhn_digit(payload)
+
+    def iban():
+        rest = digits(18)
+        return "DE" + pii._iban_digits("DE", rest) + rest
+
+    makers = {
+        "ssn": lambda: f"{rng.choice([1, 665, 667, 899, rng.randint(1, 665)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", "card": lambda: card(rng.choice([13, 16, 19])),
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "iso": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "iban": iban,
+        "dmy": lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2099)}", "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "email": lambda: "".join(rng.choices("abcé.9", k=6)) + "a@x.example",
+    }
+    for kind, make in makers.items():
+        for _ in range(150):
+            text = f"see {make()} there"
+            (start, end, found), *_ = pii.find_values(text)
+            assert found == kind
+            made, spans = pii.pseudonymise(text, b"key")
+            assert [(a, k) for a, _, k in pii.find_values(made)] == [(start, kind)] or made == text, (text, made)
+            assert pii.pseudonymise(text, b"key")[0] == made
+    wrong = card(16)
+    wrong = wrong[:-1] + str((int(wrong[-1]) + 1) % 10)
+    assert pii.find_values(wrong)[0][2] == "number" and pii.find_values(pii.pseudonymise(wrong, b"key")[0])[0][2] == "number"
+    for refused in ("000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "2024-02-30", "256.1.1.1"):
+        assert pii.pseudonymise(refused, b"key") == (refused, [])
+    for text, kind in (("at 2024-02-29T10:00:00Z", "iso"), ("on 2024/02/29.", "iso"), ("jo@bücher.example", "email")):
+        assert [k for _, _, k in pii.find_values(text)] == [kind] and pii.pseudonymise(text, b"key")[0] != text
+
+
+def test_pii_of_one_long_text_takes_time_in_proportion():
+    text = " ".join(f"mail{i}.x@example{i}.com tel +1 (555) 555-{i % 10_000:04d}" for i in range(50_000))
+    began = time.perf_counter()
+    found = pii.find_values(text)
+    assert len(found) == 100_000 and [k for *_, k in found[:2]] == ["email", "phone"]
+    assert len(pii.pseudonymise(text, b"key")[1]) == 100_000
+    assert time.perf_counter() - began < 60  # all pairs of spans took half an hour

@@ -26,16 +26,17 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 _VALUE = re.compile(
     r"""(?<![0-9A-Za-z_.+-])(?:
       (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
-    | (?P<iso>\d{4}-\d{2}-\d{2}) | (?P<dmy>\d{1,2}([./])\d{1,2}\4\d{4})
+    | (?P<iso>\d{4}(?P<mark>[-/])\d{2}(?P=mark)\d{2}(?=T\d|(?![0-9A-Za-z_]))) | (?P<dmy>\d{1,2}(?P<dot>[./])\d{1,2}(?P=dot)\d{4})
     | (?P<ssn>\d{3}-\d{2}-\d{4})
     | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4} | \(\d{3}\)[ ]?\d{3}-\d{4} | \d{3}-\d{3}-\d{4})
     | (?P<card>\d(?:[ -]?\d){12,18})
     | (?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
-    )(?![0-9A-Za-z_])""",
+    )(?:(?<=\d)(?=T\d)|(?![0-9A-Za-z_]))""",
     re.VERBOSE,
 )
+KINDS = ("ip", "iso", "dmy", "ssn", "phone", "card", "iban")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+À-ÿ-]")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_DOMAIN = re.compile(r"[A-Za-z0-9À-ÿ-]+(?:\.[A-Za-z0-9À-ÿ-]+)*\.[A-Za-zÀ-ÿ]{2,}")
 _TRIGGER = re.compile(r"[0-9@]")
 #: Calling codes of one and two digits; all others have three.
 ONE_DIGIT_CODES = ("1", "7")
@@ -109,6 +110,11 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
 def _number(digits: str, key: bytes) -> str:
     """A number with a valid check digit gets one with a valid check digit, any other one without."""
     if luhn_digit(digits[:-1]) == digits[-1]:
@@ -120,6 +126,17 @@ def _number(digits: str, key: bytes) -> str:
             return digits
 
 
+def _ssn(digits: str, key: bytes) -> str | None:
+    """Permutes among the numbers that are given out: area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+    if area in (0, 666) or area > 899 or not group or not serial:
+        return None
+    n = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+    n, serial = divmod(permute(n, 898 * 99 * 9999, key, "ssn"), 9999)
+    area, group = divmod(n, 99)
+    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+
+
 def _iban_digits(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
@@ -149,7 +166,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "iso":
         day = _day(int(value[:4]), int(value[5:7]), int(value[8:]), key)
-        return day and day.isoformat()
+        return day and day.isoformat().replace("-", value[4])
     if kind == "dmy":
         mark = "." if "." in value else "/"
         parts = value.split(mark)
@@ -163,7 +180,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         return mark.join([*(f"{n:0{w}d}" for n, w in zip(made, widths, strict=True)), str(day.year)])
     digits = re.sub(r"\D", "", value)
     if kind == "ssn":
-        return None if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else _fill(value, _permute_text(digits, key, "ssn"))
+        return _ssn(digits, key)
     if kind == "phone":
         if not 9 <= len(digits) <= 15:
             return None
@@ -171,7 +188,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         if value[0] == "+":
             country = 1 if digits.startswith(ONE_DIGIT_CODES) else 2 if digits.startswith(TWO_DIGIT_CODES) else 3
         return _fill(value, digits[:country] + _permute_text(digits[country:], key, "phone"))
-    if kind == "card":
+    if kind in ("card", "number"):
         return _fill(value, _number(digits, key))
     if kind == "iban":
         plain = value.replace(" ", "")
@@ -199,12 +216,17 @@ def find_values(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the spans to replace, in order; of an e-mail address the part before the @."""
     if not _TRIGGER.search(text):
         return []
-    found = [(a, b, "email") for a, b in _emails(text)]
-    taken = [(a, b) for a, b, _ in found]
-    for m in _VALUE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            found.append((m.start(), m.end(), m.lastgroup))
-    return sorted(found)
+    emails, found = list(_emails(text)), []
+    at = 0
+    for m in _VALUE.finditer(text):  # both lists are in order, and spans of one do not overlap
+        while at < len(emails) and emails[at][1] <= m.start():
+            at += 1
+        if at == len(emails) or m.end() <= emails[at][0]:
+            kind = next(k for k in KINDS if m[k] is not None)
+            if kind == "card" and not _is_card(m[kind]):
+                kind = "number"
+            found.append((m.start(), m.end(), kind))
+    return sorted(found + [(a, b, "email") for a, b in emails])
 
 
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
@@ -233,8 +255,11 @@ def _cached(key: bytes):
 def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, text with pseudonyms, n_values, values (kind, start, end, pseudonym).
 
-    Values are e-mail addresses (the part before the @; the domain stays), telephone and card numbers, IPv4 addresses
-    (IPv6 ones stay), IBANs, US social security numbers and dates from 1900 to 2099 as 2024-02-29, 29.2.2024 or 2/29/2024.
+    Values are e-mail addresses (the part before the @; the domain stays), telephone and card numbers (13 to 19 digits
+    with a valid check digit), IPv4 addresses, IBANs, US social security numbers and dates from 1900 to 2099 as 2024-02-29,
+    2024/02/29, 29.2.2024 or 2/29/2024, also before a time of day. A run of 13 to 19 digits without a valid check digit may
+    be an account or a mistyped card: it is replaced under a kind of its own, `number`. A pseudonym is valid by the rules
+    that found its value. IPv6 addresses, telephone numbers without + or American grouping and years of two digits stay.
     A value in which nothing can change (an address of marks only) stays and is not counted. Whole texts are searched.
     Null texts stay null, empty ones empty, both without values. Repeated rows give a row each; other columns are
     ignored. The key has 1 to 64 bytes; whoever holds it can link and undo pseudonyms.
