@@ -190,3 +190,30 @@ def test_costs_sizes_and_sides_by_hand(spark):
     assert size(participation=None, size=lambda w, p: w * 30) == {"a": 15, "b": 15, "c": 15}
     with pytest.raises(Exception, match="no positive price of a"):
         backtest.sized_orders(targets, bars.withColumn("close", F.when(F.col("symbol") != "a", 1.0).otherwise(0.0))).collect()
+
+
+def test_numbers_without_one_task_and_intervals_without_keys(spark):
+    import random
+
+    from tidemark.operators import relational
+
+    rng = random.Random(9)
+    day = dt.timedelta(days=1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x double, i int")
+    got = relational.numbered(df, "x", "n", buckets=7).collect()
+    assert [r.x for r in sorted(got, key=lambda r: r.n)] == sorted(x for _, x, _ in rows) and sorted(r.n for r in got) == list(range(1, 501))
+    for g in ("a", "b", None):
+        own = [r for r in relational.numbered(df, "x", "n", "g", 7).collect() if r.g == g]
+        assert [r.x for r in sorted(own, key=lambda r: r.n)] == sorted(x for h, x, _ in rows if h == g) and sorted(r.n for r in own) == list(range(1, len(own) + 1))
+    assert relational.numbered(df.limit(0), "x", "n").count() == 0
+    t0 = dt.datetime(2020, 1, 1)
+    dates = [(t0 + rng.randint(0, 200) * day, k) for k in range(60)]
+    members = [(f"m{k}", t0 + rng.randint(-50, 200) * day, rng.choice([None, t0 + rng.randint(0, 250) * day])) for k in range(40)]
+    left, right = spark.createDataFrame(dates, "ts timestamp, k int"), spark.createDataFrame(members, "name string, valid_from timestamp, valid_to timestamp")
+    met = relational.interval_join(left, right)
+    assert met.columns == ["ts", "k", "name", "valid_from", "valid_to"]
+    assert sorted((r.k, r.name) for r in met.collect()) == sorted((k, m) for at, k in dates for m, a, b in members if a <= at and (b is None or at < b))
+    assert relational.interval_join(left.limit(0), right).count() == 0
+    repeated = spark.createDataFrame([("a", t0, t0 + day, "x", 1.0), ("a", t0, t0, "x", 2.0), ("a", t0, t0, "y", None)], "symbol string, ts timestamp, available_at timestamp, name string, value double")
+    assert [tuple(r)[2:] for r in relational.pivot_features(repeated, ["x", "y"]).collect()] == [(1.0, None)]

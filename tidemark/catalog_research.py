@@ -129,22 +129,23 @@ def _(spark, sf_dir):
     return risk.volatility_clustering(_returns(spark, sf_dir))
 
 
-_SCREEN_ROWS = f"(SELECT ts, r, close / lag(close, 5) OVER ({W}) - 1 AS r5, lead(r) OVER ({W}) AS y FROM rets WHERE symbol = '1-URGENT')"
-_SCREEN = f"(SELECT feature, ts, x, y FROM (SELECT 'r' AS feature, ts, r AS x, y FROM {_SCREEN_ROWS} UNION ALL SELECT 'r5', ts, r5, y FROM {_SCREEN_ROWS}) WHERE x IS NOT NULL AND y IS NOT NULL)"
+_SCREEN_ROWS = f"(SELECT symbol, ts, r, close / lag(close, 5) OVER ({W}) - 1 AS r5, lead(r) OVER ({W}) AS y FROM rets)"
+_SCREEN = f"(SELECT feature, symbol, ts, x, y FROM (SELECT 'r' AS feature, symbol, ts, r AS x, y FROM {_SCREEN_ROWS} UNION ALL SELECT 'r5', symbol, ts, r5, y FROM {_SCREEN_ROWS}) WHERE x IS NOT NULL AND y IS NOT NULL)"
 _FIT = f"(SELECT feature, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS b, var_pop(x) AS vx, covar_pop(x, y) ** 2 / (var_pop(x) * var_pop(y)) AS r2, CAST(greatest(1, floor(4 * pow(count(*) / 100.0, 2.0 / 9))) AS INTEGER) AS lags FROM {_SCREEN} GROUP BY feature)"
-_SCORES = f"(SELECT s.feature, f.n, f.b, f.vx, f.r2, f.lags, row_number() OVER (PARTITION BY s.feature ORDER BY ts) AS i, (x - mx) * (y - my - b * (x - mx)) AS d FROM {_SCREEN} s JOIN {_FIT} f ON f.feature = s.feature)"
+_SCORES = f"(SELECT s.feature, f.n, f.b, f.vx, f.r2, f.lags, row_number() OVER (PARTITION BY s.feature ORDER BY ts, symbol) AS i, (x - mx) * (y - my - b * (x - mx)) AS d FROM {_SCREEN} s JOIN {_FIT} f ON f.feature = s.feature)"
 _SCREENED = f"(SELECT a.feature, a.n, a.b, a.vx, a.r2, sum(a.d * e.d * CASE WHEN a.i = e.i THEN 1.0 ELSE 2.0 * (1 - (a.i - e.i) / (a.lags + 1.0)) END) AS s FROM {_SCORES} a JOIN {_SCORES} e ON e.feature = a.feature AND e.i BETWEEN a.i - a.lags AND a.i GROUP BY a.feature, a.n, a.b, a.vx, a.r2)"
 
 
 def _regressors(spark, sf_dir):
     p = F.col("close")
     rows = derived.bars(spark, sf_dir).select("symbol", "ts", c.pct_change(p).alias("r"), c.pct_change(p, 5).alias("r5"), c.forward_return(p, 1).alias("y"))
-    return rows.where("symbol = '1-URGENT'")
+    # one order of all rows: by instant, then by the number that a symbol begins with
+    return rows.withColumn("at", F.unix_seconds("ts") * 10 + F.substring("symbol", 1, 1).cast("long"))
 
 
 @query("univariate_screen", f"SELECT feature, n, b AS coefficient, b / (sqrt(s * n / (n - 2)) / (n * vx)) AS t, r2 FROM {_SCREENED}", "coefficient t r2")
 def _(spark, sf_dir):
-    return regression.univariate_screen(_regressors(spark, sf_dir), ["r", "r5"], "y").drop("p")
+    return regression.univariate_screen(_regressors(spark, sf_dir), ["r", "r5"], "y", "at").drop("p")
 
 
 @query("variance_inflation", f"SELECT f AS feature, 1 / (1 - corr(r, r5) ** 2) AS vif FROM {_SCREEN_ROWS}, (VALUES ('r'), ('r5')) v(f) WHERE r IS NOT NULL AND r5 IS NOT NULL GROUP BY f", "vif")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .inference import autocovariances, long_run, newey_west_lags, normal_cdf
 from .models import moments
+from .relational import numbered
 
 
 def _lags(n: Column, horizon: int | None) -> Column:
@@ -22,11 +22,12 @@ def univariate_screen(rows: DataFrame, features: list[str], label: str, order: s
     horizon - 1 lags. p has to be adjusted for the number of features by the caller. Constant features are left out.
     """
     long = rows.unpivot([order, label], features, "feature", "x").where(F.col("x").isNotNull() & F.col(label).isNotNull())
-    x, y, w = F.col("x"), F.col(label), W.partitionBy("feature")
+    x, y = F.col("x"), F.col(label)
     fit = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg(label).alias("my"), F.covar_pop("x", label).alias("cxy"), F.var_pop("x").alias("vx"), F.var_pop(label).alias("vy"))
     fit = fit.where("n >= 10 and vx > 1e-300").withColumn("b", F.col("cxy") / F.col("vx"))
     score = (x - F.col("mx")) * (y - F.col("my") - F.col("b") * (x - F.col("mx")))
-    series = long.join(fit, "feature").select("feature", F.row_number().over(w.orderBy(order)).alias("i"), score.alias("d"), "n", F.col("b").alias("mean"))
+    scored = long.join(F.broadcast(fit), "feature").select("feature", order, score.alias("d"), "n", F.col("b").alias("mean"))  # fit: a row per feature
+    series = numbered(scored, order, "i", "feature").drop(order)
     lags = _lags(F.col("n"), horizon)
     robust = long_run(autocovariances(series, "feature", lags), "feature", lags).select("feature", "lrv")
     n = F.col("n")
@@ -57,10 +58,9 @@ def ols_hac(rows: DataFrame, features: list[str], label: str, order: str = "ts",
     lags = max(1, int(np.floor(4 * (n / 100) ** (2 / 9)))) if horizon is None else max(1, horizon - 1)
     residual = F.col("y") - float(beta[0]) - sum((float(b) * F.col(x) for b, x in zip(slope, names, strict=True)), F.lit(0.0))
     scored = rows.withColumn("u", residual).select(order, *(v.alias(f"z{k}") for k, v in enumerate([F.col("u"), *(F.col("u") * F.col(x) for x in names)])))
-    w = W.orderBy(order)
-    numbered = scored.select(F.row_number().over(w).alias("i"), *(f"z{k}" for k in range(d + 1)))
-    late = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")).withColumn("at", F.col("i") - F.col("lag"))
-    early = numbered.select(F.col("i").alias("at"), *(F.col(f"z{k}").alias(f"e{k}") for k in range(d + 1)))
+    placed = numbered(scored, order, "i").select("i", *(f"z{k}" for k in range(d + 1)))
+    late = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")).withColumn("at", F.col("i") - F.col("lag"))
+    early = placed.select(F.col("i").alias("at"), *(F.col(f"z{k}").alias(f"e{k}") for k in range(d + 1)))
     weight = 1 - F.col("lag") / (lags + 1)
     sums = late.join(early, "at").agg(*(F.sum(F.when(F.col("lag") == 0, F.col(f"z{i}") * F.col(f"e{j}")).otherwise(weight * (F.col(f"z{i}") * F.col(f"e{j}") + F.col(f"z{j}") * F.col(f"e{i}")))).alias(f"s{i}_{j}") for i in range(d + 1) for j in range(d + 1))).first()
     meat = np.array([[sums[f"s{i}_{j}"] for j in range(d + 1)] for i in range(d + 1)])

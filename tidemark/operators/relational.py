@@ -51,11 +51,47 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, name: str, by: list
 
 
 def interval_join(dates: DataFrame, members: DataFrame, at: str = "ts", keys: list[str] | None = None) -> DataFrame:
-    """dates joined with the memberships that hold at each: valid_from <= at < valid_to, an open end being null."""
+    """dates joined with the memberships that hold at each: valid_from <= at < valid_to, an open end being null.
+
+    Without keys the two sides meet by month, a membership once for each month that it shares with the span of dates, so
+    no date is compared with memberships of other times.
+    """
     inside = (F.col("m.valid_from") <= F.col(f"d.{at}")) & (F.col("m.valid_to").isNull() | (F.col("m.valid_to") > F.col(f"d.{at}")))
     for k in keys or []:
         inside = (F.col(f"d.{k}") == F.col(f"m.{k}")) & inside
-    return dates.alias("d").join(members.alias("m"), inside).select("d.*", *(f"m.{c}" for c in members.columns if c not in dates.columns))
+    kept = ["d.*", *(f"m.{c}" for c in members.columns if c not in dates.columns)]
+    if keys:
+        return dates.alias("d").join(members.alias("m"), inside).select(*kept)
+    span = dates.agg(F.min(F.date_trunc("month", at)).alias("first"), F.max(F.date_trunc("month", at)).alias("last"))  # one row
+    start = F.greatest(F.date_trunc("month", "valid_from"), F.col("first"))
+    stop = F.least(F.date_trunc("month", F.coalesce("valid_to", "last")), F.col("last"))
+    months = F.when(start <= stop, F.sequence(start, stop, F.expr("INTERVAL 1 MONTH")))
+    dealt = members.join(F.broadcast(span), F.col("valid_from") < F.col("last") + F.expr("INTERVAL 1 MONTH")).withColumn("__month", F.explode(months)).drop("first", "last")
+    dated = dates.withColumn("__at_month", F.date_trunc("month", at))
+    met = dated.alias("d").join(dealt.alias("m"), (F.col("d.__at_month") == F.col("m.__month")) & inside)
+    return met.select(*kept).drop("__at_month", "__month")
+
+
+def numbered(df: DataFrame, order: str, name: str, by: str | None = None, buckets: int = 200) -> DataFrame:
+    """df with row numbers from 1 in the order of a number, date or instant, per group of `by` if given, without one task for all rows.
+
+    Quantiles of `order` cut the rows into buckets; rows are numbered within each and take the sum of the smaller buckets'
+    counts, which are `buckets` rows for each group. Equal values share a bucket; rows without a value come first.
+    """
+    value = F.col(order).cast("double") if dict(df.dtypes)[order] in ("double", "float", "int", "bigint", "smallint", "tinyint") else F.col(order).cast("timestamp").cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []))
+    bucket = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (value > c).cast("int")) if cuts else F.lit(0)
+    rows = df.withColumn("__bucket", F.coalesce(bucket, F.lit(-1)))
+    groups = [by] if by else []
+    counts = rows.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__count"))
+    before = F.coalesce(F.sum("__count").over(W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(g).alias("__by") for g in groups), F.col("__bucket").alias("__at"), before.alias("__before"))
+    same = F.col("__bucket") == F.col("__at")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("__by"))
+    place = F.row_number().over(W.partitionBy(*groups, "__bucket").orderBy(order)) + F.col("__before")
+    return rows.join(offsets, same).withColumn(name, place).drop("__bucket", "__at", "__before", "__by")
+
 
 
 def _settled(df: DataFrame) -> list[Column]:
@@ -92,7 +128,10 @@ def unpivot_features(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def pivot_features(long: DataFrame, names: list[str]) -> DataFrame:
-    return long.groupBy("symbol", "ts").pivot("name", names).agg(F.last("value", ignorenulls=True))
+    """One row per symbol and ts with a column for each name; of repeated values the one that became available last, then the largest."""
+    known = long.where("value IS NOT NULL")
+    order = F.struct("available_at", "value") if "available_at" in long.columns else F.col("value")
+    return long.select("symbol", "ts").distinct().join(known.groupBy("symbol", "ts").pivot("name", names).agg(F.max_by("value", order)), ["symbol", "ts"], "left")
 
 
 def page(df: DataFrame, order: list[str | Column], limit: int = 500, offset: int = 0) -> DataFrame:
