@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,7 +22,7 @@ def to_decimal(x: Column, places: int = 8, digits: int = 20) -> Column:
 def load_gated(df: DataFrame, target: str, quarantine: str, required: list[str], numeric: list[str] = (), instants: list[str] = ()) -> DataFrame:
     """Appends df to the Parquet table at target if every cell of the numeric columns (double) and instants (timestamp) can be read, and returns what was loaded.
 
-    One pass over df coerces, counts the cells that became null and writes the rows aside. If any did, nothing is loaded:
+    One pass over df coerces, marks the cells that became null and writes the rows aside. If there are any, nothing is loaded:
     the rows concerned go to the table at quarantine with `unread`, the names of their cells, and SchemaError tells the
     counts. Nulls stay nulls. A missing required column is refused before any reading; an optional one may be missing.
     """
@@ -33,12 +33,11 @@ def load_gated(df: DataFrame, target: str, quarantine: str, required: list[str],
     lost = {c: F.col(f"__raw_{c}").isNotNull() & F.col(f"`{c}`").isNull() for c in kinds}
     unread = F.filter(F.array(*(F.when(x, F.lit(c)) for c, x in lost.items())).cast("array<string>"), lambda c: c.isNotNull())
     flagged = typed.withColumn("unread", unread)
-    seen = Observation()
     aside = f"{target.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    counts = [F.count(F.lit(1)).alias("__rows"), *(F.count_if(x).alias(c) for c, x in lost.items())]
-    flagged.observe(seen, *counts).write.parquet(aside)
-    spark, bad = df.sparkSession, {c: n for c, n in seen.get.items() if c != "__rows" and n}
-    rows = spark.read.schema(flagged.schema).parquet(aside)
+    flagged.write.parquet(aside)
+    rows = df.sparkSession.read.schema(flagged.schema).parquet(aside)
+    # counted from the one column: an Observation would leave the session unable to run closures of fitted trees
+    bad = {r.c: r.n for r in rows.select(F.explode("unread").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     if bad:
         kept = [F.col(f"__raw_{c}").cast("string").alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns]
         rows.where(F.size("unread") > 0).select(*kept, "unread").write.mode("append").parquet(quarantine)
