@@ -192,3 +192,14 @@ def test_trades_equal_a_loop(spark, seed):
 def test_no_fills(spark):
     none = spark.createDataFrame([("a", T0, 0, 0, 1.0), ("a", T0, 1, None, 1.0)], FILLS)
     assert trades.round_trips(none).count() == 0 and trades.fill_results(none).count() == 0
+
+
+def test_series_have_their_metadata(spark):
+    rows = spark.createDataFrame([("dgs10",), ("GDPC1",), ("other",), (None,)], "code string")
+    got = {r.code: (r.name, r.frequency, r.units, r.lag_days, r.known) for r in landing.with_metadata(rows).collect()}
+    assert got["dgs10"] == ("10-Year Treasury Constant Maturity Rate", "daily", "percent", 1, True)
+    assert got["GDPC1"][1:] == ("quarterly", "billions_chained_2017", 120, True)
+    assert got["other"] == got[None] == (None, "monthly", None, 45, False)
+    assert set(landing.SERIES) == set(landing.PUBLICATION_LAG)
+    with pytest.raises(landing.LandingError, match="unknown session"):
+        landing.close_instant(F.col("ts"), "nowhere")

@@ -22,6 +22,24 @@ PUBLICATION_LAG = {
     "UNRATE": 45, "CPIAUCSL": 45, "INDPRO": 45, "PAYEMS": 45, "UMCSENT": 45, "GDPC1": 120,
 }
 DEFAULT_LAG = 45
+#: Name, frequency and unit of each known series.
+SERIES = {
+    "DGS10": ("10-Year Treasury Constant Maturity Rate", "daily", "percent"),
+    "DGS2": ("2-Year Treasury Constant Maturity Rate", "daily", "percent"),
+    "DGS3MO": ("3-Month Treasury Constant Maturity Rate", "daily", "percent"),
+    "T10Y2Y": ("10-Year minus 2-Year Treasury Spread", "daily", "percent"),
+    "T10Y3M": ("10-Year minus 3-Month Treasury Spread", "daily", "percent"),
+    "VIXCLS": ("CBOE Volatility Index: VIX", "daily", "index"),
+    "BAMLH0A0HYM2": ("ICE BofA US High Yield Index Option-Adjusted Spread", "daily", "percent"),
+    "DTWEXBGS": ("Nominal Broad U.S. Dollar Index", "daily", "index"),
+    "DFF": ("Federal Funds Effective Rate", "daily", "percent"),
+    "UNRATE": ("Unemployment Rate", "monthly", "percent"),
+    "CPIAUCSL": ("CPI for All Urban Consumers: All Items", "monthly", "index"),
+    "INDPRO": ("Industrial Production: Total Index", "monthly", "index"),
+    "PAYEMS": ("All Employees, Total Nonfarm", "monthly", "thousands"),
+    "UMCSENT": ("University of Michigan: Consumer Sentiment", "monthly", "index"),
+    "GDPC1": ("Real Gross Domestic Product", "quarterly", "billions_chained_2017"),
+}
 
 
 class LandingError(ValueError):
@@ -38,7 +56,9 @@ def session_of(symbol: Column) -> Column:
 
 
 def close_instant(day: Column, session: Column | str) -> Column:
-    """The UTC instant of a session's close on a day; null for an unknown session. The session time zone must be UTC."""
+    """The UTC instant of a session's close on a day. A column gives null for an unknown session, a name is refused. The session time zone must be UTC."""
+    if isinstance(session, str) and session not in SESSIONS:
+        raise LandingError(f"unknown session {session}; known are {', '.join(SESSIONS)}")
     session = F.lit(session) if isinstance(session, str) else session
     found = F.lit(None).cast("timestamp")
     for name, (zone, hour, minute) in SESSIONS.items():
@@ -65,6 +85,17 @@ def lag_of(code: Column) -> Column:
     return found
 
 
+def with_metadata(rows: DataFrame, code: str = "code") -> DataFrame:
+    """rows with name, frequency, units and lag_days of their series, and known: whether it is in the table.
+
+    Codes count in capitals. An unknown series is taken as monthly with the default lag, and has neither name nor unit.
+    """
+    table = rows.sparkSession.createDataFrame([(k, *v) for k, v in SERIES.items()], "__code string, name string, frequency string, units string")
+    met = rows.join(F.broadcast(table), F.upper(F.col(code)) == F.col("__code"), "left")
+    known = F.col("__code").isNotNull()
+    return met.withColumns({"frequency": F.coalesce("frequency", F.lit("monthly")), "lag_days": lag_of(F.col(code)), "known": known}).drop("__code")
+
+
 def period_key(ts: Column, frequency: str) -> Column:
     """Text that is equal for the instants of one period: day, week (ISO), month, quarter or year."""
     if frequency == "week":
