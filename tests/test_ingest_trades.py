@@ -203,3 +203,14 @@ def test_series_have_their_metadata(spark):
     assert set(landing.SERIES) == set(landing.PUBLICATION_LAG)
     with pytest.raises(landing.LandingError, match="unknown session"):
         landing.close_instant(F.col("ts"), "nowhere")
+
+
+def test_required_columns_and_dropped_rows_are_told(spark):
+    from tidemark.operators import features, relational
+
+    df = bars(spark)
+    with pytest.raises(quality.SchemaError, match="high, low, volume"):
+        features.price_features(df, "close")
+    kept, dropped = relational.dedup_counted(df, ["symbol", "ts"], "available_at")
+    assert dropped == 1 and kept.count() == df.count() - 1 and kept.where("close = 99").count() == 1
+    assert relational.dedup_counted(df.limit(0), ["symbol", "ts"], "available_at")[1] == 0

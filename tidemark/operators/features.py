@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import causal as c
+from .quality import require_columns
 from .relational import asof_join
 
 
@@ -30,7 +31,8 @@ def price_columns(price: str = "adj_close") -> dict[str, Column]:
 
 
 def price_features(bars: DataFrame, price: str = "adj_close") -> DataFrame:
-    """symbol, ts, available_at and the 24 price features; warm-up rows without any feature are dropped."""
+    """symbol, ts, available_at and the 24 price features; warm-up rows without any feature are dropped. SchemaError without the columns they need."""
+    require_columns(bars, ["symbol", "ts", "available_at", "high", "low", "close", "volume", price])
     columns = price_columns(price)
     sources = columns.pop("__sources")
     rows = bars.withColumn("__s", sources).select(

@@ -105,6 +105,12 @@ def dedup_keep_last(df: DataFrame, key: list[str], sequence: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def dedup_counted(df: DataFrame, key: list[str], sequence: str) -> tuple[DataFrame, int]:
+    """dedup_keep_last, and how many rows it drops (one aggregation over the keys)."""
+    extra = df.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return dedup_keep_last(df, key, sequence), int(extra)
+
+
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys with more than one row, and how many rows are too many."""
     return df.groupBy(*key).count().where("count > 1").select(*key, (F.col("count") - 1).alias("extra"))
