@@ -6,7 +6,9 @@ results of two engines can be compared by value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,20 @@ def _full(n: int, x: str, expr: str) -> str:
     return f"CASE WHEN count({x}) OVER {_w(n)} = {n} THEN {expr} OVER {_w(n)} END"
 
 
+def normal_sql(z: str) -> str:
+    """The normal distribution function in SQL: its power series, in logarithms."""
+    terms = f"list_sum([exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) for k in range(200)])"
+    return f"(CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 8 THEN CAST({z} > 0 AS DOUBLE) ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
+def student_sql(t: str, df: str) -> str:
+    """Both tails of the t distribution in SQL: its finite series for whole degrees of freedom, in logarithms."""
+    cos2 = f"({df} / CAST({df} + {t} * {t} AS DOUBLE))"
+    even = f"list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5) + k * ln({cos2})) for k in range(CAST({df} AS BIGINT) // 2)])"
+    odd = f"coalesce(list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln({cos2})) for k in range((CAST({df} AS BIGINT) - 1) // 2)]), 0)"
+    return f"(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN sqrt(1 - {cos2}) * {even} ELSE 2 / pi() * (asin(sqrt(1 - {cos2})) + sqrt((1 - {cos2}) * {cos2}) * {odd}) END)"
+
+
 BAR = "open high low close adj_close volume"
 LOGS = "(SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS lr FROM rets)"
 
@@ -173,10 +189,9 @@ def _(spark, sf_dir):
 
 @query("prediction_lookup_as_of", "SELECT b.symbol, b.ts, p.y_pred FROM bars b LEFT JOIN preds p ON p.model = 'hist21' AND p.symbol = b.symbol AND p.ts = b.ts AND p.available_at <= b.ts + INTERVAL 1 DAY", "y_pred", "ts")
 def _(spark, sf_dir):
-    p = derived.predictions(spark, sf_dir).where("model = 'hist21'").select("symbol", "ts", "y_pred", F.col("available_at").alias("known"))
-    b = derived.bars(spark, sf_dir)
-    known = p.join(b.select("symbol", "ts"), ["symbol", "ts"]).where(F.col("known") <= F.col("ts") + F.expr("INTERVAL 1 DAY")).drop("known")
-    return b.select("symbol", "ts").join(known, ["symbol", "ts"], "left")
+    book = derived.predictions(spark, sf_dir).where("model = 'hist21'")
+    asked = derived.bars(spark, sf_dir).select("symbol", "ts", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("as_of"))
+    return relational.lookup(asked, book, "y_pred", ["symbol", "ts"]).drop("as_of")
 
 
 @query("universe_interval_join", "SELECT b.symbol, b.ts, m.valid_from FROM bars b JOIN membership m ON b.symbol = m.symbol AND m.valid_from <= b.ts AND (m.valid_to IS NULL OR m.valid_to > b.ts)", "", "ts valid_from")
@@ -553,10 +568,10 @@ _DM_LRV = f"""(SELECT a.n, a.mean, l.lags, sum(a.d * b.d * CASE WHEN a.i = b.i T
   FROM {_DM} a JOIN {_DM_LAGS} l ON true JOIN {_DM} b ON b.i BETWEEN a.i - l.lags AND a.i GROUP BY a.n, a.mean, l.lags)"""
 
 
-@query("dm_statistic", f"SELECT n, lags, mean, mean / sqrt(greatest(lrv, 1e-300) / n) * sqrt((n + 1 - 10 + 20.0 / n) / n) AS statistic FROM {_DM_LRV} WHERE n >= 10", "mean statistic")
+@query("dm_statistic", f"SELECT *, {student_sql('statistic', '(n - 1)')} AS p FROM (SELECT n, lags, mean, mean / sqrt(greatest(lrv, 1e-300) / n) * sqrt((n + 1 - 10 + 20.0 / n) / n) AS statistic FROM {_DM_LRV} WHERE n >= 10)", "mean statistic p")
 def _(spark, sf_dir):
     daily = evaluation.daily_loss_differential(derived.predictions(spark, sf_dir), "hist21", "zero")
-    return evaluation.diebold_mariano(daily, horizon=5).drop("p")
+    return evaluation.diebold_mariano(daily, horizon=5)
 
 
 _TESTS = "(SELECT symbol, exp(-abs(avg(r) / stddev_samp(r)) * sqrt(count(*))) AS p FROM rets GROUP BY symbol)"
@@ -734,12 +749,29 @@ _KPSS_SHAPE = f"(SELECT a.symbol, any_value(a.n) AS n, sum(a.d * b.d * CASE WHEN
 _KPSS_LAGS = f"(SELECT symbol, least(CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS INTEGER), CAST(n - 1 AS INTEGER)) AS lags FROM {_KPSS_SHAPE})"
 
 
-@query("kpss_statistic", f"SELECT l.symbol, l.n, l.lags, e.eta / (l.n * l.n * l.lrv) AS statistic FROM {_long_run_sql(_KPSS_LAGS)} l JOIN (SELECT symbol, sum(s * s) AS eta FROM (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM {NUMBERED}) GROUP BY symbol) e ON l.symbol = e.symbol", "statistic")
+_KPSS_STEPS = " ".join(
+    f"WHEN statistic <= {b} THEN {pa} + ({pb} - {pa}) * (statistic - {a}) / ({b} - {a})"
+    for a, b, pa, pb in zip(inference.KPSS_CRITICAL, inference.KPSS_CRITICAL[1:], inference.KPSS_P, inference.KPSS_P[1:])
+)
+_KPSS_SUMS = f"(SELECT symbol, sum(s * s) AS eta FROM (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM {NUMBERED}) GROUP BY symbol)"
+_KPSS = f"(SELECT l.symbol, l.n, l.lags, e.eta / (l.n * l.n * l.lrv) AS statistic FROM {_long_run_sql(_KPSS_LAGS)} l JOIN {_KPSS_SUMS} e ON l.symbol = e.symbol)"
+
+
+@query("kpss_statistic", f"SELECT *, CASE WHEN statistic <= {inference.KPSS_CRITICAL[0]} THEN {inference.KPSS_P[0]} {_KPSS_STEPS} ELSE {inference.KPSS_P[-1]} END AS p FROM {_KPSS}", "statistic p")
 def _(spark, sf_dir):
-    return inference.kpss_test(_returns(spark, sf_dir)).drop("p")
+    return inference.kpss_test(_returns(spark, sf_dir))
+
+
+_NORMAL = NormalDist()
+_TRIALS = len(SYMBOLS)
+_LUCK = (1 - inference.EULER) * _NORMAL.inv_cdf(1 - 1 / _TRIALS) + inference.EULER * _NORMAL.inv_cdf(1 - 1 / (_TRIALS * math.e))
+_RATIOS = "(SELECT symbol, count(r) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) * (count(r) - 2) / sqrt(count(r) * (count(r) - 1.0)) AS s, kurtosis_pop(r) + 3 AS k FROM rets WHERE r IS NOT NULL GROUP BY symbol)"
+_SHAPED = f"(SELECT *, greatest(1 - s * sr + (k - 1) / 4 * sr ** 2, 1e-12) AS shape, {_LUCK} * stddev_samp(sr) OVER () AS luck FROM {_RATIOS})"
+_SHARPES = f"(SELECT *, sr * sqrt(n - 1) / sqrt(shape) AS z, (sr - luck) * sqrt(n - 1) / sqrt(shape) AS zl FROM {_SHAPED})"
 
 
-@query("sharpe_inference")
+@query("sharpe_inference", f"""SELECT symbol, n, sr * sqrt(252) AS sharpe, {normal_sql('z')} AS psr, luck * sqrt(252) AS expected_max, {normal_sql('zl')} AS dsr,
+    CASE WHEN sr > 0 THEN (1 + shape * ({_NORMAL.inv_cdf(0.95)} / sr) ** 2) / 252 END AS min_track_record_years FROM {_SHARPES}""", "sharpe psr expected_max dsr min_track_record_years")
 def _(spark, sf_dir):
     return inference.sharpe_inference(_returns(spark, sf_dir))
 
@@ -774,4 +806,4 @@ def _(spark, sf_dir):
     return portfolio.weights(monthly.select("symbol", "ts", c.pct_change(F.col("close")).alias("r")).where("r is not null"), SYMBOLS)
 
 
-from . import catalog_research, catalog_streams, catalog_studies, catalog_trades  # noqa: E402, F401  (register their queries)
+from . import catalog_execution, catalog_research, catalog_streams, catalog_studies, catalog_trades  # noqa: E402, F401  (register their queries)

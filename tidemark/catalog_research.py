@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _DIFF, _LAGS, _RANKS, ALIGNED, AS_OF, LONG, W, _aligned, _long, _long_run_sql, _returns, _tests, _TESTS, query  # noqa: F401
+from .catalog import _DIFF, _LAGS, _RANKS, ALIGNED, AS_OF, LONG, W, _aligned, _long, _long_run_sql, _returns, _tests, _TESTS, normal_sql, query  # noqa: F401
 from .functions import causal as c
 from .operators import backtest, evaluation, regression, registry, relational, risk
 from .sources import derived, landing
@@ -143,9 +143,9 @@ def _regressors(spark, sf_dir):
     return rows.withColumn("at", F.unix_seconds("ts") * 10 + F.substring("symbol", 1, 1).cast("long"))
 
 
-@query("univariate_screen", f"SELECT feature, n, b AS coefficient, b / (sqrt(s * n / (n - 2)) / (n * vx)) AS t, r2 FROM {_SCREENED}", "coefficient t r2")
+@query("univariate_screen", f"SELECT *, 2 * (1 - {normal_sql('abs(t)')}) AS p FROM (SELECT feature, n, b AS coefficient, b / (sqrt(s * n / (n - 2)) / (n * vx)) AS t, r2 FROM {_SCREENED})", "coefficient t r2 p")
 def _(spark, sf_dir):
-    return regression.univariate_screen(_regressors(spark, sf_dir), ["r", "r5"], "y", "at").drop("p")
+    return regression.univariate_screen(_regressors(spark, sf_dir), ["r", "r5"], "y", "at")
 
 
 @query("variance_inflation", f"SELECT f AS feature, 1 / (1 - corr(r, r5) ** 2) AS vif FROM {_SCREEN_ROWS}, (VALUES ('r'), ('r5')) v(f) WHERE r IS NOT NULL AND r5 IS NOT NULL GROUP BY f", "vif")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _fold_sql, _folds, _full, _returns, CUT, NUMBERED, query, SYMBOLS, W
+from .catalog import _fold_sql, _folds, _full, _returns, CUT, NUMBERED, query, student_sql, SYMBOLS, W
 from .functions import causal as c
 from .operators import backtest, bootstrap, evaluation, inference, labels, learners, models, portfolio, quality, relational, runs, study
 from .sources import derived
@@ -28,11 +28,11 @@ def _(spark, sf_dir):
 _LOSSES = "(SELECT symbol, (y_true - y_pred) ** 2 - y_true ** 2 AS d FROM preds WHERE model = 'hist21')"
 
 
-@query("paired_t_test", f"SELECT symbol, count(*) AS n, avg(d) AS mean, avg(d) * sqrt(count(*)) / stddev_samp(d) AS t FROM {_LOSSES} GROUP BY symbol", "mean t")
+@query("paired_t_test", f"SELECT *, {student_sql('t', '(n - 1)')} AS p FROM (SELECT symbol, count(*) AS n, avg(d) AS mean, avg(d) * sqrt(count(*)) / stddev_samp(d) AS t FROM {_LOSSES} GROUP BY symbol)", "mean t p")
 def _(spark, sf_dir):
     y = F.col("y_true")
     rows = derived.predictions(spark, sf_dir).where("model = 'hist21'").select("symbol", ((y - F.col("y_pred")) ** 2).alias("a"), (y**2).alias("b"))
-    return evaluation.paired_t(rows, "a", "b", "symbol").drop("p")
+    return evaluation.paired_t(rows, "a", "b", "symbol")
 
 
 DRAWS = 100
@@ -168,9 +168,14 @@ _CENTRED = f"(SELECT model, row_number() OVER (PARTITION BY model ORDER BY ts) A
 _VARIANCES = f"(SELECT a.model, a.n, a.lags, a.mean, sum(a.d * b.d * CASE WHEN a.i = b.i THEN 1.0 ELSE 2.0 * (1 - (a.i - b.i) / (a.lags + 1.0)) END) / a.n AS lrv FROM {_CENTRED} a JOIN {_CENTRED} b ON a.model = b.model AND b.i BETWEEN a.i - a.lags AND a.i GROUP BY a.model, a.n, a.lags, a.mean)"
 
 
-@query("study_significance", f"SELECT model, n, lags, mean, mean / sqrt(greatest(lrv, 1e-300) / n) * sqrt((n - 1.0) / n) AS statistic FROM {_VARIANCES} WHERE n >= 10", "mean statistic")
+_GAINS = f"(SELECT model, n, lags, mean, mean / sqrt(greatest(lrv, 1e-300) / n) * sqrt((n - 1.0) / n) AS statistic FROM {_VARIANCES} WHERE n >= 10)"
+_GAINS_P = f"(SELECT *, {student_sql('statistic', '(n - 1)')} AS p FROM {_GAINS})"
+_SIGNIFICANT = f"(SELECT * EXCLUDE raw, least(1.0, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adjusted FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM {_GAINS_P}))"
+
+
+@query("study_significance", f"SELECT * FROM {_SIGNIFICANT}", "mean statistic p p_adjusted")
 def _(spark, sf_dir):
-    return study.significance(derived.predictions(spark, sf_dir)).drop("p", "p_adjusted")
+    return study.significance(derived.predictions(spark, sf_dir))
 
 
 _BETS = "(SELECT model, symbol, ts, y_pred, y_true FROM preds UNION ALL SELECT DISTINCT 'buy_and_hold', symbol, ts, 1.0, y_true FROM preds)"
@@ -180,12 +185,23 @@ _COSTS = ", ".join(f"('{k}', {v})" for k, v in study.SCENARIOS.items())
 _STRATEGIES = f"(SELECT model, scenario, ts, sum(w * y_true - traded * bps / 10000) AS r FROM {_TRADED}, (VALUES {_COSTS}) s(scenario, bps) GROUP BY 1, 2, 3)"
 
 
-@query("study_economics", f"SELECT model, scenario, count(*) AS n, avg(r) AS mean, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS sharpe FROM {_STRATEGIES} GROUP BY model, scenario", "mean sharpe")
+_ECONOMICS = f"(SELECT model, scenario, count(*) AS n, avg(r) AS mean, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS sharpe FROM {_STRATEGIES} GROUP BY model, scenario)"
+
+
+@query("study_economics", f"SELECT * FROM {_ECONOMICS}", "mean sharpe")
 def _(spark, sf_dir):
     return study.economics(derived.predictions(spark, sf_dir))
 
 
-@query("study_verdict")
+_GATES = f"""(SELECT r.model, r.r2 > 0 AS better, coalesce(s.mean < 0 AND s.p_adjusted < 0.05, false) AS gains, coalesce(e.sharpe > h.sharpe, false) AS beats
+  FROM (SELECT model, 1 - sum((y_true - y_pred) ** 2) / sum(y_true ** 2) AS r2 FROM preds WHERE model NOT IN ('zero', 'last1') GROUP BY model) r
+  LEFT JOIN {_SIGNIFICANT} s ON s.model = r.model LEFT JOIN {_ECONOMICS} e ON e.model = r.model AND e.scenario = 'realistic'
+  LEFT JOIN {_ECONOMICS} h ON h.model = 'buy_and_hold' AND h.scenario = 'realistic')"""
+_PASSED = f"(SELECT count(*) AS models, count(*) FILTER (better) AS positive_r2, count(*) FILTER (gains) AS significant, count(*) FILTER (gains AND beats) AS economic FROM {_GATES})"
+
+
+@query("study_verdict", f"""SELECT *, CASE WHEN models = 0 THEN 'unanswered' WHEN positive_r2 = 0 THEN 'no_improvement' WHEN significant = 0 THEN 'within_noise'
+    WHEN economic = 0 THEN 'economically_irrelevant' ELSE 'provisional_yes' END AS verdict FROM {_PASSED}""")
 def _(spark, sf_dir):
     return study.verdict(derived.predictions(spark, sf_dir), baselines=("zero", "last1"))
 

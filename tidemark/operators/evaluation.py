@@ -63,6 +63,16 @@ def log_loss_brier(scored: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def paired_forecasts(preds: DataFrame, candidate: str, baseline: str, tolerance: float = 1e-12) -> DataFrame:
+    """symbol, ts, y_true, y_pred, y_pred_base where both models have a forecast; two targets that differ are an error when the row is read."""
+    base = preds.where(F.col("model") == baseline).select("symbol", "ts", F.col("y_pred").alias("y_pred_base"), F.col("y_true").alias("__other"))
+    both = preds.where(F.col("model") == candidate).select("symbol", "ts", "y_true", "y_pred").join(base, ["symbol", "ts"])
+    same = F.col("y_true").eqNullSafe(F.col("__other")) | (F.abs(F.col("y_true") - F.col("__other")) <= tolerance)
+    message = F.concat(F.lit("targets differ for "), F.col("symbol"), F.lit(" at "), F.col("ts").cast("string"))
+    target = F.when(F.coalesce(same, F.lit(False)), F.col("y_true")).otherwise(F.raise_error(message).cast("double"))
+    return both.select("symbol", "ts", target.alias("y_true"), "y_pred", "y_pred_base")
+
+
 def daily_loss_differential(preds: DataFrame, candidate: str, baseline: str) -> DataFrame:
     """Mean over symbols per date of the candidate's squared loss minus the baseline's."""
     a, b = (preds.where(F.col("model") == m).select("symbol", "ts", "y_true", F.col("y_pred").alias(n)) for m, n in ((candidate, "pa"), (baseline, "pb")))

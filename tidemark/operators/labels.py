@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import causal as c
+from .quality import require_columns
+from .relational import one_to_one
 
 
 def forward_labels(bars: DataFrame, horizon: int = 5, price: str = "adj_close", classification: bool = False) -> DataFrame:
@@ -17,15 +19,29 @@ def forward_labels(bars: DataFrame, horizon: int = 5, price: str = "adj_close",
     return made.where(F.col("label").isNotNull())
 
 
-def stored_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), price: str = "adj_close") -> DataFrame:
-    """Trailing and forward simple returns in long form; a forward return is known when its far end is."""
+def stored_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), price: str = "adj_close", method: str = "simple") -> DataFrame:
+    """Trailing and forward returns (simple or log) in long form; a forward return is known when its far end is."""
+    if method not in ("simple", "log"):
+        raise ValueError(f"unknown method {method}")
     p = F.col(price)
-    rows = [F.struct(F.lit(h).alias("horizon"), F.lit("trailing").alias("direction"), c.pct_change(p, h).alias("value"), F.col("available_at").alias("known")) for h in horizons]
-    rows += [F.struct(F.lit(h).alias("horizon"), F.lit("forward").alias("direction"), c.forward_return(p, h).alias("value"), F.lead("available_at", h).over(c.by_symbol()).alias("known")) for h in horizons]
+    kind = (lambda x: x) if method == "simple" else (lambda x: F.when(x > -1, F.log1p(x)))
+    rows = [F.struct(F.lit(h).alias("horizon"), F.lit("trailing").alias("direction"), kind(c.pct_change(p, h)).alias("value"), F.col("available_at").alias("known")) for h in horizons]
+    rows += [F.struct(F.lit(h).alias("horizon"), F.lit("forward").alias("direction"), kind(c.forward_return(p, h)).alias("value"), F.lead("available_at", h).over(c.by_symbol()).alias("known")) for h in horizons]
     long = bars.select("symbol", "ts", F.array(*rows).alias("xs")).select("symbol", "ts", F.explode("xs").alias("x"))
     return long.select("symbol", "ts", "x.horizon", "x.direction", "x.value", F.col("x.known").alias("available_at")).where("value is not null")
 
 
+def training_frame(features: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """symbol, ts, available_at, label_available_at, the features and label: rows that have all features and a label.
+
+    Features and labels meet one to one; a key that is repeated on either side is refused (relational.JoinError).
+    """
+    require_columns(features, ["symbol", "ts", "available_at", *names])
+    require_columns(labels, ["symbol", "ts", "label_available_at", "label"])
+    both = one_to_one(features.select("symbol", "ts", "available_at", *names), labels.select("symbol", "ts", "label_available_at", "label"), ["symbol", "ts"])
+    return both.dropna(subset=names).select("symbol", "ts", "available_at", "label_available_at", *names, "label")
+
+
 def fold_bounds(n: int, kind: str = "expanding", splits: int = 5, test: int = 126, train: int = 504) -> list[tuple[int, int, int, int]]:
     """(fold, first training date, first test date, last test date) as positions on the timeline; the last fold ends it."""
     if kind == "holdout":

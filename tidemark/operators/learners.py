@@ -5,10 +5,12 @@ Each fold's fit is a distributed job over its training rows; the folds are a han
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import forecast_metrics
+
 SEED = 7
 
 
@@ -107,6 +111,30 @@ def walk_forward(dealt: DataFrame, features: list[str], learners: list[Learner],
     return reduce(DataFrame.unionByName, made, empty), spark.createDataFrame(weights, f"model string, fold {kind}, feature string, importance double")
 
 
+def compare(dealt: DataFrame, features: list[str], ladder: list[Learner], label: str = "label") -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(metrics per model, forecasts, failed) of learners on the same folds.
+
+    A learner whose fit is refused, or that no fold has enough training rows for, is left out and failed tells why; the
+    others go on. A name that comes again gets a number.
+    """
+    made, failed, seen = [], {}, Counter()
+    for learner in ladder:
+        seen[learner.name] += 1
+        name = learner.name if seen[learner.name] == 1 else f"{learner.name}_{seen[learner.name]}"
+        try:
+            forecasts, weights = walk_forward(dealt, features, [replace(learner, name=name)], label)
+        except (ValueError, PySparkException) as refused:
+            failed[name] = str(refused)
+            continue
+        if weights.isEmpty():
+            failed[name] = "no fold has enough training rows"
+            continue
+        made.append(forecasts)
+    empty = walk_forward(dealt.limit(0), features, [], label)[0]
+    forecasts = reduce(DataFrame.unionByName, made, empty)
+    return forecast_metrics(forecasts, "model"), forecasts, failed
+
+
 def mean_importance(importances: DataFrame) -> DataFrame:
     """model, feature, importance: the mean of the absolute importances over the folds."""
     return importances.groupBy("model", "feature").agg(F.avg(F.abs("importance")).alias("importance"))

@@ -1,7 +1,7 @@
 """Linear forecasts and baselines, fitted per group from moments that Spark aggregates.
 
-A fit needs only counts, means and covariances of the training rows. These are one aggregation over all groups; what
-reaches the driver is one row per group (a fold or a symbol) with one number per pair of features.
+A fit needs only counts, means and covariances of the training rows. These are one aggregation over all groups, with
+one number per pair of features for each; the tasks that hold them solve them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +46,35 @@ def moments(rows: DataFrame, features: list[str], label: str, by: str) -> DataFr
 
 
 def fit(rows: DataFrame, features: list[str], label: str, by: str, solver: Callable = ridge, **how) -> DataFrame:
-    """(by, n, intercept, coefficients) per group with LEAST_ROWS complete rows or more; constant features weigh nothing."""
+    """(by, n, intercept, coefficients) per group with LEAST_ROWS complete rows or more; constant features weigh nothing.
+
+    A group is solved where its row of moments is, so there may be as many groups as a table can hold.
+    """
     d = len(features)
-    fitted = []
-    for row in moments(rows, features, label, by).where(F.col("n") >= LEAST_ROWS).collect():
+    pairs = list(combinations_with_replacement(range(d + 1), 2))
+
+    def weigh(row: dict) -> tuple[float, list[float]]:
         mean = np.array([row[f"m_{i}"] for i in range(d + 1)])
         cov = np.zeros((d + 1, d + 1))
-        for i, j in combinations_with_replacement(range(d + 1), 2):
+        for i, j in pairs:
             cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"]
         sd = np.sqrt(np.diag(cov)[:d])
         sd[sd < 1e-12] = np.inf
         weights = solver(row["n"], cov[:d, :d] / np.outer(sd, sd), cov[:d, d] / sd, **how) / sd
-        fitted.append((row[by], row["n"], float(mean[d] - weights @ mean[:d]), weights.tolist()))
+        return float(mean[d] - weights @ mean[:d]), weights.tolist()
+
+    def solved(batches):
+        for batch in batches:
+            found = [weigh(row) for row in batch.to_dict("records")]
+            yield pd.DataFrame({by: batch[by], "n": batch["n"], "intercept": [a for a, _ in found], "coefficients": [w for _, w in found]})
+
     kind = rows.schema[by].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(fitted, f"`{by}` {kind}, n long, intercept double, coefficients array<double>")
+    return moments(rows, features, label, by).where(F.col("n") >= LEAST_ROWS).mapInPandas(solved, f"`{by}` {kind}, n long, intercept double, coefficients array<double>")
 
 
 def predict(rows: DataFrame, fitted: DataFrame, features: list[str], by: str) -> DataFrame:
-    """rows with y_pred; null where a feature is null. fitted has one row per group, made on the driver by fit."""
-    joined = rows.join(F.broadcast(fitted.select(by, "intercept", "coefficients")), by)
+    """rows with y_pred; null where a feature is null. fitted has one row per group; Spark broadcasts it only if its measured size allows."""
+    joined = rows.join(fitted.select(by, "intercept", "coefficients"), by)
     total = F.col("intercept")
     for i, x in enumerate(features):
         total = total + F.col("coefficients")[i] * F.col(x)

@@ -50,6 +50,19 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, name: str, by: list
     return both.where("__side = 1").withColumn(name, F.col("__value.v")).drop("__side", "__value", "__month")
 
 
+def lookup(asked: DataFrame, book: DataFrame, value: str, keys: list[str], as_of: str = "as_of", available: str = "available_at") -> DataFrame:
+    """asked with the book's value under the same keys, if it was knowable at the row's as_of; null otherwise.
+
+    Of entries that share their keys, the last one that was knowable counts (of equal instants the largest value), so no
+    asked row comes twice. asked keeps its own columns; a column named like the value is replaced.
+    """
+    entry = F.struct(F.col(available).alias("known"), F.col(value).alias("v"))
+    entries = book.where(F.col(available).isNotNull()).groupBy(*keys).agg(F.collect_set(entry).alias("__entries"))
+    met = asked.drop(value).join(entries, keys, "left")
+    known = F.array_max(F.filter("__entries", lambda e: e["known"] <= F.col(as_of)))
+    return met.withColumn(value, known["v"]).drop("__entries")
+
+
 def interval_join(dates: DataFrame, members: DataFrame, at: str = "ts", keys: list[str] | None = None) -> DataFrame:
     """dates joined with the memberships that hold at each: valid_from <= at < valid_to, an open end being null.
 

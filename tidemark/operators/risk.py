@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,8 +25,31 @@ def value_at_risk(returns: DataFrame, by: str = "symbol", confidence: float = 0.
     return got.join(tail, by, "left").withColumn("cvar", F.coalesce("cvar", "historical"))
 
 
-def rolling_var(r, window: int = 63, confidence: float = 0.95):
-    return c.full(r, window, F.percentile(r, F.lit(1 - confidence)).over(c.trailing(window)))
+def rolling_var(r: Column, window: int = 252, confidence: float = 0.95, method: str = "historical") -> Column:
+    """Value at risk of the last `window` returns, this bar's included; null until there are so many, and for windows of fewer than 20."""
+    w, z = c.trailing(window), NormalDist().inv_cdf(1 - confidence)
+    if method == "historical":
+        value = F.percentile(r, F.lit(1 - confidence)).over(w)
+    elif method in ("parametric", "cornish_fisher"):
+        s, k = F.skewness(r).over(w), F.kurtosis(r).over(w)
+        wide = z + (z**2 - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s**2 / 36
+        value = F.avg(r).over(w) + (F.lit(z) if method == "parametric" else wide) * F.stddev_samp(r).over(w)
+    else:
+        raise ValueError(f"unknown method {method}")
+    return c.full(r, window, value if window >= LEAST else F.lit(None).cast("double"))
+
+
+def trailing_volatility(bars: DataFrame, lookback: int = 63, price: str = "adj_close", inclusive: bool = True, periods: int | None = None, least: int = LEAST) -> DataFrame:
+    """symbol, ts, sigma: deviation of the log returns among the last `lookback` bars, this bar's included or not; a year's with `periods`.
+
+    Fewer than `least` returns, and prices that never move, give null. What sizes an order that is filled at a bar must
+    not include that bar.
+    """
+    returns = bars.select("symbol", "ts", c.log_return(F.col(price)).alias("__r"))
+    last = 0 if inclusive else -1
+    w = c.by_symbol().rowsBetween(last - lookback + 1, last)
+    sigma = F.when((F.count("__r").over(w) >= least) & (F.stddev_samp("__r").over(w) > 0), F.stddev_samp("__r").over(w))
+    return returns.select("symbol", "ts", (sigma * (periods**0.5 if periods else 1.0)).alias("sigma"))
 
 
 def var_breach_rate(bars: DataFrame, window: int = 63, confidence: float = 0.95) -> DataFrame:
