@@ -285,6 +285,24 @@ def test_secrets_short_or_without_digits(spark):
     assert values == set(expected)
 
 
+def test_secrets_with_marks_in_urls_and_phrases(spark):
+    secret = [
+        ("the api key is p@ss!word#2024$xyz", "p@ss!word#2024$xyz"), ("https://user:Pa55w0rd!x@host", "Pa55w0rd!x"), ("passphrase is correct horse battery staple", "correct horse battery staple"),
+        ("password=Tr0ub4dor&3", None), ('the password: "S3cr;et,9x!", then', "S3cr;et,9x!"), ("db_password=h%nter*99?", "h%nter*99?"), ("postgres://app:x@y#Z!77q@db.host/main", "x@y#Z!77q"),
+        ("seed phrase: velvet anchor rocket garden silver coffee", "velvet anchor rocket garden silver coffee"), ("passwd was Winter2024!", "Winter2024!"), ("the token is aZ9kQ2mX7v", "aZ9kQ2mX7v"),
+    ]
+    clean = ["the password is required", "passphrase is never written down anywhere", "The secret was Revealed.", "see https://host:8080/path@2", "password is", "passphrase:", "secret = ", "phrase is one two", "is is is is is is"]
+    texts = [t for t, _ in secret] + clean
+    docs = docs_of(spark, [*enumerate(texts), (99, "api key is " + "x@1" * 50_000)])
+    got = secrets.scan(docs.unionByName(docs.where("doc_id = 0"))).collect()
+    for i, (text, value) in enumerate(secret):
+        rows = [r for r in got if r.id == i and r.value == value]
+        assert value is None or len(rows) == (2 if i == 0 else 1), text
+        assert all(r.predicted == 1 for r in rows), (text, rows)
+    assert [r for r in got if 10 <= r.id < 99 and r.predicted] == []
+    assert len([r for r in got if r.id == 99]) == 1 and len({(r.id, r.position, r.part) for r in got}) == len(got) - len([r for r in got if r.id == 0]) // 2
+
+
 def test_pipeline_equals_brute_force(spark):
     """Every stage against a plain version on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,7 +1,8 @@
 """Secret scans: a random forest tells secrets from other long tokens. DataFrame and SQL functions only.
 
 Candidates are tokens of documents with enough letters and digits, values that are assigned to a word (shorter ones too,
-and without digits), and long ones without digits beside a secret word or with a known prefix. Their features
+and without digits), long ones without digits beside a secret word or with a known prefix, values with any printable
+marks that are given to a secret word, passwords in URLs, and passphrases. Their features
 are length, transitions between kinds of characters, coverage by dictionary words, the path, and the neighbouring words.
 The forest learns from labelled findings; synthetic_findings() makes such a table by rules, and a table of reviewed
 findings with the same columns can take its place.
@@ -34,10 +35,22 @@ OTHER_PATH = "(?i)(test|example|sample|fixture|mock|docs?/|readme|lock)"
 #: A small dictionary for coverage.
 DICTIONARY = "account|address|admin|change|client|config|customer|data|default|development|document|example|file|hello|invoice|item|local|name|number|order|page|password|placeholder|product|public|sample|secret|server|service|string|system|table|test|token|user|value|version|world|your|the|and|ing|tion|ment"
 
+#: Words that give a value to the word before them, ends of the names of passphrases, and words of plain sentences, which no passphrase has.
+GIVES = ("is", "was")
+PHRASE_NAMES = "(?i)(phrase|mnemonic)[\"']?"
+SENTENCE_WORDS = "\\b(the|and|that|not|never|with|for|this|must|should|will|can|has|had|been|was|are|you|your|from|only|when|which|but)\\b"
+#: A passphrase: 4 to 24 words of small letters.
+PHRASE_WORDS = 24
+_PHRASE = "^[\"']?([a-z]{3,}(?:[ -][a-z]{3,}){3,23})(?![a-z])"
+#: Marks that may stand in a value given by name in the same token, and at least one that no piece has.
+_NAMED = "^[\"'(\\[{<]*([A-Za-z_.\\-]+)[\"']?(?::?=|:)[\"']?([A-Za-z0-9_+/.\\-=!@#$%^*~?|]+?)[\"')\\]}>]*[,;.]*$"
+_MARKS = "[!@#$%^*~?|]"
+_URL_PASSWORD = "(://[^/@:\\s]*:)([^/\\s]+)@"
+
 #: The pieces that tile a token: runs of a value's characters (with = as padding only), and what is between them.
 _PIECES = "[A-Za-z0-9_+/.\\-]++(?:={1,2}(?![A-Za-z0-9_+/.\\-=\"']))?|[^A-Za-z0-9_+/.\\-]++"
 
-FEATURES = ("length", "digits", "uppers", "lowers", "signs", "transitions", "distinct", "longest_run", "covered", "hex", "known_prefix", "near_secret", "near_other", "assigned", "other_path")
+FEATURES = ("length", "digits", "uppers", "lowers", "signs", "transitions", "distinct", "longest_run", "covered", "hex", "known_prefix", "near_secret", "near_other", "assigned", "other_path", "words")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -45,7 +58,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Tokens are divided by white space, and every run of a value's characters in a token counts: part is its number among
     the token's pieces, and the piece before it (a name, if it is assigned) its nearest left neighbour. Null and empty
-    texts have no candidates; a null path is empty.
+    texts have no candidates; a null path is empty. Three kinds have a part below zero, and their marks stay whole: -1 is
+    a value given to a secret word by its name in the token (marks of _NAMED) or by the word before it (any printable
+    marks), -2 a password in a URL, -3 a passphrase of PHRASE_WORDS words at most that starts at the token. Repeated
+    rows give their candidates again. Very long tokens count whole; extra columns play no part.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
@@ -55,25 +71,48 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start = F.greatest(F.lit(1), i + 1 - NEIGHBOURS)
         left = F.concat_ws(" ", F.slice("words", start, i + 1 - start))
         right = F.concat_ws(" ", F.slice("words", i + 2, F.lit(NEIGHBOURS)))
-        return F.struct(i.alias("position"), w.alias("word"), left.alias("left"), right.alias("right"), after(i).alias("after"))
+        phrase = F.regexp_extract(F.concat_ws(" ", F.slice("words", i + 1, F.lit(PHRASE_WORDS))), _PHRASE, 1)
+        return F.struct(
+            i.alias("position"), w.alias("word"), left.alias("left"), right.alias("right"), after(i).alias("after"),
+            told(i).alias("told"), F.when(phrased(i) & ~phrase.rlike(SENTENCE_WORDS), phrase).alias("phrase"),
+        )
 
     # "=" by itself, or a secret word that ends in it
     before = lambda i: F.get("words", i - 1)
     after = lambda i: F.coalesce(before(i).isin("=", ":", ":=") | (before(i).rlike("[=:]$") & before(i).rlike(SECRET_WORDS)), F.lit(False))
-    some = lambda w, i: (F.length(w) >= MIN_LENGTH) | ((F.length(w) >= MIN_ASSIGNED) & (w.rlike("[=:]") | after(i)))
+    # "password is x", and "passphrase: w x y z"
+    told = lambda i: F.coalesce(before(i).isin(*GIVES) & F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2)).rlike(SECRET_WORDS), F.lit(False))
+    named = lambda i: before(i).isin(*GIVES, "=", ":", ":=") & F.get("words", i - 2).rlike(PHRASE_NAMES + "$")
+    phrased = lambda i: F.coalesce(named(i) | before(i).rlike(PHRASE_NAMES + "(:?=|:)$"), F.lit(False))
+    some = lambda w, i: (F.length(w) >= MIN_LENGTH) | ((F.length(w) >= MIN_ASSIGNED) & (w.rlike("[=:]") | after(i) | told(i))) | phrased(i)
     tokens = F.transform("words", lambda w, i: F.when(some(w, i), token(w, i)))
     rows = rows.select("id", "path", F.explode(F.filter(tokens, lambda x: x.isNotNull())).alias("t"))
-    rows = rows.select("id", "path", "t.*", F.regexp_extract_all("t.word", F.lit(_PIECES), F.lit(0)).alias("pieces"))
+    rows = rows.select("id", "path", "t.*")
+    word, near = F.col("word"), F.col("left").rlike(SECRET_WORDS)
+    bare = F.regexp_replace(word, "^[\"'(\\[{<]+|[\"')\\]}>,;.:]+$", "")
+    marked = bare.rlike("[^A-Za-z0-9_+/.\\-=]") & bare.rlike("[A-Za-z0-9]") & ~bare.rlike("[\"{}=]|://")
+    given = (F.col("told") | (F.col("after") & near)) & marked & (F.length(bare) >= MIN_ASSIGNED)
+    name, value = F.regexp_extract(word, _NAMED, 1), F.regexp_extract(word, _NAMED, 2)
+    by_name = name.rlike(SECRET_WORDS) & value.rlike(_MARKS) & value.rlike("[A-Za-z0-9]") & (F.length(value) >= MIN_ASSIGNED)
+    password = F.regexp_extract(word, _URL_PASSWORD, 2)
+    entry = lambda part, v, n: F.struct(F.lit(part).alias("part"), v.alias("value"), n.alias("name"), F.lit("=").alias("sign"))
+    rows = rows.withColumn("whole", F.when(by_name, entry(-1, value, name)).when(given, entry(-1, bare, F.lit(""))))
+    rows = rows.withColumn("url", F.when(F.length(password) >= MIN_ASSIGNED, entry(-2, password, F.lit("password"))))
+    rows = rows.withColumn("phrase", F.when(F.length("phrase") > 0, entry(-3, F.col("phrase"), F.lit(""))))
+    # what is taken whole is not cut into pieces as well
+    tiled = F.when(F.col("whole").isNotNull(), "").when(F.col("url").isNotNull(), F.regexp_replace(word, _URL_PASSWORD, "$1@")).otherwise(word)
+    rows = rows.withColumn("pieces", F.regexp_extract_all(tiled, F.lit(_PIECES), F.lit(0)))
 
     def piece(v: Column, i: Column) -> Column:
         before = lambda k: F.coalesce(F.get("pieces", i - k), F.lit(""))
         return F.struct(i.alias("part"), v.alias("value"), before(2).alias("name"), before(1).alias("sign"))
 
     long = lambda v: (F.length(v) >= MIN_ASSIGNED) & v.rlike("^[A-Za-z0-9_+/.\\-]")
-    values = F.filter(F.transform("pieces", lambda v, i: F.when(long(v), piece(v, i))), lambda x: x.isNotNull())
-    rows = rows.select("id", "path", "position", "left", "right", "after", F.explode(values).alias("v"))
+    values = F.filter(F.concat(F.transform("pieces", lambda v, i: F.when(long(v), piece(v, i))), F.array("whole", "url", "phrase")), lambda x: x.isNotNull())
+    rows = rows.select("id", "path", "position", "left", "right", "after", "told", F.explode(values).alias("v"))
     # name="value", "name":"value" and the like; a value without anything before it is assigned by the word before
-    assigned = F.col("v.name").rlike("[A-Za-z_.\\-]") & F.col("v.sign").rlike("^[\"']?(:?=|:)[\"']?$")
+    # (a name does not begin with a slash, as a URL's host does)
+    assigned = F.col("v.name").rlike("[A-Za-z_.\\-]") & ~F.col("v.name").rlike("^/") & F.col("v.sign").rlike("^[\"']?(:?=|:)[\"']?$")
     alone = (F.col("v.part") == 0) | ((F.col("v.part") == 1) & F.col("v.sign").rlike("^[\"'(\\[{<]+$"))
     found = rows.select(
         "id",
@@ -83,7 +122,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "v.value",
         F.concat_ws(" ", "left", F.nullif("v.name", F.lit(""))).alias("left"),
         "right",
-        (assigned | (alone & F.col("after"))).alias("assigned"),
+        # a sentence goes on in small letters: "the password is required"
+        ((F.col("v.part") < 0) | assigned | (alone & (F.col("after") | (F.col("told") & F.col("v.value").rlike("^.+[^a-z.\\-]"))))).alias("assigned"),
     )
     value, secret = F.col("value"), F.col("left").rlike(SECRET_WORDS)
     usual = (F.length("value") >= MIN_LENGTH) & (value.rlike("[0-9]") | secret | value.rlike(KNOWN_PREFIX))
@@ -113,6 +153,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "near_other": F.concat_ws(" ", "left", "right").rlike(OTHER_WORDS),
         "assigned": F.col("assigned"),
         "other_path": F.col("path").rlike(OTHER_PATH),
+        "words": F.regexp_count(v, F.lit("[^ ]+")),
     }
     return found.select("*", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{k}") for k, c in columns.items()))
 
@@ -133,7 +174,16 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     uuid = F.regexp_replace(F.substring(h(7), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     holder = F.concat(pick(8, "your-secret-token-", "example_password_", "changeme-token-", "placeholder-key-"), F.pmod(i, F.lit(100)).cast("string"))
     mail = F.concat(pick(9, "john.smith.", "the.", "anna."), F.pmod(i, F.lit(99)).cast("string"), F.lit(".mail"), F.pmod(i, F.lit(9)).cast("string"), F.lit(".example.com"))
-    kind = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(14)).cast("int")
+    word = lambda salt: pick(salt, "summer", "dragon", "monkey", "coffee", "winter", "purple", "garden", "silver", "hunter", "rocket", "velvet", "anchor")
+    mark = lambda salt: pick(salt, "!", "@", "#", "$", "%", "*", "?")
+    number = F.pmod(F.xxhash64(i, F.lit("number")), F.lit(10_000)).cast("string")
+    strong = F.concat(F.initcap(word(20)), mark(21), number, mark(22), F.substring(h(23), 1, 3))
+    half = F.pmod(F.xxhash64(i, F.lit("half")), F.lit(2)) == 0
+    leet = F.concat(F.translate(F.concat(word(24), F.when(half, F.concat(mark(25), word(26))).otherwise(mark(25))), "aeio", "@3!0"), number, F.when(half, "").otherwise(mark(39)))
+    phrase = F.concat_ws(" ", *(word(30 + k) for k in range(5)))
+    variable = F.concat(pick(40, "$", "%", "#", "**", "$$"), pick(41, "DB_PASSWORD", "SECRET_TOKEN", "API_KEY", "PASSWORD", "USER_SECRET"), pick(42, "", "%", "_FILE", "*"))
+    mixed = F.concat(F.substring(h(27), 1, 2), mark(28), F.when(half, F.concat(F.substring(h(48), 1, 1), mark(49))).otherwise(""), F.upper(F.substring(F.translate(h(29), "0123456789", "ghjkmnpqrs"), 1, 1)), mark(37), number, F.substring(F.translate(h(38), "0123456789", "tuvwxyzgjk"), 1, 3))
+    kind = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(20)).cast("int")
     secret_left = pick(10, "the token =", "password:", "api_key =", "with secret", "client secret is", "access key", "aws", "export AUTH", "and of the")
     other_left = pick(11, "commit", "sha256 checksum", "see version", "build", "tracking number", "uuid", "file", "and the", "order id", "of")
     path = pick(12, "src/app.py", "config/prod.yml", "notes", "deploy/env", "web")
@@ -141,17 +191,19 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     values = [
         (F.substring(h(14), 1, 40), 1), (F.substring(h(15), 1, 18), 1), (base64, 1), (F.concat(F.lit("AKIA"), upper), 1),
         (F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), 1), (F.concat(F.substring(base64, 5, 20)), 1), (h(16), 1),
-        (F.substring(h(17), 1, 40), 0), (h(18), 0), (uuid, 0), (words, 0), (names, 0), (holder, 0), (mail, 0),
+        (F.substring(h(17), 1, 40), 0), (h(18), 0), (uuid, 0), (words, 0), (names, 0), (holder, 0), (mail, 0), (strong, 1), (leet, 1), (phrase, 1), (variable, 0), (mixed, 1), (F.concat_ws(" ", *(word(43 + k) for k in range(6))), 1),
     ]
     chosen = F.coalesce(*(F.when(kind == k, F.struct(v.alias("value"), F.lit(y).alias("label"))) for k, (v, y) in enumerate(values)))
     made = spark.range(0, rows, 1, 4).select("id", chosen.alias("x"), secret_left.alias("s"), other_left.alias("o"), path.alias("p"), safe_path.alias("q"))
     good = F.col("x.label") == 1
+    # what comes as a candidate only if it is given to a secret word
+    given = F.col("x.value").rlike("[!@#$%*? ]")
     return made.select(
         "x.value",
-        F.when(good | F.col("x.value").rlike("^(your|example|changeme|placeholder)"), F.col("s")).otherwise(F.col("o")).alias("left"),
+        F.when(given, F.concat(F.col("s"), F.lit(" password"))).when(good | F.col("x.value").rlike("^(your|example|changeme|placeholder)"), F.col("s")).otherwise(F.col("o")).alias("left"),
         F.lit("and then").alias("right"),
         F.when(good, F.col("p")).otherwise(F.col("q")).alias("path"),
-        F.when(good, F.pmod(i, F.lit(3)) > 0).otherwise(F.pmod(i, F.lit(4)) == 0).alias("assigned"),
+        F.when(given, True).when(good, F.pmod(i, F.lit(3)) > 0).otherwise(F.pmod(i, F.lit(4)) == 0).alias("assigned"),
         F.col("x.label").cast("double").alias("label"),
     )
 
@@ -167,7 +219,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     """
     spark = docs.sparkSession
     known = written(_vectors(synthetic_findings(spark) if findings is None else findings).select("features", "label").coalesce(2))
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=24, maxDepth=7, minInstancesPerNode=3, seed=5).fit(known.coalesce(2))
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=32, maxDepth=7, minInstancesPerNode=3, seed=5).fit(known.coalesce(2))
     scored = forest.transform(_vectors(candidates(docs, id_col, text_col, path_col)))
     score = vector_to_array("probability")[1]
     return scored.select("id", "position", "part", "value", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
