@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -114,6 +115,35 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs_of(spark, []), bench).count() == 0
 
 
+def test_words_are_numbered_as_tokens_of_tells():
+    """Whole parts of a batch, with any white space, letters whose lower case is longer or depends on the next, marks, nulls."""
+    rng = random.Random(8)
+    signs = ["a", "B", "Σ", "ς", "İ", "ß", "Ñ", "ﬁ", "i\u0307", "\u00ad", "𐐀", "\x00", ".", "-", "'", "«", "\u200b"]
+    spaces = [" ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "  "]
+    texts = ["".join(rng.choice(signs if rng.random() < 0.7 else spaces) for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts += [None, "", " ", "... -- '", "ΑΣ ΑΣΑ Σ", "x " * decontaminate.GROUP_BYTES, "B a", None, "a"]
+    known = sorted({w for t in texts for w in decontaminate.tokens_of(t) if rng.random() < 0.5})
+    place = {w: n for n, w in enumerate(known, 1)}
+    parts = list(decontaminate.groups_of(pa.array(texts, pa.string())))
+    assert len(parts) > 1 and [t for p in parts for t in p.to_pylist()] == texts
+    got = []
+    for part in parts:
+        tokens, starts = decontaminate.numbers_of(part, pa.array(known, pa.string()))
+        got += [tokens[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)]
+    assert got == [[place.get(w, 0) for w in decontaminate.tokens_of(t)] for t in texts]
+    assert [len(p) for p in decontaminate.groups_of(pa.array([], pa.string()))] == [0]
+    assert decontaminate.numbers_of(pa.array([None], pa.string()), pa.array([], pa.string()))[1].tolist() == [0, 0]
+
+
+def test_overlaps_of_odd_rows(spark):
+    item = " ".join(f"Ñu{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, ""), (3, "..."), (4, "Σας είδα")], "item_id long, text string")
+    docs = docs_of(spark, [(None, "x " + item.upper()), (5, item), (5, item), (6, None), (7, "-- .\u3000"), (8, "\u2003ΣΑΣ\x85ΕΊΔΑ!"), (9, item.replace(" ", "\xa0- "))])
+    got = sorted((str(r.id), r.item_id, r.doc_start, r.doc_end, r.item_start, r.matches) for r in decontaminate.contaminations(docs, bench).collect())
+    assert got == [("5", 1, 0, 20, 0, 20)] * 2 + [("8", 4, 0, 2, 0, 2), ("9", 1, 0, 20, 0, 20), ("None", 1, 1, 21, 0, 20)]
+    assert sorted(r.doc_id for r in decontaminate.keep_uncontaminated(docs, bench).collect()) == [6, 7]
+
+
 def test_overlaps_equal_brute_force():
     """An item that has a stretch of 13 equal tokens and a share of 0.8 on the diagonal is found, and no other."""
     rng = random.Random(6)
