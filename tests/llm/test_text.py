@@ -212,6 +212,40 @@ def test_found_items_equal_brute_force():
     assert qualify > 150 and reported >= 0.97 * qualify
 
 
+def test_documents_without_a_seed_are_not_compared(monkeypatch):
+    """meets() tells exactly the documents that share a seed or hold a short item, whatever stands before and after them."""
+    rng = random.Random(13)
+    items = [[f"v{rng.randrange(12)}" for _ in range(n)] for n in (10, 15, 25, 60, 2, 3, 9, 1)]
+    items[-1] = ["alone"]
+    index = decontaminate.SeedIndex([(k, " ".join(t)) for k, t in enumerate(items)])
+    docs = [[]]
+    for _ in range(600):
+        doc = [f"v{rng.randrange(14)}" for _ in range(rng.randrange(25))]
+        if rng.random() < 0.5:
+            item = rng.choice(items)
+            cut = rng.randrange(len(item))
+            doc[len(doc) // 2 : len(doc) // 2] = item[cut : cut + rng.choice([3, 9, 10, 30])]
+        docs.append(doc)
+    docs += [items[0][:5], items[0][5:], [], ["v1"] * 300, ["alone"], []]
+
+    def seeds(tokens):
+        return {(m, *(tokens[p + i] for i, c in enumerate(m) if c == "1")) for m in decontaminate.MASKS for p in range(len(tokens) - len(m) + 1)}
+
+    known = set().union(*map(seeds, items))
+    short = [t for t in items if len(t) < 10]
+    brute = [bool(seeds(d) & known) or any(d[p : p + len(t)] == t for t in short for p in range(len(d))) for d in docs]
+    assert 50 < sum(brute) < len(docs) - 50
+    texts, words = pa.array([" ".join(d) for d in docs], pa.string()), pa.array(list(index.vocabulary), pa.string())
+    assert index.meets(*decontaminate.numbers_of(texts, words)).tolist() == brute
+    every = [index.find(np.array([index.vocabulary.get(w, 0) for w in d], np.int64)) for d in docs]
+    compared, find = [], index.find
+    monkeypatch.setattr(index, "find", lambda tokens: compared.append(len(tokens)) or find(tokens))
+    assert index.find_all(texts, words) == every
+    assert compared == [len(d) for d, met in zip(docs, brute, strict=True) if met]
+    none = decontaminate.SeedIndex([])
+    assert none.find_all(pa.array(["a b", None], pa.string()), pa.array([], pa.string())) == [[], []]
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     got = {r.id: r for r in quality.score_documents(docs).collect()}

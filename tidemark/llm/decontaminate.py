op4_decontaminate): texts without a seed of the benchmark are told apart for many texts at once, and only the others compared

Symptom: op4_decontaminate still spends 159 of 167 CPU seconds a GB in Python workers at 0.51 GB.
Evidence: of the 10,000 texts of sf0.1, 247 share a seed with the benchmark, yet every text was hashed under three masks and looked up four times a mask, in about a hundred small array calls: 4.5 to 5.7 s of CPU.
Fix: the seeds of all texts of a part (about 1 MB) are looked up together; a seed with two kept neighbours that stand side by side nowhere in the benchmark is refused before it is hashed. Only texts that share a seed or hold a whole short item are compared as before, and that comparison refuses seeds likewise.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 297 -> 128 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.60 GB, longest task 22 -> 8 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 2290 -> 520 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 6.04 -> 6.04 GB, longest task 70 -> 15 s, most memory of a task 0 -> 0 MB; with hot keys, at 0.6 GB of input CPU 241 -> 109 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 21 -> 5 s, most memory of a task 0 -> 0 MB.

@@ -22,6 +22,8 @@ from .common import short_batches, written
 
 #: The masks; 1 keeps a token, 0 ignores it.
 MASKS = ("1101011001", "1110010101", "1011000111")
+#: Fixed value: the mask of two neighbours; seeds with two kept neighbours that no item has are refused before they are hashed.
+PAIR = "11"
 #: Tokens of a slice of the benchmark, about, at most: its seeds and texts are what is broadcast.
 SLICE_TOKENS = 500_000
 #: An overlap counts from this many equal tokens (or all of a shorter item's), and this share of its length.
@@ -66,6 +68,13 @@ def numbers_of(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray
     return numbers[tokens], np.concatenate([[0], np.cumsum(tokens)])[split.offsets.to_numpy()]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the known ones, which are in ascending order."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _goes_on(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the seed before lies one token before and is equal."""
     out = np.zeros(len(at), dtype=bool)
@@ -92,6 +101,7 @@ class SeedIndex:
         self.starts = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])]).astype(np.int64)
         self.tokens = np.array([self.vocabulary[w] for _, t in texts for w in t], dtype=np.int64)
         self.weights = np.random.default_rng(20).integers(1, 2**63, size=16, dtype=np.uint64) | np.uint64(1)
+        self.pairs = np.unique(self.hashes(self.tokens, PAIR)[1])
         self.seeds = []
         for mask in MASKS:
             at, hashes = self.hashes(self.tokens, mask)
@@ -108,26 +118,69 @@ class SeedIndex:
             if 0 < len(t) < max(map(len, MASKS)):
                 self.short.setdefault((self.vocabulary[t[0]], len(t)), []).append(k)
 
-    def hashes(self, tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the seeds whose kept tokens are all in the vocabulary."""
+    def hashes(self, tokens: np.ndarray, mask: str, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of the seeds whose kept tokens are all in the vocabulary and, where `pairs` tells which
+        tokens make a pair of the benchmark with the next, whose kept neighbours are such pairs."""
         kept = [i for i, c in enumerate(mask) if c == "1"]
         n = len(tokens) - len(mask) + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         inside = tokens > 0
-        at = np.flatnonzero(np.logical_and.reduce([inside[i : i + n] for i in kept]))
+        needed = [inside[i : i + n] for i in kept]
+        if pairs is not None:
+            needed += [pairs[i : i + n] for i in kept if i + 1 in kept]
+        at = np.flatnonzero(np.logical_and.reduce(needed))
         sums = np.zeros(len(at), dtype=np.uint64)
         for i in kept:
             sums = (sums ^ (sums >> np.uint64(29))) * self.weights[i] + tokens[at + i].astype(np.uint64)
         return at, sums
 
+    def known_pairs(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token makes a pair of the benchmark with the next."""
+        at, hashes = self.hashes(tokens, PAIR)
+        pairs = np.zeros(len(tokens), dtype=bool)
+        pairs[at[_among(hashes, self.pairs)]] = True
+        return pairs
+
+    def meets(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which documents have a seed of the benchmark or a whole short item; the others have no overlaps.
+
+        The tokens of all documents stand one after the other; `starts` tells where each begins, and the end of the last.
+        """
+        pairs, places = self.known_pairs(tokens), []
+        for mask, ((seeds, _), _) in zip(MASKS, self.seeds, strict=True):
+            at, hashes = self.hashes(tokens, mask, pairs)
+            places.append((at[_among(hashes, seeds)], len(mask)))
+        for (first, n), items in self.short.items():
+            begins = np.flatnonzero(tokens[: max(0, len(tokens) - n + 1)] == first)
+            for k in items:
+                at = begins
+                for i in range(1, n):
+                    at = at[tokens[at + i] == self.tokens[self.starts[k] + i]]
+                places.append((at, n))
+        met = np.zeros(len(starts) - 1, dtype=bool)
+        for at, n in places:
+            document = np.searchsorted(starts, at, "right") - 1
+            met[document[at + n <= starts[document + 1]]] = True
+        return met
+
+    def find_all(self, texts: pa.Array, words: pa.Array) -> list[list[tuple[int, int, int, int, int, float]]]:
+        """The overlaps of each text; `words` is the vocabulary in order."""
+        found = []
+        for part in groups_of(texts):
+            tokens, starts = numbers_of(part, words)
+            met = self.meets(tokens, starts)
+            found += [self.find(tokens[starts[d] : starts[d + 1]]) if met[d] else [] for d in range(len(part))]
+        return found
+
     def find(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
         """Verified overlaps of a document's tokens (vocabulary numbers) with the items.
 
         Where nearly a whole item is found, seeds of that item that begin inside the stretch lead to no further overlap,
         so that text of endless repeats is covered once by an item of repeats.
         """
-        parts = [x for mask, known in zip(MASKS, self.seeds, strict=True) for x in self.diagonals(tokens, mask, known)]
+        pairs = self.known_pairs(tokens)
+        parts = [x for mask, known in zip(MASKS, self.seeds, strict=True) for x in self.diagonals(tokens, pairs, mask, known)]
         found, covered = [], {}
         if parts:
             item, diagonal, first = _first_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -143,13 +196,13 @@ class SeedIndex:
             found += self.find_short(tokens)
         return found
 
-    def diagonals(self, tokens: np.ndarray, mask: str, known: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def diagonals(self, tokens: np.ndarray, pairs: np.ndarray, mask: str, known: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, diagonal, document position of a seed on it) of the places where seeds of the document and of items meet.
 
         A seed that repeats from one token to the next, in the document and in an item, stays on its diagonal; such pairs
         are left out but for the first, so long runs of one token make few pairs.
         """
-        at, hashes = self.hashes(tokens, mask)
+        at, hashes = self.hashes(tokens, mask, pairs)
         goes_on = _goes_on(at, hashes)
         for rows, (seeds, places) in ((~goes_on, known[0]), (goes_on, known[1])):
             left, right = np.searchsorted(seeds, hashes[rows], "left"), np.searchsorted(seeds, hashes[rows], "right")
@@ -224,10 +277,7 @@ def _with_hits(docs: DataFrame, items: list[tuple[int, str]], text_col: str, nam
         index = shared.value
         words = pa.array(list(index.vocabulary), pa.string())
         for batch in batches:
-            found = []
-            for texts in groups_of(batch.column(at)):
-                tokens, starts = numbers_of(texts, words)
-                found += [[dict(zip(names, h, strict=True)) for h in index.find(tokens[a:b])] for a, b in zip(starts, starts[1:])]
+            found = [[dict(zip(names, h, strict=True)) for h in hits] for hits in index.find_all(batch.column(at), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, ArrayType(kind))]))
